@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import line_dedup, packing
+from korpusmill.llm import line_dedup, media, packing, warc
+from korpusmill.storage import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +48,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::B
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_line_dedup": op4_line_dedup}
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    folder = Scratch(spark, "media").path("archives")
+    media.write_archives(docs, folder).agg(F.sum("members")).collect()
+    return media.media_features(media.read_archives(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "warc").path("archives")
+    warc.write_warc(_table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op6_media_columns": op6_media_columns, "op8_warc": op8_warc, "op1_best_fit_packing": op1_best_fit_packing, "op4_line_dedup": op4_line_dedup}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
