@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import line_dedup, media, packing, warc
+from korpusmill.llm import line_dedup, media, packing, suffix_dedup, warc
 from korpusmill.storage import Scratch
 
 
@@ -24,6 +24,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -61,5 +66,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op6_media_columns": op6_media_columns, "op8_warc": op8_warc, "op1_best_fit_packing": op1_best_fit_packing, "op4_line_dedup": op4_line_dedup}
+QUERIES = {"op6_media_columns": op6_media_columns, "op8_warc": op8_warc, "op3_suffix_dedup": op3_suffix_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op4_line_dedup": op4_line_dedup}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
