@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import line_dedup, media, packing, suffix_dedup, warc
+from korpusmill.llm import line_dedup, media, minhash, packing, suffix_dedup, warc
 from korpusmill.storage import Scratch
 
 
@@ -66,5 +66,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op6_media_columns": op6_media_columns, "op8_warc": op8_warc, "op3_suffix_dedup": op3_suffix_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op4_line_dedup": op4_line_dedup}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
+QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup, "op6_media_columns": op6_media_columns, "op8_warc": op8_warc, "op3_suffix_dedup": op3_suffix_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op4_line_dedup": op4_line_dedup}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
