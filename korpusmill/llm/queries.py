@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import line_dedup, media, minhash, packing, suffix_dedup, warc
+from korpusmill.llm import embedding_dedup, line_dedup, media, minhash, packing, suffix_dedup, warc
 from korpusmill.storage import Scratch
 
 
@@ -70,5 +70,33 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup, "op6_media_columns": op6_media_columns, "op8_warc": op8_warc, "op3_suffix_dedup": op3_suffix_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op4_line_dedup": op4_line_dedup}
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+labelled AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM labelled c LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = c.vec_id
+"""
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_media_columns": op6_media_columns,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_warc": op8_warc,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL}
