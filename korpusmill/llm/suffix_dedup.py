@@ -5,10 +5,12 @@ significant first, and a group of one drops out after every pass:
 
 1. The first digit of a suffix is its anchor: of the ``GRAM``-byte strings within its first ``length`` bytes the one with the
    least hash, and where that stands. Neighbouring suffixes share an anchor, so a run of them (a segment) is one row.
-   Equal suffixes have equal anchors at equal places, hence segments whose anchor occurs once hold no repeat.
-2. The second digit is the rest of the segment. Equal segments hold equal suffixes throughout.
-3. Where segments with the same anchor differ, their suffixes are ordered one by one by all ``length`` bytes. Equal
-   groups are then exactly the repeated strings.
+   Equal suffixes have equal anchors at equal places, hence segments whose anchor occurs once hold no repeat. The rest
+   of the segment is compared with it: equal segments hold equal suffixes throughout.
+2. Where segments with the same anchor differ, the next digit is what up to ``FEW`` neighbouring suffixes have in common, and
+   these short segments are compared in the same way.
+3. Where these differ as well, their suffixes are ordered one by one by all ``length`` bytes. Equal groups are then
+   exactly the repeated strings.
 
 Digits are compared by 64-bit (anchor, segment) and 128-bit (suffix) hashes. Every task orders what it holds first and ships
 one row per key, so a string that a third of all documents hold comes to as many rows as there are tasks.
@@ -28,6 +30,7 @@ from pyspark.sql.window import Window
 from korpusmill.storage import Scratch, shuffle_partitions
 
 GRAM = 32
+FEW = 8
 #: Bytes hashed at once, and bytes of text whose segments a task orders at once.
 BLOCK = 1 << 17
 FLUSH = 16 << 20
@@ -107,12 +110,17 @@ def blocks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield np.concatenate(data), np.concatenate(owner), np.concatenate(place)
 
 
+def _at(lo: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A segment in one number: its first suffix, how far behind it the anchor is, how many suffixes."""
+    return lo << 16 | off << 8 | n
+
+
 def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     """The suffixes with at least ``length`` bytes of their text left, as segments of one anchor.
 
-    anchor: hash of its bytes; body: hash of all bytes and of the anchor's place; text; lo, n: first suffix and how many.
+    anchor: hash of its bytes; body: hash of all bytes and of the anchor's place; text; at: see ``_at``.
     """
-    out: dict[str, list] = {k: [] for k in ("anchor", "body", "text", "lo", "n")}
+    out: dict[str, list] = {k: [] for k in ("anchor", "body", "text", "at")}
     width = length - GRAM + 1
     low = np.uint64((1 << 20) - 1)
     for data, owner, place in blocks(texts, length):
@@ -129,9 +137,9 @@ def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
         lo, hi = lo[keep], hi[keep]
         a = anchor[lo]
         body = roll.some(lo, hi - 1 + length) ^ _mix((a - lo).astype(np.uint64) * np.uint64(1 << 16) + (hi - lo).astype(np.uint64))
-        for k, v in zip(out, (grams[a], body, owner[lo], place[lo], hi - lo), strict=True):
+        for k, v in zip(out, (grams[a], body, owner[lo], _at(place[lo], a - lo, hi - lo)), strict=True):
             out[k].append(v)
-    kinds = {"anchor": np.uint64, "body": np.uint64, "text": np.int32, "lo": np.int64, "n": np.int64}
+    kinds = {"anchor": np.uint64, "body": np.uint64, "text": np.int32, "at": np.int64}
     return {k: np.concatenate(v).astype(kinds[k]) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
 
 
@@ -146,7 +154,47 @@ def _runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[at], np.append(hi[at[1:] - 1], hi[-1]) - lo[at]
 
 
-KEY, REPEAT, LOOSE = 0, 1, 2
+#: A segment to compare with others; settled as repeated; settled as to be taken apart; both to be taken apart and to compare with.
+KEY, REPEAT, LOOSE, WITNESS = 0, 1, 2, 3
+SEGMENT = "kind byte, anchor long, body long, id long, at long"
+
+
+def _compared(anchor: np.ndarray, body: np.ndarray, owner: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Segments ordered by (anchor, body, owner, at): one row per anchor to compare with other tasks, and what is settled here."""
+    order = np.lexsort((at, owner, body, anchor))
+    anchor, body, owner, at = anchor[order], body[order], owner[order], at[order]
+    new_a = np.append(True, anchor[1:] != anchor[:-1])
+    new_b = new_a | np.append(True, body[1:] != body[:-1])
+    first = np.flatnonzero(new_b)[np.cumsum(new_b) - 1]
+    again = ~new_b & ((owner != owner[first]) | (at != at[first]))  # a repeated row is no repeat of itself
+    group = np.cumsum(new_a) - 1
+    several = np.bincount(group[new_b]) > 1
+    kind = np.full(len(anchor), KEY, np.int8)
+    kind[new_b & several[group]] = LOOSE
+    kind[new_a & several[group]] = WITNESS
+    kind[again] = REPEAT
+    take = np.flatnonzero(new_b | again)
+    kind, anchor, body, owner, at = (x[take] for x in (kind, anchor, body, owner, at))
+    alone = (kind == REPEAT) | (kind == LOOSE)  # these get a key of their own, so no key is hot
+    anchor = np.where(alone, _mix(at.view(np.uint64) ^ _mix(owner.view(np.uint64))), anchor)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, anchor.view(np.int64), body.view(np.int64), owner, at)], names=["kind", "anchor", "body", "id", "at"])
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """(id, at, kind) of segments that are REPEAT or LOOSE; a key has as many rows as tasks at most."""
+    here = Window.partitionBy("compared", "anchor")
+    kind = F.col("kind")
+    return (
+        rows.withColumn("compared", kind.isin(KEY, WITNESS)).withColumn("many", F.count(F.lit(1)).over(here))
+        .withColumn("differ", (F.max(kind == WITNESS).over(here) | (F.min("body").over(here) != F.max("body").over(here))))
+        .withColumn("nth", F.dense_rank().over(here.orderBy("body", "id", "at")))
+        .select(
+            "id", "at",
+            F.when(~F.col("compared"), kind).when(kind == WITNESS, LOOSE).when(F.col("many") == 1, KEY).when(F.col("differ"), LOOSE)
+            .when(F.col("nth") > 1, REPEAT).otherwise(KEY).cast("byte").alias("kind"),
+        )
+        .where(F.col("kind") != KEY)
+    )
 
 
 def _loads(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[list[int], list[bytes], list]]:
@@ -168,7 +216,7 @@ def _loads(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Documents dealt by id, and (id, ats): of each document with any, its repeated suffixes (first << 8 | how many)."""
+    """Documents dealt by id, and (id, ats): of each document with any, its repeated suffixes (see ``_at``)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     whole = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -176,52 +224,22 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, parts: int
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, _ in _loads(batches):
-            s = segments(texts, length)
-            owner = np.array(ids, np.int64)[s["text"]] if ids else np.zeros(0, np.int64)
-            order = np.lexsort((s["lo"], owner, s["body"], s["anchor"]))
-            anchor, body, owner, lo, n = s["anchor"][order], s["body"][order], owner[order], s["lo"][order], s["n"][order]
-            new_a = np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]
-            new_b = new_a | np.append(True, body[1:] != body[:-1])[: len(anchor)]
-            # an anchor with several bodies here: each is ordered suffix by suffix later, and the first bears witness to others
-            group = np.cumsum(new_a) - 1
-            several = np.bincount(group[new_b], minlength=group[-1] + 1 if len(group) else 0) > 1
-            loose = new_b & several[group] if len(group) else new_b
-            key = new_b & (~loose | new_a)
-            first = np.flatnonzero(new_b)[np.cumsum(new_b) - 1]
-            again = ~new_b & ((owner != owner[first]) | (lo != lo[first]))  # a repeated row is no repeat of itself
-            kind = np.concatenate([np.full(key.sum(), KEY), np.full(again.sum(), REPEAT), np.full(loose.sum(), LOOSE)])
-            take = np.concatenate([np.flatnonzero(key), np.flatnonzero(again), np.flatnonzero(loose)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind.astype(np.int8)), pa.array(anchor[take].view(np.int64)), pa.array(body[take].view(np.int64)), pa.array(owner[take]), pa.array(lo[take] << 8 | n[take]), pa.array(loose[take])],
-                names=["kind", "anchor", "body", "id", "at", "loose"],
-            )
-
-    found = whole.mapInArrow(first_pass, "kind byte, anchor long, body long, id long, at long, loose boolean")
-    found = scratch.save(found, "segments", ["kind"])
-
-    here = Window.partitionBy("anchor")
-    judged = (
-        found.where(F.col("kind") == KEY).select("anchor", "body", "id", "at", "loose")
-        .withColumn("many", F.count(F.lit(1)).over(here)).where("many > 1")
-        .withColumn("differ", F.max("loose").over(here) | (F.min("body").over(here) != F.max("body").over(here)))
-        .withColumn("nth", F.dense_rank().over(here.orderBy("body", "id", "at")))
-        .select("id", "at", "loose", F.when(F.col("differ"), LOOSE).when(F.col("nth") > 1, REPEAT).otherwise(KEY).cast("byte").alias("kind"))
-        .where((F.col("kind") != KEY) & ~F.col("loose"))
-    )
-    judged = scratch.save(judged.select("id", "at", "kind"), "judged", ["kind"])
-    scratch.drop(f"{found.saved_path}/kind={KEY}")
-    loose = (
-        judged.where(F.col("kind") == LOOSE).select("id", "at").unionByName(found.where(F.col("kind") == LOOSE).select("id", "at"))
-        .groupBy("id").agg(F.collect_list("at").alias("ats"))
-    )
+            x = segments(texts, length)
+            if len(x["at"]):
+                yield _compared(x["anchor"], x["body"], np.array(ids, np.int64)[x["text"]], x["at"])
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, ats in _loads(batches, 1):
+            parts = [_short(text, np.array(at, np.int64), length) for text, at in zip(texts, ats, strict=True)]
+            anchor, body, at = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            yield _compared(anchor, body, np.repeat(np.array(ids, np.int64), [len(x[2]) for x in parts]), at)
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, ats in _loads(batches, 1):
             keys, owner, lo = [[], []], [], []
             for key, text, at in zip(ids, texts, ats, strict=True):
                 at = np.array(at, np.int64)
-                first, n = _runs(at >> 8, at & 255)
-                for f, m in zip(first.tolist(), n.tolist()):
+                for f, m in zip(*(x.tolist() for x in _runs(at >> 16, at & 255)), strict=True):
                     for b in range(f, f + m, BLOCK):
                         some = min(f + m - b, BLOCK)
                         data = np.frombuffer(text, np.uint8, some + length - 1, b)
@@ -229,8 +247,6 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, parts: int
                             keys[which].append(Rolling(data, which).all(length))
                         owner.append(np.full(some, key, np.int64))
                         lo.append(np.arange(b, b + some))
-            if not owner:
-                continue
             k1, k2, owner, lo = (np.concatenate(x) for x in (*keys, owner, lo))
             order = np.lexsort((lo, owner, k2, k1))
             k1, k2, owner, lo = k1[order], k2[order], owner[order], lo[order]
@@ -241,11 +257,49 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, parts: int
             k1, k2 = np.where(new, k1.view(np.int64), owner), np.where(new, k2.view(np.int64), lo)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (~new, k1, k2, owner, lo)], names=["settled", "k1", "k2", "id", "lo"])
 
-    single = dealt.join(loose, "id").select("id", "text", "ats").mapInArrow(last_pass, "settled boolean, k1 long, k2 long, id long, lo long")
+    def taken_apart(judged: DataFrame) -> DataFrame:
+        loose = judged.where(F.col("kind") == LOOSE).groupBy("id").agg(F.collect_list("at").alias("ats"))
+        return dealt.join(loose, "id").select("id", "text", "ats")
+
+    segment = scratch.save(_judged(whole.mapInArrow(first_pass, SEGMENT)), "segments", ["kind"])
+    short = _judged(taken_apart(segment).mapInArrow(second_pass, SEGMENT))
+    single = taken_apart(short).mapInArrow(last_pass, "settled boolean, k1 long, k2 long, id long, lo long")
     later = (
         single.withColumn("nth", F.dense_rank().over(Window.partitionBy("settled", "k1", "k2").orderBy("id", "lo")))
-        .where(F.col("settled") | (F.col("nth") > 1)).select("id", (F.shiftleft(F.col("lo"), 8) + 1).alias("at"))
+        .where(F.col("settled") | (F.col("nth") > 1)).select("id", (F.shiftleft(F.col("lo"), 16) + 1).alias("at"))
     )
+    every = (
+        later.unionByName(short.where(F.col("kind") == REPEAT).select("id", "at")).unionByName(segment.where(F.col("kind") == REPEAT).select("id", "at"))
+        .groupBy("id").agg(F.collect_list("at").alias("ats"))
+    )
+    return dealt, every
+
+
+def _short(text: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a text cut where the distance of suffix and anchor is a multiple of ``FEW``: (hash of what the suffixes share, of all bytes, at)."""
+    lo, off, n = at >> 16, (at >> 8) & 255, at & 255
+    each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    back = np.repeat(off, n) - each  # of each suffix to its anchor
+    new = np.flatnonzero((each == 0) | (back % FEW == FEW - 1))
+    many = np.diff(np.append(new, len(each)))
+    start, back = (np.repeat(lo, n) + each)[new], back[new]
+    shared = start + back - back // FEW * FEW  # first byte that all suffixes of a whole cut have
+    anchor, body = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    order = np.argsort(start, kind="stable")
+    i = 0
+    while i < len(order):
+        first = start[order[i]]
+        stop = i + np.searchsorted(start[order[i:]], first + BLOCK, side="right")
+        own = order[i:stop]
+        data = np.frombuffer(text, np.uint8, min(len(text) - first, BLOCK + 2 * length), first)
+        roll = Rolling(data, 0)
+        core, begin = shared[own] - first, start[own] - first
+        anchor[own] = roll.some(core, core + length - FEW + 1) ^ _mix((back[own] // FEW).astype(np.uint64))
+        body[own] = roll.some(begin, begin + many[own] - 1 + length) ^ _mix((back[own] * 256 + many[own]).astype(np.uint64))
+        i = stop
+    return anchor, body, _at(start, back, many)
+
+
     every = (
         later.unionByName(judged.where(F.col("kind") == REPEAT).select("id", "at")).unionByName(found.where(F.col("kind") == REPEAT).select("id", "at"))
         .groupBy("id").agg(F.collect_list("at").alias("ats"))
@@ -256,7 +310,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, parts: int
 def kept(text: bytes, ats: list[int], length: int) -> tuple[bytes, list[tuple[int, int]]]:
     """What is left of a text, and the maximal removed runs (start, end), given its repeated suffixes."""
     at = np.array(ats, np.int64)
-    first, n = _runs(at >> 8, (at & 255) + length - 1)
+    first, n = _runs(at >> 16, (at & 255) + length - 1)
     spans = [(int(f), int(f + m)) for f, m in zip(first, n, strict=True)]
     edges = [0, *(x for s in spans for x in s), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), spans
