@@ -8,9 +8,12 @@ third of all pieces is no large group.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -22,58 +25,82 @@ from pyspark.sql.window import Window
 from korpusmill.storage import Scratch, shuffle_partitions
 
 #: Words that a worker keeps the ids of; beyond it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: Characters of text whose words are looked up at once.
+LOOK_UP = 1 << 20
+#: A full stop or comma that ends a word of letters; the tokenizer splits there in any case.
+STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
 PIECE_FIELDS = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins characters across a space, tab or line feed.
+    """Ids of texts by a tokenizer that lower-cases and never joins letters with anything else.
 
-    The tokenizer's first step drops white space between its words, so the ids of a text are those of its
-    blank-separated chunks in order; each chunk is encoded once while it is in the cache.
+    The tokenizer's own first steps split at white space and between letters and other characters, so a text's ids are those
+    of its blank-separated chunks in order, and each chunk is encoded once while it is in the cache. A chunk of letters alone
+    is one word to the tokenizer's model and goes to it directly. Texts whose lower case is not in the tokenizer's
+    normal form take the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        one = {b: spell.pre_tokenize_str(bytes([b]).decode()) for b in range(1, 128)}
+        # bytes from 128 on occur inside characters only: their spelling shows in a character of two or more bytes
+        self.spelling = {b: x[0][0] for b, x in one.items()}
+        for c in (*range(0x80, 0x800), *range(0x800, 0x10000, 64), *range(0x10000, 0x110000, 4096)):
+            if not 0xD800 <= c < 0xE000:
+                self.spelling |= dict(zip(chr(c).encode(), spell.pre_tokenize_str(chr(c))[0][0], strict=True))
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.flat, self.offsets, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-        self.sizes = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                k, ids = len(self.index), e.ids
-                n = len(ids)
-                if k >= len(self.sizes):
-                    self.sizes, self.offsets = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.offsets))
-                while self.used + n > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + n] = ids
-                self.offsets[k], self.sizes[k] = self.used, n
-                self.used += n
-                self.index[w] = k
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
+        self.flat, self.offsets, self.used = np.zeros(1 << 18, np.uint32), np.zeros(1 << 17, np.int64), 0
+        self.sizes = np.zeros(1 << 17, np.int64)
+
+    def _ids(self, word: str) -> list[int]:
+        if word.isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _learn(self, word: str) -> int:
+        k, ids = len(self.index), self._ids(word)
+        if k >= len(self.sizes):
+            self.sizes, self.offsets = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.offsets))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.offsets[k], self.sizes[k] = self.used, len(ids)
+        self.used += len(ids)
+        self.index[word] = k
+        return k
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         if len(self.index) > CACHE_WORDS:
             self._reset()
-        index = self.index
-        try:
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(list({w for w in words if w not in index}))
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        words, ends, whole = [], [], {}
+        for i, text in enumerate(texts):
+            own = text if text.isascii() else normalize("NFC", text).replace("\u03a3", "\u03c3")
+            own = own.lower()
+            if not own.isascii() and not is_normalized("NFC", own):
+                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                words += STOP.sub(r" \1", own).replace("\n", " ").split(" ")
+            ends.append(len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        for k in np.flatnonzero(at < 0).tolist():
+            word = words[k]
+            known = self.index.get(word)
+            at[k] = self._learn(word) if known is None else known
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        if not ends[-1]:
-            return np.zeros(0, np.uint32)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.offsets[at] - (ends - sizes), sizes)]
+        stops = np.append(0, np.cumsum(sizes))
+        flat = self.flat[np.arange(stops[-1]) + np.repeat(self.offsets[at] - stops[:-1], sizes)]
+        parts = np.split(flat, stops[np.array(ends[:-1], np.int64)]) if texts else []
+        return [whole.get(i, x) for i, x in enumerate(parts)]
 
 
 @lru_cache(2)
@@ -99,19 +126,26 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             row, piece, start, length, crc, tokens = [], [], [], [], [], []
-            for i in range(len(texts)):
-                all_ids = np.append(encode(texts[i].as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for p, lo in enumerate(range(0, len(all_ids), max_tokens)):
-                    own = all_ids[lo : lo + max_tokens]
-                    row.append(i)
-                    piece.append(p)
-                    start.append(lo)
-                    length.append(len(own))
-                    crc.append(zlib.crc32(own.tobytes()))
-                    if with_ids:
-                        tokens.append(own.astype(np.int32))
+            i = 0
+            while i < len(texts):
+                some, size = [], 0
+                while i + len(some) < len(texts) and (not some or size < LOOK_UP):
+                    some.append(texts[i + len(some)] or "")
+                    size += len(some[-1])
+                for own_ids in encode(some):
+                    all_ids = np.append(own_ids, np.uint32(end_id)).astype("<u4")
+                    for p, lo in enumerate(range(0, len(all_ids), max_tokens)):
+                        own = all_ids[lo : lo + max_tokens]
+                        row.append(i)
+                        piece.append(p)
+                        start.append(lo)
+                        length.append(len(own))
+                        crc.append(zlib.crc32(own.tobytes()))
+                        if with_ids:
+                            tokens.append(own.astype(np.int32))
+                    i += 1
             columns = [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             if with_ids:
                 columns.append(pa.array(tokens, pa.list_(pa.int32())))
