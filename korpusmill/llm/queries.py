@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import embedding_dedup, line_dedup, media, minhash, packing, suffix_dedup, warc
+from korpusmill.llm import embedding_dedup, line_dedup, media, minhash, packing, suffix_dedup, toxicity, warc
 from korpusmill.storage import Scratch
 
 
@@ -53,6 +53,13 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::B
 FROM judged GROUP BY doc_id
 """
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    out = toxicity.score(docs, net)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     folder = Scratch(spark, "media").path("archives")
@@ -94,6 +101,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_media_columns": op6_media_columns,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_warc": op8_warc,
