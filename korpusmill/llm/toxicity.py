@@ -20,7 +20,10 @@ WINDOW, STRIDE = 32, 24
 TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
 HIDDEN, CHARS, WORDS, BUCKETS, ODDS = 8, 6, 6, 1 << 14, 1 << 18
 INPUT = 2 + CHARS + WORDS
-EPOCHS = 5
+#: Passes over the training texts, and steps that they make at least; parts of the training texts whose evidence comes from the others.
+EPOCHS, STEPS, FOLDS = 5, 120, 3
+#: Documents' worth of prior in the evidence of a word or n-gram.
+PRIOR = 2.0
 CACHE_WORDS = 300_000
 LOOK_UP = 1 << 20
 MARKS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡"
@@ -159,25 +162,43 @@ def windows(n: int) -> np.ndarray:
     return np.where(at < n, at, -1)
 
 
+def _evidence(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Log-odds of label 1 given that a word or n-gram occurs, against those of the training rows."""
+    share = total / total.sum()
+    return np.log(((seen[1] + PRIOR * share[1]) / (total[1] + PRIOR)) / ((seen[0] + PRIOR * share[0]) / (total[0] + PRIOR))).astype(np.float32)
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Network:
     """Fit to whole texts: every epoch takes each text's strongest window and one at random."""
     rng, net = np.random.default_rng(seed), Network(seed)
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index) + 1) for w in (t or "").split()], np.int64) for t in texts]
-    if not index or labels.min() == labels.max():
+    fold = rng.permutation(len(texts)) % FOLDS
+    index: dict[tuple[int, str], int] = {}
+    docs = [np.array([index.setdefault((f, w), len(index) + 1) for w in (t or "").split()], np.int64) for f, t in zip(fold.tolist(), texts, strict=True)]
+    if not index or np.bincount(labels, minlength=2).min() < FOLDS:
         net.p["w"][:] = 0
         net.shift = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
         return net
-    tokens = list(index)
+    tokens, fold_of = [w for _, w in index], np.array([f for f, _ in index])
     grams, first, whole = spelled(tokens)
     n = np.diff(np.append(first, len(grams)))
-    seen = {y: np.zeros(ODDS) for y in (0, 1)}
-    for d, y in zip(docs, labels.tolist(), strict=True):
+    gram_at, whole_at = (grams % np.uint64(ODDS)).astype(np.int32), (whole % np.uint64(ODDS)).astype(np.int32)
+    seen = np.zeros((FOLDS, 2, ODDS), np.float32)
+    for d, f, y in zip(docs, fold.tolist(), labels.tolist(), strict=True):
         own = np.unique(d) - 1
-        parts = [grams[first[k] : first[k] + n[k]] for k in own]
-        seen[y][np.unique(np.concatenate([*parts, whole[own]]) % np.uint64(ODDS)).astype(np.int64)] += 1
-    total = {y: (labels == y).sum() for y in (0, 1)}
-    net.odds = (np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))).astype(np.float32)
+        seen[f, y][np.unique(np.concatenate([*(gram_at[first[k] : first[k] + n[k]] for k in own), whole_at[own]]))] += 1
+    total = np.array([[((fold == f) & (labels == y)).sum() for y in (0, 1)] for f in range(FOLDS)])
+    net.odds = _evidence(seen.sum(axis=0), total.sum(axis=0))
+    evidence = np.empty((len(tokens), 2), np.float32)
+    for f in range(FOLDS):
+        own, odds = fold_of == f, _evidence(seen.sum(axis=0) - seen[f], total.sum(axis=0) - total[f])
+        evidence[own, 0] = np.maximum.reduceat(odds[gram_at], first)[own] / 2
+        evidence[own, 1] = odds[whole_at][own] / 2
+    del seen
+
+    def inputs(which: np.ndarray) -> tuple[np.ndarray, tuple]:
+        x, back = net.inputs([tokens[k] for k in which.tolist()])
+        x[:, :2] = evidence[which]
+        return x, back
 
     places = [windows(len(d)) for d in docs]
     index_of = np.concatenate([np.where(at >= 0, d[np.maximum(at, 0)] if len(d) else 0, 0) for d, at in zip(docs, places, strict=True)])
@@ -187,42 +208,44 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
     step = 0
 
     def logits() -> np.ndarray:
-        gx = net.gates(net.inputs(tokens)[0])
+        gx = net.gates(np.concatenate([inputs(np.arange(i, min(i + 65536, len(tokens))))[0] for i in range(0, len(tokens), 65536)]))
         return np.concatenate([net.forward(gx, index_of[i : i + 4096]) for i in range(0, len(index_of), 4096)])
 
-    for epoch in range(EPOCHS):
+    epoch, few = 0, np.bincount(labels).min()
+    while epoch < EPOCHS or step < STEPS:
         if epoch:
             score = logits()
         else:  # the window with the word that speaks most for the label
-            x = np.append(np.float32(-9), net.inputs(tokens)[0][:, 0])
+            x = np.append(np.float32(-9), evidence[:, 0])
             score = np.concatenate([x[index_of[i : i + 65536]].max(axis=1) for i in range(0, len(index_of), 65536)])
         top = np.maximum.reduceat(score, starts)
         best = np.array([s + np.argmax(score[s : s + len(at)]) for s, at in zip(starts, places, strict=True)])
         quiet = np.flatnonzero(labels[doc_of] == 0)
         take = np.concatenate([best, rng.choice(quiet, min(len(quiet), len(best)), replace=False)])
         goal = np.concatenate([labels, np.zeros(len(take) - len(best))]).astype(np.float32)
-        order = rng.permutation(len(take))
+        share = np.where(goal == 1, 0.5 / goal.sum(), 0.5 / (1 - goal).sum()) * len(goal)
+        order, epoch = rng.permutation(len(take)), epoch + 1
         for i in range(0, len(take), 128):
             own = order[i : i + 128]
             at, y = index_of[take[own]], goal[own]
             used, inverse = np.unique(at, return_inverse=True)
             local = inverse.reshape(at.shape) + (used[0] != 0)
-            words = [tokens[k - 1] for k in used if k]
-            if not words:
+            if not used.any():
                 continue
-            x, back = net.inputs(words)
+            x, back = inputs(used[used > 0] - 1)
             gx = net.gates(x)
             p = sigmoid(net.forward(gx, local, keep=True))
-            grads = net.backward(((p - y) / len(y)).astype(np.float32), gx, x, back)
+            grads = net.backward((share[own] * (p - y) / len(y)).astype(np.float32), gx, x, back)
             step += 1
             for k, grad in grads.items():
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                net.p[k] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+                rate = 0.01 * min(1, few / 500) if k in ("chars", "words") else 0.01  # embeddings of few texts would only remember them
+                net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     top = np.maximum.reduceat(logits(), starts)
     # a line through the largest logits, at the labels' share in all rows
-    weight = np.where(labels == 1, prior / total[1], (1 - prior) / total[0])
+    weight = np.where(labels == 1, prior / (labels == 1).sum(), (1 - prior) / (labels == 0).sum())
     a, b = 1.0, 0.0
     for _ in range(500):
         q = sigmoid(a * top + b)
@@ -273,7 +296,7 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Network:
     """Train on up to ``train_docs`` labelled documents of each label, first by a hash of the id, of up to ``TRAIN_CHARS`` characters.
 
-    Ids labelled more than once count by their largest label; null labels are left out. Without both labels the network is
+    Ids labelled more than once count by their largest label; null labels are left out. With fewer than three of a label the network is
     constant at the share of label 1.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
