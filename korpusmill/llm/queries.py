@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import embedding_dedup, line_dedup, media, minhash, packing, suffix_dedup, toxicity, warc
+from korpusmill.llm import embedding_dedup, language_id, line_dedup, media, minhash, packing, suffix_dedup, toxicity, warc
 from korpusmill.storage import Scratch
 
 
@@ -97,6 +97,16 @@ FROM labelled c LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n
 """
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document (its source is the host) and every page (with declared language, address and host)."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    null = F.lit(None)
+    rows = docs.select("doc_id", null.cast("long").alias("page_id"), "text", null.cast("string").alias("url"), "source", F.lit(False).alias("markup")).unionByName(
+        pages.select(null.cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), F.coalesce("url", F.lit("")).alias("url"), null.cast("string").alias("source"), F.lit(True).alias("markup"))
+    )
+    return language_id.identify(rows, language_id.fit(docs), ["doc_id", "page_id"])
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -105,6 +115,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_warc": op8_warc,
+    "op10_language_id": op10_language_id,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL}
