@@ -1,9 +1,74 @@
-STAGES = []
+"""The documents table made ready for training: STAGES in order, each a function (spark, docs, sf_dir) -> DataFrame.
+
+All stages but the last return the columns of ``documents``, with ``n_chars`` kept up to date.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from korpusmill.llm import language_id, line_dedup, minhash, packing, suffix_dedup
+from korpusmill.llm.queries import tokenizer_file
+from korpusmill.storage import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CARRY = ("lang", "source")
+
+
+def _with_text(out: DataFrame, text) -> DataFrame:
+    out = out.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labels name; those in none of them go."""
+    null = F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", null.alias("url"), "source", F.lit(False).alias("markup"))
+    found = language_id.identify(rows, language_id.fit(docs), ["doc_id"]).where("accepted").select(F.col("doc_id").alias("accepted_id"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["accepted_id"]), "left_semi").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that one of smaller id holds."""
+    return _with_text(line_dedup.line_dedup(docs, carry=CARRY), F.col("text"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose shingles of five words are alike to 0.8 or more, that of the smallest id."""
+    kept = minhash.near_duplicates(docs, words=5).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the characters that a string of 100 bytes covers which also starts earlier."""
+    out = suffix_dedup.suffix_dedup(docs, length=100, whole_characters=True, carry=CARRY)
+    return _with_text(out, F.decode("kept", "UTF-8"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents and their places in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeated_passages),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: No stage but line de-duplication can be put in SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written and read again as the next one's input."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

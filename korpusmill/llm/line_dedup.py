@@ -84,8 +84,9 @@ class LineRuns:
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 2
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 2,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     r"""Drop every line whose key also occurs in a document of smaller id.
 
     Lines end at ``\n``; a key is the line stripped of ASCII white space with A-Z lower-cased. Keys of under ``min_chars``
@@ -93,11 +94,13 @@ def line_dedup(
 
     Returns (id, text, n_lines, n_dropped), text being the kept lines joined by ``\n``. Null text counts as empty, which is
     one empty line; an empty table gives an empty result. A null id sorts before every other id. Repeated rows of one id
-    count as the same document. Other columns of ``docs``, whatever their names, are not read.
+    count as the same document. Columns named in ``carry`` are added to the result as they are; others, whatever their names,
+    are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     at = F.coalesce(F.col("id").cast("long"), F.lit(FIRST_ID))
 
     cuts = base.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
@@ -132,7 +135,7 @@ def line_dedup(
     runs.close()
 
     out = (
-        base.select("id", "text", at.alias("at"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+        base.select("id", "text", "carried", at.alias("at"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
         .join(dropped, ["at", "text_hash"], "left")
     )
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dropped")
@@ -143,4 +146,5 @@ def line_dedup(
         .alias(text_col),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )

@@ -31,6 +31,8 @@ BASE, RATE, LARGEST = 1.001, 20.0, 2**16 - 2
 ERRORS = 6.0
 _RNG = np.random.default_rng(9)
 _ODD = _RNG.integers(0, 2**32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+#: Members of a bucket that a round holds against the others, about.
+HUBS = 64
 #: Shingles that are hashed into all registers at once.
 BLOCK = 1 << 15
 FLUSH = 4 << 20
@@ -187,29 +189,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _next_pairs(members: DataFrame, labels: DataFrame | None, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Of buckets with members in several components: (bucket, id) of the next hubs, and the pairs of hubs with members of other components.
+def _first_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each bucket's hub, its smallest id, as (key, id); the pairs of hubs with the other members."""
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
+    pairs = members.join(hubs, "key").where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    return hubs.select("key", F.col("hub").alias("id")), pairs
 
-    Hubs are the smallest ids of the component with the fewest members there, up to ``hubs`` of them.
+
+def _next_pairs(members: DataFrame, labels: DataFrame, tries: int) -> tuple[DataFrame, DataFrame]:
+    """The same for members that are still in different components.
+
+    Hubs are members outside a bucket's largest component, all of them or, by a hash that differs from round to round, about
+    ``HUBS`` and at least one; the pairs are those of hubs with members of other components.
     """
-    if labels is None:
-        hub = members.groupBy("key").agg(F.min("id").alias("hub"))
-        pairs = members.join(hub, "key").where(F.col("id") != F.col("hub"))
-    else:
-        held = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        few = sizes.groupBy("key").agg(F.min(F.struct("n", "component")).alias("few"), F.count(F.lit(1)).alias("many")).where("many > 1")
-        held = held.join(few.select("key", F.col("few.component").alias("few")), "key")
-        # hubs are at most `hubs` ids of a bucket's smallest component, found by repeated minima
-        left, hub = held.where(F.col("component") == F.col("few")).select("key", "id"), None
-        for k in range(hubs):
-            least = left.groupBy("key").agg(F.min("id").alias("hub"))
-            hub = least if hub is None else hub.unionByName(least)
-            if k + 1 < hubs:
-                left = left.join(least, "key").where(F.col("id") != F.col("hub")).select("key", "id")
-        pairs = held.where(F.col("component") != F.col("few")).join(hub, "key")
+    held = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "component")).alias("most")
+    open_ = sizes.groupBy("key").agg(most, F.sum("n").alias("all"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    open_ = open_.select("key", F.col("most.component").alias("largest"), (F.col("all") - F.col("most.n")).alias("rest"))
+    rest = held.join(open_, "key").where(F.col("component") != F.col("largest"))
+    least = rest.groupBy("key").agg(F.min("id").alias("least"))
+    chosen = F.pmod(F.xxhash64("id", F.lit(tries)), F.ceil(F.col("rest") / HUBS)) == 0
+    hubs = rest.join(least, "key").where(chosen | (F.col("id") == F.col("least"))).select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    pairs = held.join(hubs, "key").where(F.col("component") != F.col("hub_component"))
     pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    return hub.select("key", F.col("hub").alias("id")), pairs
+    return hubs.select("key", F.col("hub").alias("id")), pairs
 
 
 def near_duplicates(
@@ -240,19 +244,21 @@ def near_duplicates(
     candidates = scratch.save(usable.join(ids, "id", "left_semi").select("id", "n", "registers"), "candidates")
 
     links = scratch.save(copies.select(F.col("id").alias("a"), F.col("first").alias("b")), "copy-links")
-    labels, hubs = None, 1
+    hubs, pairs = _first_pairs(members)
+    tested, tries = None, 0
     while True:
-        hub, pairs = _next_pairs(members, labels, hubs)
-        pairs = scratch.save(pairs, "pairs")
-        if pairs.isEmpty():
+        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        hubs = scratch.save(hubs, "hubs")
+        if hubs.isEmpty():
             break
         likely = scratch.save(_likely(pairs, candidates, num / den), "likely")
-        found = scratch.save(_verified(likely, texts, words, num, den), "links")
-        links = links.unionByName(found)
+        links = links.unionByName(scratch.save(_verified(likely, texts, words, num, den), "links"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
         labels = scratch.save(components(links, scratch), "labels")
-        members = scratch.save(members.join(hub, ["key", "id"], "left_anti"), "members")
-        hubs = min(4, hubs * 2)
-    if labels is None:
+        members = scratch.save(members.join(hubs, ["key", "id"], "left_anti"), "members")
+        tries += 1
+        hubs, pairs = _next_pairs(members, labels, tries)
+    if not tries:
         labels = components(links, scratch)
 
     return (

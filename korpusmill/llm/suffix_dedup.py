@@ -316,7 +316,7 @@ def kept(text: bytes, ats: list[int], length: int) -> tuple[bytes, list[tuple[in
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), spans
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, whole_characters: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte of a text that a string of ``length`` UTF-8 bytes covers which also starts earlier.
 
     Earlier is a smaller id, or the same document and a smaller offset; strings are judged on the input. With
@@ -324,7 +324,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns (id, n_bytes, n_removed, n_spans, kept binary, spans array of (start, end)). Null text is empty; a text under
     ``length`` bytes loses nothing; an empty table gives an empty result. Ids are integers; a null id counts as the
-    smallest integer. Rows that share an id count as one document at the same offsets, and each loses what is found in any. Other columns are not read.
+    smallest integer. Rows that share an id count as one document at the same offsets, and each loses what is found in any. Columns named in ``carry`` are added to the result (rows of one id get one row's); others are
+    not read.
     """
     if not GRAM <= length <= 255 - 1 + GRAM:
         raise ValueError(f"length must be from {GRAM} to {254 + GRAM}")
@@ -333,9 +334,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt, every = repeats(own, "id", "text", length, shuffle_partitions(docs.sparkSession))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, ats in _loads(batches, 1):
+        for batch in batches:
             rows = []
-            for key, text, at in zip(ids, texts, ats, strict=True):
+            for key, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                text = text.encode()
                 left, spans = kept(text, at or [], length)
                 if whole_characters and spans:
                     spans = [s for s in (_whole(text, *s) for s in spans) if s[0] < s[1]]
@@ -343,10 +345,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((None if key == smallest else key, len(text), len(text) - len(left), len(spans), left, [{"start": a, "end": b} for a, b in spans]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans"])
-
-    joined = dealt.join(every, "id", "left").select("id", "text", "ats")
-    return joined.mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans", *["carried"][: len(batch.columns) - 3]])
+
+    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:bigint,end:bigint>>"
+
+    joined = dealt.join(every, "id", "left")
+    if not carry:
+        return joined.select("id", "text", "ats").mapInArrow(cut, schema)
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("id")
+    others = docs.select(ident, F.struct(*[F.col(c) for c in carry]).alias("carried")).dropDuplicates(["id"])
+    out = joined.join(others, "id", "left").select("id", "text", "ats", "carried").mapInArrow(cut, f"{schema}, carried {others.schema['carried'].dataType.simpleString()}")
+    return out.select("*", *[F.col("carried")[c].alias(c) for c in carry]).drop("carried")
 
 
 def _whole(text: bytes, start: int, end: int) -> tuple[int, int]:

@@ -6,6 +6,7 @@ n-grams speak for the label in the training rows. A text's score is the largest
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words in a window, and from one window's start to the next's.
 WINDOW, STRIDE = 32, 24
 #: Training documents of each label at most, and characters of each at most.
-TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 HIDDEN, CHARS, WORDS, BUCKETS, ODDS = 8, 6, 6, 1 << 14, 1 << 18
 INPUT = 2 + CHARS + WORDS
 #: Passes over the training texts, and steps that they make at least; parts of the training texts whose evidence comes from the others.
@@ -179,9 +180,13 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
         net.shift = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
         return net
     tokens, fold_of = [w for _, w in index], np.array([f for f, _ in index])
-    grams, first, whole = spelled(tokens)
-    n = np.diff(np.append(first, len(grams)))
-    gram_at, whole_at = (grams % np.uint64(ODDS)).astype(np.int32), (whole % np.uint64(ODDS)).astype(np.int32)
+    parts = []
+    for i in range(0, len(tokens), 1 << 14):
+        grams, first, whole = spelled(tokens[i : i + (1 << 14)])
+        parts.append(((grams % np.uint64(ODDS)).astype(np.int32), np.diff(np.append(first, len(grams))), (whole % np.uint64(ODDS)).astype(np.int32)))
+    gram_at, n, whole_at = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    first = np.cumsum(n) - n
+    del parts
     seen = np.zeros((FOLDS, 2, ODDS), np.float32)
     for d, f, y in zip(docs, fold.tolist(), labels.tolist(), strict=True):
         own = np.unique(d) - 1
@@ -201,15 +206,19 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
         return x, back
 
     places = [windows(len(d)) for d in docs]
-    index_of = np.concatenate([np.where(at >= 0, d[np.maximum(at, 0)] if len(d) else 0, 0) for d, at in zip(docs, places, strict=True)])
+    index_of = np.concatenate([np.where(at >= 0, d[np.maximum(at, 0)] if len(d) else 0, 0).astype(np.int32) for d, at in zip(docs, places, strict=True)])
     doc_of = np.repeat(np.arange(len(docs)), [len(at) for at in places])
     starts = np.searchsorted(doc_of, np.arange(len(docs)))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
 
     def logits() -> np.ndarray:
-        gx = net.gates(np.concatenate([inputs(np.arange(i, min(i + 65536, len(tokens))))[0] for i in range(0, len(tokens), 65536)]))
-        return np.concatenate([net.forward(gx, index_of[i : i + 4096]) for i in range(0, len(index_of), 4096)])
+        gx = {d: np.zeros((len(tokens) + 1, 3 * HIDDEN), np.float32) for d in "fb"}
+        for i in range(0, len(tokens), 1 << 14):
+            own = net.gates(inputs(np.arange(i, min(i + (1 << 14), len(tokens))))[0])
+            for d in "fb":
+                gx[d][i + 1 : i + len(own[d])] = own[d][1:]
+        return np.concatenate([net.forward(gx, index_of[i : i + 2048]) for i in range(0, len(index_of), 2048)])
 
     epoch, few = 0, np.bincount(labels).min()
     while epoch < EPOCHS or step < STEPS:
@@ -294,7 +303,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Network:
-    """Train on up to ``train_docs`` labelled documents of each label, first by a hash of the id, of up to ``TRAIN_CHARS`` characters.
+    """Train, in one task, on up to ``train_docs`` labelled documents of each label, first by a hash of the id, of up to ``TRAIN_CHARS`` characters.
 
     Ids labelled more than once count by their largest label; null labels are left out. With fewer than three of a label the network is
     constant at the share of label 1.
@@ -307,12 +316,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], pick.schema)
     rows = (
         docs.where(F.length(text_col) <= TRAIN_CHARS).select(id_col, text_col).join(F.broadcast(chosen), id_col)
-        .select(id_col, F.col(text_col).alias("text"), "y").limit(3 * train_docs).collect()
+        .select(F.col(id_col).cast("string"), F.col(text_col), "y").limit(3 * train_docs)
     )
-    rows.sort(key=lambda r: r[0])
-    if not rows:
-        return train([], np.zeros(1, np.int64), prior)
-    return train([r.text for r in rows], np.array([r.y for r in rows]), prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sorted((i or "", t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        net = train([t for _, t, _ in own], np.array([y for *_, y in own] or [0]), prior)
+        yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "net binary").first()[0])
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
