@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import embedding_dedup, language_id, line_dedup, media, minhash, packing, suffix_dedup, toxicity, warc
+from korpusmill.llm import embedding_dedup, language_id, line_dedup, media, minhash, packing, sentence_pieces, suffix_dedup, toxicity, warc
 from korpusmill.storage import Scratch
 
 
@@ -24,6 +24,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: its ids' number and checksum, and what the decoded text is."""
+    model, docs = tokenizer_file("piece_bpe_32k.model"), _table(spark, sf_dir, "documents")
+    out = sentence_pieces.decode(sentence_pieces.encode(docs, model), model, text_col="decoded")
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -53,6 +60,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::B
 FROM judged GROUP BY doc_id
 """
 
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     net = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -67,16 +75,6 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.read_archives(spark, folder)).withColumnRenamed("id", "doc_id")
 
 
-def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = Scratch(spark, "warc").path("archives")
-    warc.write_warc(_table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()
-    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
-
-
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(_table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +95,16 @@ FROM labelled c LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "warc").path("archives")
+    warc.write_warc(_table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document (its source is the host) and every page (with declared language, address and host)."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
@@ -109,13 +117,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_media_columns": op6_media_columns,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_warc": op8_warc,
-    "op10_language_id": op10_language_id,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL}
