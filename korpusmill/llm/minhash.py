@@ -2,17 +2,17 @@
 
 A document's sketch holds for each register the exponentially spaced, truncated minimum of an exponentially distributed
 hash over its shingles; the sketch of a union is the registers' maximum. Bands of register values nominate
-candidates. A pair goes to verification on its whole shingle sets unless the likelihood of the registers' joint counts
-says that it is far from the threshold.
+candidates; the likelihood of the registers' joint counts says which of them are far from the threshold.
 
-Documents with equal shingle sets are one node. In a bucket all members are first held against its smallest id; pairs that are
-still in different components are held against each other in further rounds until none is left, so a bucket of
-copies costs as many pairs as it has members, and no bucket has a limit.
+Documents with equal shingle sets are one node. Candidates that the likelihood leaves are joined to families: a bucket's
+members are first held against its smallest id, and buckets whose members this leaves in several families are compared
+throughout. The texts of a family are then compared on their whole sets. Buckets and families are compared in pairs of blocks
+of bounded size that report spanning links only, so no pairs are emitted, no group is one task's, and none has a limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ BASE, RATE, LARGEST = 1.001, 20.0, 2**16 - 2
 ERRORS = 6.0
 _RNG = np.random.default_rng(9)
 _ODD = _RNG.integers(0, 2**32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-#: Members of a bucket that a round holds against the others, about.
-HUBS = 64
+#: Rows of a block of sketches and of texts; columns of a 0/1 matrix, and products in it up to which sets are compared by one.
+SKETCHES, TEXTS = 1024, 128
+COLUMNS, DENSE = 1 << 14, 1 << 23
 #: Shingles that are hashed into all registers at once.
 BLOCK = 1 << 15
 FLUSH = 4 << 20
@@ -148,72 +149,138 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "registers").mapInArrow(run, "key long, id long")
 
 
+def _likely_pairs(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether pairs of sketches may be of sets that reach ``least``."""
+    floor = least - ERRORS * (least * (1 - least) / REGISTERS) ** 0.5
+    keep = ((ra == rb).sum(axis=1) >= 0.97 * floor * REGISTERS) & (np.minimum(na, nb) >= (least - 1e-9) * np.maximum(na, nb))
+    if len(some := np.flatnonzero(keep)):
+        keep[some] = likely_jaccard(ra[some], rb[some], na[some], nb[some]) >= floor
+    return keep
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that may reach ``least``."""
     one = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     two = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    error = (least * (1 - least) / REGISTERS) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(k).to_numpy().astype(float) for k in (2, 3))
-                ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (4, 5))
-                keep = (likely_jaccard(ra, rb, na, nb) >= least - ERRORS * error) & (np.minimum(na, nb) >= (least - 1e-9) * np.maximum(na, nb))
+                keep = _likely_pairs(_registers(batch.column(4)), _registers(batch.column(5)), na, nb, least)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets have den * intersection >= num * union."""
+def _in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """Rows (group, ...) with ``i``, ``j``, ``side``: groups are cut in blocks of about ``size`` rows, and every pair of blocks is a group (group, i, j) of its own."""
+    counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    cut = rows.join(counts, group).withColumn("b", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
+    b = F.col("b")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), (b > k).alias("side")))
+    return cut.withColumn("at", F.explode(pairs)).select(group, F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.side").alias("side"), *[c for c in rows.columns if c != group])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group, given rows (group, i, j, ...) in order; a pair of blocks is of bounded size."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if rest and (keys[lo] != last).any():
+                yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                rest = []
+            rest.append(batch.slice(lo, hi - lo))
+            last = keys[lo]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def _forest(side: np.ndarray, within: bool, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of a group; ``alike(i, others)`` is asked only for members that are not yet in one component."""
+    root, out = np.arange(len(side)), []
+    for i in np.flatnonzero(~side).tolist():
+        others = np.flatnonzero(root != root[i])
+        others = others[others > i] if within else others[side[others]]
+        if not len(others):
+            continue
+        hits = others[alike(i, others)]
+        roots, first = np.unique(root[hits], return_index=True)
+        if len(roots):
+            out += [(i, h) for h in hits[first].tolist()]
+            every = np.append(roots, root[i])
+            root[np.isin(root, every)] = every.min()
+    return out
+
+
+def _links(group: pa.RecordBatch, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ids = group.column(4)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _likely_within(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that span, in every bucket, the members that may reach ``least`` with each other; ``members``: (key, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                a, text_a, text_b = (batch.column(k)[i].as_py() for k in (0, 2, 3))
-                if a != last:
-                    last, own = a, shingles(text_a, words)
-                other = shingles(text_b, words)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(both > 0 and den * both >= num * (len(own) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    joined = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    )
-    return joined.mapInArrow(run, "a long, b long")
+        for g in _groups(batches):
+            regs, n = _registers(g.column(6)), g.column(5).to_numpy().astype(float)
+            side = g.column(3).to_numpy(zero_copy_only=False)
+            alike = lambda i, o: _likely_pairs(regs[np.full(len(o), i)], regs[o], n[np.full(len(o), i)], n[o], least)  # noqa: B023, E731
+            yield _links(g, _forest(side, g.column(1)[0] == g.column(2)[0], alike))
+
+    rows = _in_blocks(members, "key", SKETCHES).join(nodes, "id").select("key", "i", "j", "side", "id", "n", "registers")
+    return _dealt(rows, "key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the sets' elements."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    out = np.zeros((len(sets), len(sets)))
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for lo in range(0, len(every), COLUMNS):
+        a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[owner[a:b], at[a:b] - lo] = 1
+        out += x @ x.T
+    return out
 
 
-def _first_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each bucket's hub, its smallest id, as (key, id); the pairs of hubs with the other members."""
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
-    pairs = members.join(hubs, "key").where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    return hubs.select("key", F.col("hub").alias("id")), pairs
+def _verified(families: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span, in every family, the texts whose whole sets have den * intersection >= num * union; ``families``: (family, id, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            sets = [shingles(t.as_py(), words) for t in g.column(5)]
+            n = np.array([len(s) for s in sets])
+            both = _shared(sets) if len(sets) > 4 and len(sets) * n.sum() <= DENSE else None
 
-def _next_pairs(members: DataFrame, labels: DataFrame, tries: int) -> tuple[DataFrame, DataFrame]:
-    """The same for members that are still in different components.
+            def alike(i: int, others: np.ndarray) -> np.ndarray:
+                ok = den * np.minimum(n[i], n[others]) >= num * np.maximum(n[i], n[others])  # noqa: B023
+                for k in np.flatnonzero(ok).tolist():
+                    o = others[k]
+                    common = both[i, o] if both is not None else len(np.intersect1d(sets[i], sets[o], assume_unique=True))  # noqa: B023
+                    ok[k] = common > 0 and den * common >= num * (n[i] + n[o] - common)  # noqa: B023
+                return ok
 
-    Hubs are members outside a bucket's largest component, all of them or, by a hash that differs from round to round, about
-    ``HUBS`` and at least one; the pairs are those of hubs with members of other components.
-    """
-    held = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = F.max(F.struct("n", "component")).alias("most")
-    open_ = sizes.groupBy("key").agg(most, F.sum("n").alias("all"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    open_ = open_.select("key", F.col("most.component").alias("largest"), (F.col("all") - F.col("most.n")).alias("rest"))
-    rest = held.join(open_, "key").where(F.col("component") != F.col("largest"))
-    least = rest.groupBy("key").agg(F.min("id").alias("least"))
-    chosen = F.pmod(F.xxhash64("id", F.lit(tries)), F.ceil(F.col("rest") / HUBS)) == 0
-    hubs = rest.join(least, "key").where(chosen | (F.col("id") == F.col("least"))).select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    pairs = held.join(hubs, "key").where(F.col("component") != F.col("hub_component"))
-    pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    return hubs.select("key", F.col("hub").alias("id")), pairs
+            yield _links(g, _forest(g.column(3).to_numpy(zero_copy_only=False), g.column(1)[0] == g.column(2)[0], alike))
+
+    return _dealt(_in_blocks(families, "family", TEXTS), "family").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -240,26 +307,22 @@ def near_duplicates(
     shared = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).select("key")
     members = scratch.save(buckets.join(shared, "key"), "members")
     ids = members.select("id").distinct()
-    texts = scratch.save(own.join(ids, "id", "left_semi"), "texts")
     candidates = scratch.save(usable.join(ids, "id", "left_semi").select("id", "n", "registers"), "candidates")
 
-    links = scratch.save(copies.select(F.col("id").alias("a"), F.col("first").alias("b")), "copy-links")
-    hubs, pairs = _first_pairs(members)
-    tested, tries = None, 0
-    while True:
-        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        hubs = scratch.save(hubs, "hubs")
-        if hubs.isEmpty():
-            break
-        likely = scratch.save(_likely(pairs, candidates, num / den), "likely")
-        links = links.unionByName(scratch.save(_verified(likely, texts, words, num, den), "links"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = scratch.save(components(links, scratch), "labels")
-        members = scratch.save(members.join(hubs, ["key", "id"], "left_anti"), "members")
-        tries += 1
-        hubs, pairs = _next_pairs(members, labels, tries)
-    if not tries:
-        labels = components(links, scratch)
+    # links that may be: of a bucket's members with its smallest id, then among members that these leave apart
+    least = num / den
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
+    pairs = members.join(hubs, "key").where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = scratch.save(_likely(pairs, candidates, least), "stars")
+    labels = scratch.save(components(stars, scratch), "star-labels")
+    held = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    apart = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    more = scratch.save(_likely_within(members.join(apart, "key"), candidates, least), "more")
+    families = scratch.save(components(stars.unionByName(more), scratch), "families")
+
+    texts = own.join(families.withColumnRenamed("component", "family"), "id").select("family", "id", "text")
+    links = scratch.save(_verified(texts, words, num, den), "links").unionByName(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    labels = components(links, scratch)
 
     return (
         sketch.select("id", F.col("n").alias("n_shingles")).join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
