@@ -232,7 +232,7 @@ class CellIndex:
 class DenseCells(DenseExact):
     """The same contract over rows that ``CellIndex.assign`` put in cells: a query sees those of its ``nprobe`` nearest cells."""
 
-    def __init__(self, corpus: DataFrame, index: CellIndex, nprobe: int = 8, **options):
+    def __init__(self, corpus: DataFrame, index: CellIndex, nprobe: int = 16, **options):
         super().__init__(corpus, **options)
         self.index, self.nprobe = index, nprobe
 
