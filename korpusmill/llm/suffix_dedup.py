@@ -300,12 +300,6 @@ def _short(text: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     return anchor, body, _at(start, back, many)
 
 
-    every = (
-        later.unionByName(judged.where(F.col("kind") == REPEAT).select("id", "at")).unionByName(found.where(F.col("kind") == REPEAT).select("id", "at"))
-        .groupBy("id").agg(F.collect_list("at").alias("ats"))
-    )
-    return dealt, every
-
 
 def kept(text: bytes, ats: list[int], length: int) -> tuple[bytes, list[tuple[int, int]]]:
     """What is left of a text, and the maximal removed runs (start, end), given its repeated suffixes."""

@@ -1,0 +1,398 @@
+"""The training-data operators against brute force, round trips and odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from conftest import SF, rows_of, rows_of_sql
+from pyspark.sql import functions as F
+
+import korpusmill.llm.queries as Q
+from korpusmill.llm import embedding_dedup, files, language_id, line_dedup, media, minhash, packing, piece_model, sentence_pieces, suffix_dedup, toxicity, warc
+
+ODD = [(1, None), (2, ""), (3, "\n"), (4, "aa bb " * 400), (5, "aa bb " * 400), (5, "aa bb " * 400), (None, "aa bb " * 400), (7, "é漢😀 x\n" * 60), (8, " "), (9, "one two three")]
+SCHEMA = "doc_id long, text string"
+TOKENIZER = Q.tokenizer_file("word_bpe_49k.json")
+PIECES = Q.tokenizer_file("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty texts, repeated rows, and other columns whose names the operators use themselves."""
+    return spark.createDataFrame(ODD, SCHEMA).select("*", *[F.lit(None).cast("string").alias(c) for c in ("id", "at", "key", "kind", "lines", "batch", "n", "registers", "component", "score", "ids", "_n")])
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_query_equals_sql(spark, duck, name):
+    assert rows_of(Q.QUERIES[name](spark, SF)) == rows_of_sql(duck, Q.ORACLE_SQL[name])
+
+
+# 1
+
+
+def test_packing(spark, docs, odd, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    rows = packing.pack_documents(docs, TOKENIZER).collect()
+    pieces = {(r.doc_id, r.piece): r for r in rows}
+    lengths = 0
+    for d in docs.collect():
+        ids = np.array([*tokenizer.encode(d.text or "", add_special_tokens=False).ids, 1], "<u4")
+        lengths += len(ids)
+        for p, lo in enumerate(range(0, len(ids), 4096)):
+            r, own = pieces.pop((d.doc_id, p)), ids[lo : lo + 4096]
+            assert (r.start, r.length, r.ids_crc32) == (lo, len(own), zlib.crc32(own.tobytes()))
+    assert not pieces
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own[:-1])]).tolist() and sum(n for _, n in own) <= 4096
+    assert len(bins) <= 1.02 * lengths / 4096 + 1
+    got = packing.pack_documents(odd, TOKENIZER).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) == len(ODD)
+    assert packing.pack_documents(empty, TOKENIZER).count() == 0
+
+
+def test_packing_keeps_every_constraint():
+    rng = np.random.default_rng(2)
+    for rule in ("residual", "dot"):
+        counts = {int(n): int(c) for n, c in zip(rng.choice(np.arange(1, 100), 30, replace=False), rng.integers(1, 40, 30), strict=True)}
+        packer = packing.VectorBestFit(100, max_docs=5, max_cost=4000.0 + 99**2, weights=(1.0, 0.5, 0.5), rule=rule)
+        bins = defaultdict(list)
+        for length, rank, ranks, per, first, _ in packer.pack(counts).tolist():
+            for k in range(ranks):
+                bins[first + k // per].append(length)
+            counts[length] -= ranks
+            assert rank >= 0
+        assert not any(counts.values()) and len(bins) == packer.bins
+        assert all(sum(b) <= 100 and len(b) <= 5 and sum(x * x for x in b) <= 4000 + 99**2 for b in bins.values())
+
+
+# 2
+
+
+def test_sentence_pieces(spark, docs, odd, empty):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = np.random.default_rng(0)
+    alphabet = list("abcdethe  \n▁ éß漢😀<0x.,-_ing\t　")
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 80))) for _ in range(400)] + ["x" * 5000, " " * 300, "the" + " " * 17 + "cat", "0" * 300]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], SCHEMA))
+    encoded = sentence_pieces.encode(df, PIECES)
+    want = {r.doc_id: library.encode(r.text or "") for r in df.collect()}
+    for r in encoded.collect():
+        assert r.ids == want[r.doc_id] and r.n_ids == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    for r in sentence_pieces.decode(encoded.select("doc_id", "ids"), PIECES).collect():
+        assert r.text == library.decode(want[r.doc_id])
+    assert sorted(len(r.ids) for r in sentence_pieces.encode(odd, PIECES).collect()) == sorted(len(library.encode(t or "")) for _, t in ODD)
+    assert sentence_pieces.encode(empty, PIECES).count() == 0
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [5, None]), (4, [99999]), (5, [3 + 0xFF, 3 + 0x41])], "doc_id long, ids array<int>")
+    assert [r.text for r in sentence_pieces.decode(lists, PIECES).orderBy("doc_id").collect()] == [None, "", None, None, "�A"]
+
+
+def test_unigram_shortest_path_equals_brute_force():
+    rng = np.random.default_rng(4)
+    pieces = [("<unk>", 0.0, piece_model.UNKNOWN), *((f"<0x{b:02X}>", 0.0, piece_model.BYTE) for b in range(256))]
+    names = sorted({"".join(rng.choice(list("ab▁"), rng.integers(1, 5))) for _ in range(40)} | {"a", "b", "▁"})
+    pieces += [(n, -float(rng.uniform(1, 9)), piece_model.NORMAL) for n in names]
+    machine = piece_model.Transducer(piece_model.PieceModel(pieces, piece_model.UNIGRAM, dummy_prefix=False))
+    score = {i: s for i, (_, s, _) in enumerate(pieces)}
+
+    def best(text: str) -> float:
+        least = [0.0] + [float("inf")] * len(text)
+        for end in range(1, len(text) + 1):
+            for n in range(1, end + 1):
+                i = machine.ids.get(text[end - n : end])
+                if i is not None:
+                    least[end] = min(least[end], least[end - n] - score[i])
+        return least[-1]
+
+    texts = ["".join(rng.choice(list("ab "), rng.integers(1, 14))) for _ in range(200)]
+    flat, sizes = machine.paths(texts)
+    for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        assert "".join(machine.text_of[i] for i in ids.tolist()) == text
+        assert abs(-sum(score[i] for i in ids.tolist()) - best(text)) < 1e-9
+        assert abs(-sum(score[i] for i in machine.path(text)) - best(text)) < 1e-9
+    assert machine.path("aéb") == [machine.ids["a"], machine.model.bytes[0xC3], machine.model.bytes[0xA9], machine.ids["b"]]
+
+
+# 3
+
+
+def test_suffix_dedup(spark, odd, empty):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdeé"), 5))
+    shared = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(rng.integers(1, 60))) for _ in range(3)]
+        for s in rng.choice(4, rng.integers(0, 3)):
+            a, b = sorted(rng.integers(0, len(shared[s]), 2).tolist())
+            parts.insert(int(rng.integers(0, 4)), shared[s][a:b])
+        rows.append((i, "".join(parts)))
+    rows += [(60, None), (61, "z" * 99), (62, "z" * 450), (63, "ab" * 120), (64, rows[0][1]), (65, rows[3][1] * 2)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA)).select("*", F.sha2("kept", 256).alias("sha")).collect()
+    want = suffix_dedup.brute_force(dict(rows), 100)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == want
+    whole = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA), whole_characters=True).collect()
+    assert all(bytes(r.kept).decode() is not None for r in whole)
+    out = suffix_dedup.suffix_dedup(odd)
+    assert out.count() >= len({i for i, _ in ODD}) and {r.doc_id for r in out.collect()} == {i for i, _ in ODD}
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+# 4
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (3, 2), (7, 3)])
+def test_line_dedup(spark, docs, batches, fanout):
+    lines = defaultdict(lambda: 10**9)
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    for i, t in rows.items():
+        for x in t.split("\n"):
+            lines[key(x)] = min(lines[key(x)], i)
+    for r in line_dedup.line_dedup(docs, batches=batches, fanout=fanout).collect():
+        own = rows[r.doc_id].split("\n")
+        kept = [x for x in own if len(key(x)) < 10 or lines[key(x)] == r.doc_id]
+        assert (r.text, r.n_lines, r.n_dropped) == ("\n".join(kept), len(own), len(own) - len(kept))
+
+
+def test_line_dedup_odd_rows(spark, odd, empty):
+    out = line_dedup.line_dedup(odd).collect()
+    assert len(out) == len(ODD)
+    assert {r.n_lines for r in out if r.doc_id in (1, 2)} == {1}
+    null = next(r for r in out if r.doc_id is None)
+    assert null.n_dropped == 0 and all(r.n_dropped == 1 for r in out if r.doc_id in (4, 5))
+    assert line_dedup.line_dedup(empty).count() == 0
+
+
+# 5
+
+
+def test_network_gradient():
+    net = toxicity.Network(1)
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64)
+    tokens = ["alpha", "beta", "gamma", "delta"]
+    index = np.zeros((2, toxicity.WINDOW), np.int64)
+    index[0, :4], index[1, :2] = [1, 2, 3, 4], [4, 2]
+    weight = np.array([0.7, -0.3])
+
+    def loss() -> float:
+        x, _ = net.inputs(tokens)
+        return float(weight @ net.forward(net.gates(x.astype(np.float64)), index))
+
+    x, back = net.inputs(tokens)
+    x = x.astype(np.float64)
+    gx = net.gates(x)
+    net.forward(gx, index, keep=True)
+    grads = net.backward(weight, gx, x, back)
+    rng = np.random.default_rng(0)
+    for k in ("w", "b", "u", "A", "Wf", "Wb", "Uf", "Ub", "cf", "cb"):
+        flat = net.p[k].ravel()
+        at = rng.integers(0, flat.size)
+        before = flat[at]
+        flat[at] = before + 1e-4
+        up = loss()
+        flat[at] = before - 1e-4
+        down = loss()
+        flat[at] = before
+        assert abs((up - down) / 2e-4 - grads[k].ravel()[at]) < 1e-3, k
+
+
+def test_toxicity(spark, odd, empty):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = Q.op5_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    pos, neg = ([r.score for r in out if r.toxic == y] for y in (1, 0))
+    assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.95
+    net = toxicity.fit(spark.createDataFrame(ODD, SCHEMA), labels.limit(0))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(odd, net).collect()) and toxicity.score(empty, net).count() == 0
+
+
+# 6, 8
+
+
+def test_media(spark, tmp_path, odd, empty):
+    folder = f"file://{tmp_path}/media"
+    assert media.write_archives(odd.repartition(2), folder).agg(F.sum("members")).first()[0] == len(ODD)
+    want = sorted((str(i), len((t or "").encode()), hashlib.sha256(media.padded((t or "").encode())).hexdigest()) for i, t in ODD)
+    for range_bytes in (50, 1 << 20):
+        rows = media.media_features(media.read_archives(spark, folder, range_bytes)).collect()
+        assert sorted((str(r.id), r.n_bytes, r.payload_sha256) for r in rows) == want
+    path = sorted((tmp_path / "media").glob("*.zip"))[0]
+    data = bytearray(path.read_bytes())
+    data[60] ^= 255
+    path.write_bytes(data)
+    errors = [r.error for r in media.read_archives(spark, folder).collect()]
+    assert sum(e is not None for e in errors) == 1 and len(errors) == len(ODD)
+    media.write_archives(empty, f"{folder}-empty").collect()
+    assert media.read_archives(spark, f"{folder}-empty").count() == 0
+
+
+def test_warc(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    extra = spark.createDataFrame([(900, None, None), (901, "u", ""), (902, "v\n w", "same"), (903, None, "same"), (None, "x", "same")], pages.schema)
+    every = pages.unionByName(extra)
+    folder = f"file://{tmp_path}/warc"
+    warc.write_warc(every.repartition(3), folder).collect()
+    rows = warc.read_warc(spark, folder, payload=True).collect()
+    source = [(r.page_id, (r.html or "").encode()) for r in every.collect()]
+    last = {}
+    for i, p in source:
+        last[p] = max(last.get(p, -1), -1 if i is None else i)
+    assert len(rows) == len(source)
+    for r in rows:
+        own = [p for i, p in source if i == r.page_id][0]
+        assert (r.payload_bytes, r.payload_digest) == (len(own), warc.digest(own))
+        revisit = r.page_id is not None and r.page_id != last[own]
+        assert (r.record_type, r.refers_to) == (("revisit", last[own]) if revisit else ("response", None))
+        assert revisit or bytes(r.payload) == own
+    path = sorted((tmp_path / "warc").glob("*.warc.gz"))[0]
+    path.write_bytes(path.read_bytes()[:-9])
+    with pytest.raises(Exception, match="cut off|Error -3|truncated"):
+        warc.read_warc(spark, folder).collect()
+
+
+# 7
+
+
+def test_embedding_links(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12))
+    x = np.concatenate([centres[rng.integers(0, 40, 900)] + 0.25 * rng.normal(size=(900, 12)), np.repeat(centres[:1], 60, axis=0)]).astype(np.float32)
+    rows = [(i, v.tolist(), int(i % 7 > 0)) for i, v in enumerate(x)]
+    rows += [(2000, None, 1), (2001, [0.0] * 12, 1), (2002, [float("nan")] * 12, 1), (2003, x[0].tolist(), None), (2004, [1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    old = embedding_dedup.BLOCK_ROWS
+    embedding_dedup.BLOCK_ROWS = 64
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_links(df).collect()}
+    finally:
+        embedding_dedup.BLOCK_ROWS = old
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows[: len(x)]])
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.minimum(root, np.where(near, root[None, :], 10**9).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    assert all(got[i] == (int(near[i].sum()), int(root[i])) for i in range(len(x)))
+    assert all(got[i] == (0, i) for i in range(2000, 2005))
+    assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
+
+
+# 9
+
+
+def _near(rows: dict[int, str], words: int) -> dict[int, int]:
+    sets = {}
+    for i, t in rows.items():
+        own = (t or "").encode().lower().split()
+        k = min(words, len(own))
+        sets[i] = {tuple(own[a : a + k]) for a in range(len(own) - k + 1)} if own else set()
+    root = {i: i for i in rows}
+    inverse = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            inverse[g].append(i)
+    pairs = {(a, b) for own in inverse.values() for a in own for b in own if a < b}
+    for _ in range(len(rows)):
+        before = dict(root)
+        for a, b in pairs:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            return root
+    return root
+
+
+def test_near_duplicates(spark, odd, empty, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 500, 120).tolist() for _ in range(6)]
+    rows = {}
+    for i in range(240):
+        own = list(base[i % 6])
+        for at in rng.integers(0, 120, rng.integers(0, 9)):
+            own[at] = int(rng.integers(0, 500))
+        rows[i] = " ".join(f"W{x}" for x in own)
+    rows |= {500: None, 501: " ", 502: "a b", 503: "A  b", 504: "b a"}
+    monkeypatch.setattr(minhash, "SKETCHES", 16)
+    monkeypatch.setattr(minhash, "TEXTS", 16)
+    for words in (4, 5):
+        out = minhash.near_duplicates(spark.createDataFrame(list(rows.items()), SCHEMA), words=words).collect()
+        assert {r.doc_id: r.component_id for r in out} == _near(rows, words)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    got = minhash.near_duplicates(odd).collect()
+    assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 5} == {4} and {r.component_id for r in got if r.doc_id is None} == {None}
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_likelihood_is_near_the_similarity():
+    rng = np.random.default_rng(8)
+    for share in (0.5, 0.8, 0.95):
+        pool = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+        a, b = np.unique(pool[: int(1000 * (1 + share))]), np.unique(pool[int(1000 * (1 - share)) :][: int(1000 * (1 + share))])
+        regs = minhash.sketches([a, b])
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        got = minhash.likely_jaccard(regs[:1], regs[1:], np.array([float(len(a))]), np.array([float(len(b))]))[0]
+        assert abs(got - true) < 0.12
+    assert (np.maximum(minhash.sketches([a])[0], minhash.sketches([b])[0]) == minhash.sketches([np.union1d(a, b)])[0]).all()
+
+
+# 10
+
+
+def test_language_id(spark, docs, odd, empty):
+    found = Q.op10_language_id(spark, SF)
+    truth = docs.select("doc_id", F.col("lang").alias("want")).where("want IS NOT NULL")
+    got = found.join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("want")).cast("int")), F.avg(F.col("accepted").cast("int"))).first()
+    assert got[0] > 0.95 and got[1] > 0.95
+    model = language_id.fit(docs)
+    rows = lambda d: d.select("doc_id", "text", F.lit(None).cast("string").alias("url"), F.lit("h").alias("source"), F.lit(False).alias("markup"))
+    out = language_id.identify(rows(odd), model, ["doc_id"]).collect()
+    assert len(out) == len(ODD) and {(r.lang, r.accepted) for r in out if r.doc_id in (1, 2, 3, 8)} == {("und", False)}
+    assert language_id.identify(rows(empty), model, ["doc_id"]).count() == 0
+    assert language_id.address("http://[bad") == (None, None, None) and language_id.address("https://a.b.org/de/x") == ("a.b.org", "b.org", "/de")
+
+
+def test_host_prior_decides_where_text_says_little(spark, docs):
+    model = language_id.fit(docs)
+    text = {r.lang: r.text for r in docs.where("lang IS NOT NULL AND n_chars BETWEEN 1500 AND 8000").collect()}
+    rows = [(i, text["de"], "http://x.org/", None, False) for i in range(60)] + [(100, "z", "http://x.org/1", None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, source string, markup boolean")
+    assert {r.doc_id: r.lang for r in language_id.identify(df, model, ["doc_id"]).collect()}[100] == "de"
+
+
+def test_committed_file_is_whole_or_absent(tmp_path):
+    uri = f"file://{tmp_path}/x.bin"
+    with pytest.raises(RuntimeError), files.Committed(uri, 1) as out:
+        out.write(b"half")
+        raise RuntimeError
+    assert files.listed(f"file://{tmp_path}", ".bin") == []
+    for attempt in (1, 2):
+        with files.Committed(uri, attempt) as out:
+            out.write(b"whole")
+    assert files.listed(f"file://{tmp_path}", ".bin")[0][1] == 5
