@@ -324,7 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         net = train([t for _, t, _ in own], np.array([y for *_, y in own] or [0]), prior)
         yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "net binary").first()[0])
+    fitted = rows.repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(fitted[0]) if fitted else train([], np.zeros(0, np.int64), prior)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -168,7 +168,6 @@ class WarcReader(DataSourceReader):
         return [InputPartition(path) for path, _ in listed(self.folder, ".warc.gz")] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-
         if partition.value is None:
             return
         want = _arrow_schema(self.names)

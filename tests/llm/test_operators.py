@@ -268,7 +268,7 @@ def test_warc(spark, tmp_path):
         assert revisit or bytes(r.payload) == own
     path = sorted((tmp_path / "warc").glob("*.warc.gz"))[0]
     path.write_bytes(path.read_bytes()[:-9])
-    with pytest.raises(Exception, match="cut off|Error -3|truncated"):
+    with pytest.raises(Exception, match="cut off|Truncated"):
         warc.read_warc(spark, folder).collect()
 
 
