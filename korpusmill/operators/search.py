@@ -94,6 +94,13 @@ def _blocks(queries: DataFrame, query_id: str, vector: str) -> tuple[int, Iterat
     return dim, read()
 
 
+def _cell_sizes(corpus: DataFrame, vector: str, dim: int) -> dict[int, int]:
+    """Rows of each cell that can be ranked: vectors of length ``dim`` whose elements are all finite numbers."""
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    usable = F.col(vector).isNotNull() & (F.size(vector) == dim) & F.forall(vector, number)
+    return {r.cell: r["count"] for r in corpus.where(usable).groupBy("cell").count().collect()}  # a row per cell
+
+
 def _candidates(corpus: DataFrame, ids: list, matrix: np.ndarray, id_type: T.DataType, k: int, columns: list[str], vector: str, probes: np.ndarray | None) -> DataFrame:
     spark = corpus.sparkSession
     shared, dim = spark.sparkContext.broadcast((ids, matrix, probes)), matrix.shape[1]
@@ -141,13 +148,15 @@ def top_k(
     """(query_id, id, carried columns, sim, rank) of the k rows of largest cosine with each query; fewer rows give fewer.
 
     Null vectors, ids and vectors of another length take no part; a zero vector has the similarity 0 with all. Ids are
-    integers or strings. Without queries the result is empty. Queries are read once per block of ``BLOCK_BYTES``.
+    integers or strings. Without queries the result is empty. Queries are read once per block of ``BLOCK_BYTES``. With
+    ``probes`` (see ``CellIndex.probes``) a query sees the rows of some cells only, but k rows if there are as many.
     """
-    _, blocks = _blocks(queries, query_id, query_vector)
+    dim, blocks = _blocks(queries, query_id, query_vector)
     id_type = T.StringType() if isinstance(queries.schema[query_id].dataType, T.StringType) else T.LongType()
     columns = [id_col, *carry]
     rows = corpus.where(F.col(id_col).isNotNull())
-    parts = [_candidates(rows, ids, m, id_type, k, columns, vector_col, probes(m) if probes else None) for ids, m in blocks]
+    sizes = _cell_sizes(rows, vector_col, dim) if probes and dim else {}
+    parts = [_candidates(rows, ids, m, id_type, k, columns, vector_col, probes(m, k, sizes) if probes else None) for ids, m in blocks]
     if not parts:
         fields = [T.StructField("query_id", id_type), *(corpus.schema[c] for c in columns), T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())]
         return corpus.sparkSession.createDataFrame([], T.StructType(fields))
@@ -222,17 +231,24 @@ class CellIndex:
         return corpus.withColumn("cell", nearest(vector_col))
 
     def probes(self, nprobe: int):
-        def of(queries: np.ndarray) -> np.ndarray:
+        """Cells to search by query: the ``nprobe`` nearest, and on to further ones while these hold fewer than k rows; -2 is no cell."""
+
+        def of(queries: np.ndarray, k: int, sizes: dict[int, int]) -> np.ndarray:
             c = self.centroids
-            return np.argsort(-(2 * queries @ c.T - (c * c).sum(axis=1)), axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+            if queries.shape[1] != c.shape[1]:  # rows of this length are in no cell
+                return np.full((len(queries), 1), -1, np.int32)
+            near = np.argsort(-(2 * queries @ c.T - (c * c).sum(axis=1)), axis=1, kind="stable").astype(np.int32)
+            before = np.cumsum(np.array([sizes.get(i, 0) for i in range(len(c))])[near], axis=1)
+            before = np.hstack([np.zeros((len(near), 1), before.dtype), before[:, :-1]])
+            return np.where((np.arange(len(c)) < nprobe) | (before < k), near, -2).astype(np.int32)
 
         return of
 
 
 class DenseCells(DenseExact):
-    """The same contract over rows that ``CellIndex.assign`` put in cells: a query sees those of its ``nprobe`` nearest cells."""
+    """The same contract over rows that ``CellIndex.assign`` put in cells: a query sees those of its ``nprobe`` nearest cells, and of more while they hold fewer than ``pool_k`` rows."""
 
-    def __init__(self, corpus: DataFrame, index: CellIndex, nprobe: int = 16, **options):
+    def __init__(self, corpus: DataFrame, index: CellIndex, nprobe: int = 48, **options):
         super().__init__(corpus, **options)
         self.index, self.nprobe = index, nprobe
 

@@ -110,10 +110,10 @@ def distinct_on_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate: the nearest 16 of 32 cells of each query."""
+    """Approximate: the nearest 24 of 32 cells of each query."""
     vectors = _vectors(spark, sf_dir)
     index = search.CellIndex.fit(vectors, cells=32)
-    found = search.top_k(index.assign(vectors), _queries(vectors), TOP, id_col="vec_id", probes=index.probes(16))
+    found = search.top_k(index.assign(vectors), _queries(vectors), TOP, id_col="vec_id", probes=index.probes(24))
     return found.select("query_id", "vec_id", F.round("sim", 6).alias("score"), "rank")
 
 

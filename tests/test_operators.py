@@ -12,6 +12,7 @@ from conftest import SF
 from korpusmill.functions import text as X
 from korpusmill.functions import vector as V
 from korpusmill.operators import chunk, corpus, encode, evaluate, mining, search
+from korpusmill.plans import queries as plans
 from korpusmill.schema import WHITE
 
 
@@ -146,6 +147,28 @@ def test_cells_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_cells_recall_at_the_parameters_in_use(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.vec_id) for r in plans.dense_topk(spark, sf_dir).collect()}
+    near = {(r.query_id, r.vec_id) for r in plans.cell_topk(spark, sf_dir).collect()}
+    assert len(near) == len(exact) and len(exact & near) / len(exact) >= 0.9
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 4").alias("case_no"), "embedding")
+    q = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    index = search.CellIndex.fit(v)
+    exact, near = ({(r.query_id, r.chunk_id) for r in x.pool(q).collect()} for x in (search.DenseExact(v), search.DenseCells(index.assign(v), index)))
+    assert len(near) == len(exact) == 40 * 500 and len(exact & near) / len(exact) >= 0.9
+
+
+def test_cells_go_on_while_there_are_too_few_rows(spark):
+    """Ten rows a cell, some of which cannot be ranked: a query for twelve goes on from its nearest cell."""
+    index = search.CellIndex(np.eye(4))
+    rows = [(10 * c + i, [float(c == j) + (i / 100) for j in range(4)]) for c in range(4) for i in range(10)] + [(None, [1.0, 0.0, 0.0, 0.0]), (90, [float("nan")] * 4), (91, [1.0])]
+    df = index.assign(spark.createDataFrame(rows, "chunk_id long, embedding array<double>"))
+    q = spark.createDataFrame([(0, [1.0, 0.2, 0.0, 0.0])], "query_id long, embedding array<double>")
+    got = lambda k: {r.chunk_id for r in search.top_k(df, q, k, probes=index.probes(1)).collect()}
+    assert got(5) <= set(range(10)) and len(got(12)) == 12 and got(12) <= set(range(20)) and got(99) == set(range(40))
+
+
 def test_pool_is_cut_before_documents(spark):
     """A document whose chunks are all outside the pool is not ranked, and the order is by score, not by document."""
     rows = [(1, 9, [1.0, 0.0]), (2, 9, [0.9, 0.1]), (3, 1, [0.5, 0.5]), (4, 2, [0.0, 1.0])]
