@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from korpusmill.storage import Scratch
 
 BUCKETS = 1 << 13
-#: Of the text model: languages, documents of each, characters of each document at most.
-LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 32, 400, 20_000
+#: Of the text model: documents of each language, characters read of each document, languages of a dense table at most.
+SAMPLE_DOCS, SAMPLE_CHARS, DENSE = 400, 20_000, 256
 #: Weight of the text's log-likelihood (its 3-grams overlap), prior of a text in none of the languages, rows' worth of smoothing.
 TEMPER, UNKNOWN, STRENGTH = 0.5, 0.01, 10.0
 NONE = "und"
@@ -39,30 +40,70 @@ def grams(text: str) -> np.ndarray:
 
 
 class TextModel:
-    """Smoothed log-probabilities of 3-grams by language; the last row is a text in none of them, with all 3-grams alike."""
+    """Smoothed log-probabilities of 3-grams by language; the last row is a text in none of them, with all 3-grams alike.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    Over ``DENSE`` languages they are kept as the value of an unseen 3-gram by language, and by 3-gram what those
+    languages that have it are above that.
+    """
+
+    def __init__(self, languages: list[str], seen: list[tuple[np.ndarray, np.ndarray]]):
+        """``seen``: of each language the buckets it has, in order, and their counts."""
         self.languages = [*languages, NONE]
-        share = (counts + 0.2) / (counts.sum(axis=1, keepdims=True) + 0.2 * BUCKETS) if len(languages) else np.zeros((0, BUCKETS))
-        self.table = np.vstack([np.log(share), np.full((1, BUCKETS), -math.log(BUCKETS))])
+        total = np.array([n.sum() for _, n in seen] or np.zeros(0), np.float64) + 0.2 * BUCKETS
+        self.unseen = np.append(np.log(0.2 / total), -math.log(BUCKETS))
+        above = [np.log((n + 0.2) / 0.2) for _, n in seen]
+        self.table = None
+        if len(languages) <= DENSE:
+            self.table = np.repeat(self.unseen[:, None], BUCKETS, axis=1)
+            for row, (b, _), x in zip(self.table, seen, above, strict=False):  # the last row has no counts
+                row[b] += x
+            return
+        buckets = np.concatenate([b for b, _ in seen])
+        order = np.argsort(buckets, kind="stable")
+        self.start = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
+        self.owner = np.repeat(np.arange(len(seen), dtype=np.int32), [len(b) for b, _ in seen])[order]
+        self.above = np.concatenate(above)[order]
 
     def likelihood(self, text: str) -> np.ndarray:
         g = grams(text)
-        return self.table @ np.bincount(g, minlength=BUCKETS) if len(g) > 512 else self.table[:, g].sum(axis=1)
+        if self.table is not None:
+            return self.table @ np.bincount(g, minlength=BUCKETS) if len(g) > 512 else self.table[:, g].sum(axis=1)
+        out = self.unseen * len(g)
+        for b, n in zip(*(x.tolist() for x in np.unique(g, return_counts=True)), strict=True):
+            lo, hi = self.start[b], self.start[b + 1]
+            out[self.owner[lo:hi]] += n * self.above[lo:hi]  # a language has a bucket once
+        return out
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> TextModel:
-    """From up to ``sample_docs`` rows, first by a hash of the id, of each of the ``LANGUAGES`` most frequent labels; null labels and texts are left out."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
-    found = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in found)
-    counts = np.zeros((len(languages), BUCKETS))
-    for r in found:
-        rate = min(1.0, 4 * sample_docs / r["count"])
-        part = known.where((F.col(lang_col) == r.lang) & (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(rate * (1 << 30))))
-        for x in part.orderBy(F.xxhash64(id_col), id_col).limit(sample_docs).select(F.col(text_col).alias("text")).collect():
-            counts[languages.index(r.lang)] += np.bincount(grams(x.text), minlength=BUCKETS)
-    return TextModel(languages, counts)
+    """From the first ``SAMPLE_CHARS`` characters of up to ``sample_docs`` rows, first by a hash of the id, of every label; null labels and texts without a letter are left out."""
+    hash_ = F.xxhash64(id_col)
+    known = docs.select(F.col(lang_col).alias("lang"), hash_.alias("hash"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    known = known.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).withColumn("part", F.pmod("hash", F.lit(1 << 30)))
+    # the least hash is always in, so no label is without a row
+    bounds = known.groupBy("lang").agg((F.least(F.lit(1.0), 4.0 * sample_docs / F.count(F.lit(1))) * (1 << 30)).alias("bound"), F.min("part").alias("least"))
+    rows = known.join(F.broadcast(bounds), "lang").where((F.col("part") < F.col("bound")) | (F.col("part") == F.col("least")))
+    rows = rows.select("lang", "hash", "key", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key", F.xxhash64("text")))
+    sample = rows.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every language in a task one row."""
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.bincount(grams(text), minlength=BUCKETS)
+                found[lang] = found[lang] + n if lang in found else n
+        for lang, n in found.items():
+            b = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([b.astype(np.int32).tobytes()], pa.binary()), pa.array([n[b].astype(np.int64).tobytes()], pa.binary())], names=["lang", "b", "n"])
+
+    counts: dict[str, np.ndarray] = {}
+    for r in sample.mapInArrow(count, "lang string, b binary, n binary").toLocalIterator():
+        own = counts.setdefault(r.lang, np.zeros(BUCKETS, np.int64))
+        own[np.frombuffer(r.b, np.int32)] += np.frombuffer(r.n, np.int64)
+    languages = sorted(counts)
+    return TextModel(languages, [(b := np.flatnonzero(counts[x]), counts[x][b]) for x in languages])
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:

@@ -378,6 +378,35 @@ def test_language_id(spark, docs, odd, empty):
     assert language_id.address("http://[bad") == (None, None, None) and language_id.address("https://a.b.org/de/x") == ("a.b.org", "b.org", "/de")
 
 
+def _tongues(n):
+    """Labels with words of their own each: (label, text) of two rows a label; the second language's texts are all long."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)]
+        rows += [(f"l{i:03d}", " ".join(rng.choice(words, 4000 if i == 1 else 60))) for _ in range(3 if i % 2 else 2)]
+    return rows
+
+
+def test_every_label_is_a_language(spark, monkeypatch):
+    made = [(i, t, x) for i, (x, t) in enumerate(_tongues(40))] + [(None, " 12", "zz"), (None, None, "zy")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("markup"))
+    model = language_id.fit(docs)
+    assert model.languages == [*(f"l{i:03d}" for i in range(40)), "und"]
+    found = {r.doc_id: (r.lang, r.accepted) for r in language_id.identify(rows, model, ["doc_id"]).collect()}
+    assert all(found[i] == (x, True) for i, _, x in made if i is not None)
+    monkeypatch.setattr(language_id, "DENSE", 8)
+    joined = language_id.fit(docs)
+    assert joined.table is None and all(np.allclose(joined.likelihood(t), model.likelihood(t)) for t in ("", "x", *(t for _, t, _ in made[:9])))
+
+
+def test_a_label_of_one_id_is_sampled(spark):
+    """All rows of a label share an id whose hash is over the sample's bound."""
+    docs = spark.createDataFrame([(i, "one two three " * 3, "a") for i in range(50)] + [(7, "quatre cinq six " * 3, "b")] * 50, "doc_id long, text string, lang string")
+    assert all(language_id.fit(docs, sample_docs=n).languages == ["a", "b", "und"] for n in (1, 2))
+
+
 def test_host_prior_decides_where_text_says_little(spark, docs):
     model = language_id.fit(docs)
     text = {r.lang: r.text for r in docs.where("lang IS NOT NULL AND n_chars BETWEEN 1500 AND 8000").collect()}
