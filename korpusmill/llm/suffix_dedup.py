@@ -156,17 +156,17 @@ def _runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: A segment to compare with others; settled as repeated; settled as to be taken apart; both to be taken apart and to compare with.
 KEY, REPEAT, LOOSE, WITNESS = 0, 1, 2, 3
-SEGMENT = "kind byte, anchor long, body long, id long, at long"
+SEGMENT = "kind byte, anchor long, body long, id long, sub long, at long"
 
 
-def _compared(anchor: np.ndarray, body: np.ndarray, owner: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Segments ordered by (anchor, body, owner, at): one row per anchor to compare with other tasks, and what is settled here."""
-    order = np.lexsort((at, owner, body, anchor))
-    anchor, body, owner, at = anchor[order], body[order], owner[order], at[order]
+def _compared(anchor: np.ndarray, body: np.ndarray, owner: np.ndarray, sub: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Segments ordered by (anchor, body, owner, sub, at): one row per anchor to compare with other tasks, and what is settled here."""
+    order = np.lexsort((at, sub, owner, body, anchor))
+    anchor, body, owner, sub, at = (x[order] for x in (anchor, body, owner, sub, at))
     new_a = np.append(True, anchor[1:] != anchor[:-1])
     new_b = new_a | np.append(True, body[1:] != body[:-1])
     first = np.flatnonzero(new_b)[np.cumsum(new_b) - 1]
-    again = ~new_b & ((owner != owner[first]) | (at != at[first]))  # a repeated row is no repeat of itself
+    again = ~new_b & ((owner != owner[first]) | (sub != sub[first]) | (at != at[first]))  # a repeated row is no repeat of itself
     group = np.cumsum(new_a) - 1
     several = np.bincount(group[new_b]) > 1
     kind = np.full(len(anchor), KEY, np.int8)
@@ -174,22 +174,22 @@ def _compared(anchor: np.ndarray, body: np.ndarray, owner: np.ndarray, at: np.nd
     kind[new_a & several[group]] = WITNESS
     kind[again] = REPEAT
     take = np.flatnonzero(new_b | again)
-    kind, anchor, body, owner, at = (x[take] for x in (kind, anchor, body, owner, at))
+    kind, anchor, body, owner, sub, at = (x[take] for x in (kind, anchor, body, owner, sub, at))
     alone = (kind == REPEAT) | (kind == LOOSE)  # these get a key of their own, so no key is hot
-    anchor = np.where(alone, _mix(at.view(np.uint64) ^ _mix(owner.view(np.uint64))), anchor)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, anchor.view(np.int64), body.view(np.int64), owner, at)], names=["kind", "anchor", "body", "id", "at"])
+    anchor = np.where(alone, _mix(at.view(np.uint64) ^ _mix((owner ^ sub).view(np.uint64))), anchor)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, anchor.view(np.int64), body.view(np.int64), owner, sub, at)], names=["kind", "anchor", "body", "id", "sub", "at"])
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """(id, at, kind) of segments that are REPEAT or LOOSE; a key has as many rows as tasks at most."""
+    """(id, sub, at, kind) of segments that are REPEAT or LOOSE; a key has as many rows as tasks at most."""
     here = Window.partitionBy("compared", "anchor")
     kind = F.col("kind")
     return (
         rows.withColumn("compared", kind.isin(KEY, WITNESS)).withColumn("many", F.count(F.lit(1)).over(here))
         .withColumn("differ", (F.max(kind == WITNESS).over(here) | (F.min("body").over(here) != F.max("body").over(here))))
-        .withColumn("nth", F.dense_rank().over(here.orderBy("body", "id", "at")))
+        .withColumn("nth", F.dense_rank().over(here.orderBy("body", "id", "sub", "at")))
         .select(
-            "id", "at",
+            "id", "sub", "at",
             F.when(~F.col("compared"), kind).when(kind == WITNESS, LOOSE).when(F.col("many") == 1, KEY).when(F.col("differ"), LOOSE)
             .when(F.col("nth") > 1, REPEAT).otherwise(KEY).cast("byte").alias("kind"),
         )
@@ -197,47 +197,57 @@ def _judged(rows: DataFrame) -> DataFrame:
     )
 
 
-def _loads(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[list[int], list[bytes], list]]:
-    """(ids, texts, values of a third column) of about ``FLUSH`` bytes."""
-    ids, texts, more, size = [], [], [], 0
+def _loads(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list]]:
+    """(ids, subs, texts, values of a fourth column) of about ``FLUSH`` bytes."""
+    ids, subs, texts, more, size = [], [], [], [], 0
     for batch in batches:
         for i in range(batch.num_rows):
-            text = (batch.column(1)[i].as_py() or "").encode()
+            text = (batch.column(2)[i].as_py() or "").encode()
             ids.append(batch.column(0)[i].as_py())
+            subs.append(batch.column(1)[i].as_py())
             texts.append(text)
             if extra:
-                more.append(batch.column(2)[i].as_py())
+                more.append(batch.column(3)[i].as_py())
             size += len(text)
             if size >= FLUSH:
-                yield ids, texts, more
-                ids, texts, more, size = [], [], [], 0
+                yield np.array(ids, np.int64), np.array(subs, np.int64), texts, more
+                ids, subs, texts, more, size = [], [], [], [], 0
     if ids:
-        yield ids, texts, more
+        yield np.array(ids, np.int64), np.array(subs, np.int64), texts, more
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Documents dealt by id, and (id, ats): of each document with any, its repeated suffixes (see ``_at``)."""
+def repeats(docs: DataFrame, length: int, parts: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Documents (id, text, carried columns) with ``sub``, dealt by key; (key, ats): of each document with any, its repeated suffixes (see ``_at``); the key.
+
+    The key is the id, and where texts share one also ``sub``, a hash of the text.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    whole = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = whole.repartition(parts, "id")  # used twice below in one plan, which shuffles it once
+    others = [c for c in docs.columns if c not in ("id", "text")]
+    whole = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    texts = whole.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = bool(texts.where("lo <> hi").limit(1).count())  # without it all subs are 0, which costs no disk
+    key = ["id", "sub"] if shared else ["id"]
+    whole = whole.select("id", (F.xxhash64("text") if shared else F.lit(0).cast("long")).alias("sub"), "text", *others)
+    dealt = whole.repartition(parts, *key)  # used three times in one plan with the same columns, which shuffles it once
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, _ in _loads(batches):
+        for ids, subs, texts, _ in _loads(batches):
             x = segments(texts, length)
             if len(x["at"]):
-                yield _compared(x["anchor"], x["body"], np.array(ids, np.int64)[x["text"]], x["at"])
+                yield _compared(x["anchor"], x["body"], ids[x["text"]], subs[x["text"]], x["at"])
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, ats in _loads(batches, 1):
+        for ids, subs, texts, ats in _loads(batches, 1):
             parts = [_short(text, np.array(at, np.int64), length) for text, at in zip(texts, ats, strict=True)]
             anchor, body, at = (np.concatenate([x[k] for x in parts]) for k in range(3))
-            yield _compared(anchor, body, np.repeat(np.array(ids, np.int64), [len(x[2]) for x in parts]), at)
+            many = [len(x[2]) for x in parts]
+            yield _compared(anchor, body, np.repeat(ids, many), np.repeat(subs, many), at)
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, ats in _loads(batches, 1):
-            keys, owner, lo = [[], []], [], []
-            for key, text, at in zip(ids, texts, ats, strict=True):
+        for ids, subs, texts, ats in _loads(batches, 1):
+            keys, owner, sub, lo = [[], []], [], [], []
+            for own, part, text, at in zip(ids, subs, texts, ats, strict=True):
                 at = np.array(at, np.int64)
                 for f, m in zip(*(x.tolist() for x in _runs(at >> 16, at & 255)), strict=True):
                     for b in range(f, f + m, BLOCK):
@@ -245,34 +255,35 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, parts: int
                         data = np.frombuffer(text, np.uint8, some + length - 1, b)
                         for which in (0, 1):
                             keys[which].append(Rolling(data, which).all(length))
-                        owner.append(np.full(some, key, np.int64))
+                        owner.append(np.full(some, own, np.int64))
+                        sub.append(np.full(some, part, np.int64))
                         lo.append(np.arange(b, b + some))
-            k1, k2, owner, lo = (np.concatenate(x) for x in (*keys, owner, lo))
-            order = np.lexsort((lo, owner, k2, k1))
-            k1, k2, owner, lo = k1[order], k2[order], owner[order], lo[order]
-            same = np.append(False, (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (owner[1:] == owner[:-1]) & (lo[1:] == lo[:-1]))
-            k1, k2, owner, lo = k1[~same], k2[~same], owner[~same], lo[~same]
+            k1, k2, owner, sub, lo = (np.concatenate(x) for x in (*keys, owner, sub, lo))
+            order = np.lexsort((lo, sub, owner, k2, k1))
+            k1, k2, owner, sub, lo = (x[order] for x in (k1, k2, owner, sub, lo))
+            same = np.append(False, np.logical_and.reduce([x[1:] == x[:-1] for x in (k1, k2, owner, sub, lo)]))
+            k1, k2, owner, sub, lo = (x[~same] for x in (k1, k2, owner, sub, lo))
             new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
             # the first of a group here ships its key; repeats of it are settled and get a key of their own
-            k1, k2 = np.where(new, k1.view(np.int64), owner), np.where(new, k2.view(np.int64), lo)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (~new, k1, k2, owner, lo)], names=["settled", "k1", "k2", "id", "lo"])
+            k1, k2 = np.where(new, k1.view(np.int64), owner ^ sub), np.where(new, k2.view(np.int64), lo)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (~new, k1, k2, owner, sub, lo)], names=["settled", "k1", "k2", "id", "sub", "lo"])
 
     def taken_apart(judged: DataFrame) -> DataFrame:
-        loose = judged.where(F.col("kind") == LOOSE).groupBy("id").agg(F.collect_list("at").alias("ats"))
-        return dealt.join(loose, "id").select("id", "text", "ats")
+        loose = judged.where(F.col("kind") == LOOSE).groupBy(*key).agg(F.collect_list("at").alias("ats"))
+        return dealt.join(loose, key).select("id", "sub", "text", "ats", *others)
 
-    segment = scratch.save(_judged(whole.mapInArrow(first_pass, SEGMENT)), "segments", ["kind"])
+    segment = scratch.save(_judged(whole.select("id", "sub", "text").mapInArrow(first_pass, SEGMENT)), "segments", ["kind"])
     short = _judged(taken_apart(segment).mapInArrow(second_pass, SEGMENT))
-    single = taken_apart(short).mapInArrow(last_pass, "settled boolean, k1 long, k2 long, id long, lo long")
+    single = taken_apart(short).mapInArrow(last_pass, "settled boolean, k1 long, k2 long, id long, sub long, lo long")
     later = (
-        single.withColumn("nth", F.dense_rank().over(Window.partitionBy("settled", "k1", "k2").orderBy("id", "lo")))
-        .where(F.col("settled") | (F.col("nth") > 1)).select("id", (F.shiftleft(F.col("lo"), 16) + 1).alias("at"))
+        single.withColumn("nth", F.dense_rank().over(Window.partitionBy("settled", "k1", "k2").orderBy("id", "sub", "lo")))
+        .where(F.col("settled") | (F.col("nth") > 1)).select("id", "sub", (F.shiftleft(F.col("lo"), 16) + 1).alias("at"))
     )
     every = (
-        later.unionByName(short.where(F.col("kind") == REPEAT).select("id", "at")).unionByName(segment.where(F.col("kind") == REPEAT).select("id", "at"))
-        .groupBy("id").agg(F.collect_list("at").alias("ats"))
+        later.unionByName(short.where(F.col("kind") == REPEAT).select("id", "sub", "at")).unionByName(segment.where(F.col("kind") == REPEAT).select("id", "sub", "at"))
+        .groupBy(*key).agg(F.collect_list("at").alias("ats"))
     )
-    return dealt, every
+    return dealt, every, key
 
 
 def _short(text: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,19 +324,20 @@ def kept(text: bytes, ats: list[int], length: int) -> tuple[bytes, list[tuple[in
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte of a text that a string of ``length`` UTF-8 bytes covers which also starts earlier.
 
-    Earlier is a smaller id, or the same document and a smaller offset; strings are judged on the input. With
+    Earlier is a smaller id, of one id a smaller hash of the text, or the same document and a smaller offset; strings are judged on the input. With
     ``whole_characters`` a run's ends shrink to whole characters, so that what is left is valid text again.
 
     Returns (id, n_bytes, n_removed, n_spans, kept binary, spans array of (start, end)). Null text is empty; a text under
     ``length`` bytes loses nothing; an empty table gives an empty result. Ids are integers; a null id counts as the
-    smallest integer. Rows that share an id count as one document at the same offsets, and each loses what is found in any. Columns named in ``carry`` are added to the result (rows of one id get one row's); others are
-    not read.
+    smallest integer. Rows that share an id and a text count as one document, and each loses what that does; different
+    texts of one id are documents of their own. Columns named in ``carry`` are added to the result, to every row its own;
+    others are not read.
     """
     if not GRAM <= length <= 255 - 1 + GRAM:
         raise ValueError(f"length must be from {GRAM} to {254 + GRAM}")
     smallest = -(2**63)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("id"), F.col(text_col).alias("text"))
-    dealt, every = repeats(own, "id", "text", length, shuffle_partitions(docs.sparkSession))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []))
+    dealt, every, by = repeats(own, length, shuffle_partitions(docs.sparkSession))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,12 +356,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:bigint,end:bigint>>"
 
-    joined = dealt.join(every, "id", "left")
+    joined = dealt.join(every, by, "left")
     if not carry:
         return joined.select("id", "text", "ats").mapInArrow(cut, schema)
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("id")
-    others = docs.select(ident, F.struct(*[F.col(c) for c in carry]).alias("carried")).dropDuplicates(["id"])
-    out = joined.join(others, "id", "left").select("id", "text", "ats", "carried").mapInArrow(cut, f"{schema}, carried {others.schema['carried'].dataType.simpleString()}")
+    out = joined.select("id", "text", "ats", "carried").mapInArrow(cut, f"{schema}, carried {own.schema['carried'].dataType.simpleString()}")
     return out.select("*", *[F.col("carried")[c].alias(c) for c in carry]).drop("carried")
 
 

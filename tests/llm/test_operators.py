@@ -159,6 +159,28 @@ def test_suffix_dedup(spark, odd, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared_id", [None, 5])
+def test_suffix_dedup_of_texts_that_share_an_id(spark, shared_id):
+    """Every text loses its own repeats at its own offsets, and keeps its own carried columns."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    passage = noise(150)
+    texts = [noise(700) + passage + noise(30), noise(900), noise(300), passage + noise(40), noise(50) + passage[:130], ""]
+    rows = [(-9, passage, "p"), *((shared_id, t, str(i)) for i, t in enumerate([*texts, texts[0]])), (77, "q" + passage[3:], "q"), (shared_id, None, "none")]
+    smallest = -(2**63)
+    docs = {(smallest if i is None else i, t) for i, t, _ in rows if t}
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in docs], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(docs, key=lambda d: (d[0], hashes[d[1]]))
+    want = {d: x for d, x in zip(order, suffix_dedup.brute_force(dict(enumerate(d[1] for d in order)), 100).values())}
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, f"{SCHEMA}, mark string"), carry=("mark",)).collect()
+    assert len(got) == len(rows)
+    text = {m: (smallest if i is None else i, t) for i, t, m in rows}
+    for r in got:
+        assert r.mark in text and (smallest if r.doc_id is None else r.doc_id) == text[r.mark][0]
+        left = (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())
+        assert left == (want[text[r.mark]] if text[r.mark][1] else (0, 0, 0, hashlib.sha256(b"").hexdigest()))
+
+
 # 4
 
 
