@@ -76,22 +76,17 @@ class _Best:
         return table
 
 
-def _blocks(queries: DataFrame, query_id: str, vector: str) -> tuple[int, Iterator[tuple[list, np.ndarray]]]:
-    """Vector length, and blocks (ids, unit vectors) of at most about ``BLOCK_BYTES``."""
-    own = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(query_id, F.col(vector).alias("v"))
-    n, dim = own.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    if not n:
-        return 0, iter(())
-    blocks = -(-n * dim * 8 // BLOCK_BYTES)
-
-    def read() -> Iterator[tuple[list, np.ndarray]]:
+def _blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[int, list, np.ndarray]]:
+    """By vector length blocks (length, ids, unit vectors) of at most about ``BLOCK_BYTES``."""
+    own = queries.where(F.col(query_id).isNotNull() & (F.size(vector) > 0)).select(query_id, F.col(vector).alias("v"))
+    for dim, n in sorted(map(tuple, own.groupBy(F.size("v")).count().collect())):  # a row per length
+        blocks = -(-n * dim * 8 // BLOCK_BYTES)
+        alike = own.where(F.size("v") == dim)
         for b in range(blocks):
-            part = own.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else own
-            rows = sorted(part.where(F.size("v") == dim).collect(), key=lambda r: r[0])  # a block's size is bounded
+            part = alike.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else alike
+            rows = sorted(part.collect(), key=lambda r: r[0])  # a block's size is bounded
             if rows:
-                yield [r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64))
-
-    return dim, read()
+                yield dim, [r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64))
 
 
 def _cell_sizes(corpus: DataFrame, vector: str, dim: int) -> dict[int, int]:
@@ -147,16 +142,18 @@ def top_k(
 ) -> DataFrame:
     """(query_id, id, carried columns, sim, rank) of the k rows of largest cosine with each query; fewer rows give fewer.
 
-    Null vectors, ids and vectors of another length take no part; a zero vector has the similarity 0 with all. Ids are
+    Queries are searched among rows of their vector's length. Null vectors and ids take no part; a zero vector has the similarity 0 with all. Ids are
     integers or strings. Without queries the result is empty. Queries are read once per block of ``BLOCK_BYTES``. With
     ``probes`` (see ``CellIndex.probes``) a query sees the rows of some cells only, but k rows if there are as many.
     """
-    dim, blocks = _blocks(queries, query_id, query_vector)
     id_type = T.StringType() if isinstance(queries.schema[query_id].dataType, T.StringType) else T.LongType()
     columns = [id_col, *carry]
     rows = corpus.where(F.col(id_col).isNotNull())
-    sizes = _cell_sizes(rows, vector_col, dim) if probes and dim else {}
-    parts = [_candidates(rows, ids, m, id_type, k, columns, vector_col, probes(m, k, sizes) if probes else None) for ids, m in blocks]
+    parts, sizes = [], {}
+    for dim, ids, m in _blocks(queries, query_id, query_vector):
+        if probes and dim not in sizes:
+            sizes[dim] = _cell_sizes(rows, vector_col, dim)
+        parts.append(_candidates(rows, ids, m, id_type, k, columns, vector_col, probes(m, k, sizes[dim]) if probes else None))
     if not parts:
         fields = [T.StructField("query_id", id_type), *(corpus.schema[c] for c in columns), T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())]
         return corpus.sparkSession.createDataFrame([], T.StructType(fields))

@@ -136,6 +136,17 @@ def test_top_k_equals_brute_force_in_blocks_with_ties(spark, monkeypatch):
     assert search.top_k(df, q.limit(0), 3).count() == 0
 
 
+def test_queries_of_several_lengths(spark):
+    """A longer query vector is searched among the rows of its length and takes nothing from the others."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None)], "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.1]), (1, [1.0, 0.0, 0.0]), (2, [1.0]), (3, []), (4, None)], "query_id long, embedding array<float>")
+    want = [(0, 1, 1), (0, 2, 2), (1, 3, 1)]
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in search.top_k(df, q, 5).collect()) == sorted((a, c, b) for a, b, c in want)
+    index = search.CellIndex(np.eye(2))
+    got = search.top_k(index.assign(df), q, 5, probes=index.probes(1)).collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == want
+
+
 def test_cells_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
