@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from korpusmill.llm.skew import join_unique
 from korpusmill.storage import Scratch
 
 BUCKETS = 1 << 13
@@ -75,20 +76,10 @@ class TextModel:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> TextModel:
-    """From the first ``SAMPLE_CHARS`` characters of up to ``sample_docs`` rows, first by a hash of the id, of every label; null labels and texts without a letter are left out."""
-    hash_ = F.xxhash64(id_col)
-    known = docs.select(F.col(lang_col).alias("lang"), hash_.alias("hash"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    known = known.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).withColumn("part", F.pmod("hash", F.lit(1 << 30)))
-    # the least hash is always in, so no label is without a row
-    bounds = known.groupBy("lang").agg((F.least(F.lit(1.0), 4.0 * sample_docs / F.count(F.lit(1))) * (1 << 30)).alias("bound"), F.min("part").alias("least"))
-    rows = known.join(F.broadcast(bounds), "lang").where((F.col("part") < F.col("bound")) | (F.col("part") == F.col("least")))
-    rows = rows.select("lang", "hash", "key", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key", F.xxhash64("text")))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "text")
+def _counted(sample: DataFrame) -> dict[str, np.ndarray]:
+    """3-gram counts of (lang, text) rows by language, taken in tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every language in a task one row."""
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -99,9 +90,35 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([b.astype(np.int32).tobytes()], pa.binary()), pa.array([n[b].astype(np.int64).tobytes()], pa.binary())], names=["lang", "b", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(count, "lang string, b binary, n binary").toLocalIterator():
+    for r in sample.mapInArrow(count, "lang string, b binary, n binary").toLocalIterator():  # a language is in one task
         own = counts.setdefault(r.lang, np.zeros(BUCKETS, np.int64))
         own[np.frombuffer(r.b, np.int32)] += np.frombuffer(r.n, np.int64)
+    return counts
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> TextModel:
+    """From the first ``SAMPLE_CHARS`` characters of up to ``sample_docs`` rows, first by a hash of the id, of every label; null labels and texts without a letter are left out.
+
+    Labels are counted without their texts, which are read once; only labels of which the sample caught no text with a
+    letter are looked for again.
+    """
+    spark, hash_ = docs.sparkSession, F.xxhash64(id_col)
+    known = docs.select(F.col(lang_col).alias("lang"), hash_.alias("hash"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    known = known.where("lang IS NOT NULL").withColumn("part", F.pmod("hash", F.lit(1 << 30)))
+    share = F.least(F.lit(1.0), 4.0 * sample_docs / F.count(F.lit(1))) * (1 << 30)
+    bounds = [tuple(r) for r in known.groupBy("lang").agg(share, F.min("part")).collect()]  # a row per label
+    if not bounds:
+        return TextModel([], [])
+    small = spark.createDataFrame(bounds, "lang string, bound double, least long")
+    lettered = known.where(F.col("text").rlike(r"\p{L}"))
+    # the least hash is always in
+    rows = lettered.join(F.broadcast(small), "lang").where((F.col("part") < F.col("bound")) | (F.col("part") == F.col("least")))
+    rows = rows.select("lang", "hash", "key", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key", F.xxhash64("text")))
+    counts = _counted(rows.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "text"))
+    if missing := [(x,) for x, *_ in bounds if x not in counts]:
+        again = lettered.join(F.broadcast(spark.createDataFrame(missing, "lang string")), "lang")
+        counts |= _counted(again.groupBy("lang").agg(F.min_by(F.substring("text", 1, SAMPLE_CHARS), F.struct("hash", "key")).alias("text")))
     languages = sorted(counts)
     return TextModel(languages, [(b := np.flatnonzero(counts[x]), counts[x][b]) for x in languages])
 
@@ -119,18 +136,37 @@ def address(url: str | None) -> tuple[str | None, str | None, str | None]:
     return host, ".".join(host.split(".")[-2:]), "/" + m[1] if m else "." + host.rsplit(".", 1)[-1]
 
 
-SCORED = "text_score array<double>, letters boolean, declared string, suffix string, host string, domain string"
+def _normal(logs: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of log-weights."""
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def start(languages: list[str]) -> np.ndarray:
+    """Prior before any row is seen; the last of ``languages`` is none of them."""
+    return np.array([UNKNOWN if x == NONE else (1 - UNKNOWN) / max(len(languages) - 1, 1) for x in languages])
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+SCORED = "text_score array<double>, own array<double>, letters boolean, declared string, suffix string, host string, domain string"
 
 
 def scored(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
-    """Evidence of rows (keys, text, url, source, markup): with ``markup`` the tags go and the declared language is read; without url, ``source`` is the host."""
+    """Evidence of rows (keys, text, url, source, markup): with ``markup`` the tags go and the declared language is read; without url, ``source`` is the host.
+
+    ``text_score``: weighted log-likelihoods; ``own``: posterior by the text alone, of texts without a letter zero.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        prior = np.log(start(own.languages))
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            score, columns = np.zeros((batch.num_rows, len(own.languages))), [[] for _ in range(5)]
             for i in range(batch.num_rows):
                 text, url, source, markup = (batch.column(len(keys) + k)[i].as_py() for k in range(4))
                 text, declared = text or "", None
@@ -140,64 +176,80 @@ def scored(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
                 host, domain, suffix = address(url)
                 if url is None:
                     host = domain = source
-                letters = any(map(str.isalpha, text))
-                columns[0].append(own.likelihood(text) if letters else np.zeros(len(own.languages)))
-                for c, v in zip(columns[1:], (letters, declared, suffix, host, domain), strict=True):
+                if letters := any(map(str.isalpha, text)):
+                    score[i] = own.likelihood(text)
+                for c, v in zip(columns, (letters, declared, suffix, host, domain), strict=True):
                     c.append(v)
-            types = [pa.list_(pa.float64()), pa.bool_(), *[pa.string()] * 4]
-            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            score *= TEMPER
+            alone = _normal(score + prior) * np.array(columns[0], float).reshape(-1, 1)
+            made = [_lists(score), _lists(alone), pa.array(columns[0], pa.bool_()), *(pa.array(c, pa.string()) for c in columns[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *made], names=[*keys, *(x.split()[0] for x in SCORED.split(", "))])
 
     return rows.select(*keys, "text", "url", "source", "markup").mapInArrow(run, f"{kinds}, {SCORED}")
 
 
-def _softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    weights = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(weights, lambda v: v / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+def _filled(column: pa.Array, default: np.ndarray) -> np.ndarray:
+    """Rows of lists of one length as a matrix, null lists as ``default``."""
+    out = np.tile(default, (len(column), 1))
+    some = column.is_valid().to_numpy(zero_copy_only=False)
+    out[some] = column.drop_null().flatten().to_numpy().reshape(-1, len(default))
+    return out
+
 
+def fuse(evidence: DataFrame, languages: list[str], keys: list[str], scratch: Scratch) -> DataFrame:
+    """(keys, lang, confidence, accepted) from a saved table of ``scored`` rows; see ``identify``.
 
-def fuse(evidence: DataFrame, languages: list[str], keys: list[str]) -> DataFrame:
-    """(keys, lang, confidence, accepted) from ``scored`` rows; see ``identify``."""
-    size = len(languages)
-    start = F.array(*[F.lit(math.log(UNKNOWN if x == NONE else (1 - UNKNOWN) / max(size - 1, 1))) for x in languages])
-    # rows without letters say nothing about their host
-    evidence = evidence.withColumn("own", _softmax(F.zip_with(F.transform("text_score", lambda v: v * TEMPER), start, lambda a, b: a + b)))
-    voters = evidence.where("letters")
+    Sums of posteriors are aggregates that combine before their shuffle; a host or suffix that holds most rows is joined
+    by broadcast (``join_unique``).
+    """
+    size, wide = len(languages), 16 * len(languages) + 100
 
-    def sums(by: str, name: str) -> DataFrame:
-        return voters.where(F.col(by).isNotNull()).groupBy(by).agg(F.array(*[F.sum(F.col("own")[i]) for i in range(size)]).alias(name))
+    def sums(rows: DataFrame, by: str, column: str, *more: Column) -> DataFrame:
+        return rows.groupBy(by).agg(F.array(*[F.sum(F.col(column)[i]) for i in range(size)]).alias(f"{by}_n"), *more)
 
-    overall = voters.agg(*[F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(size)]).first()
-    floor = [math.exp(math.log(UNKNOWN if x == NONE else (1 - UNKNOWN) / max(size - 1, 1))) for x in languages]
+    hosts = scratch.save(sums(evidence, "host", "own", F.min("domain").alias("domain"), F.count(F.lit(1)).alias("rows")), "hosts")  # rows without a host are one of these
+    overall = hosts.agg(*[F.coalesce(F.sum(F.col("host_n")[i]), F.lit(0.0)) for i in range(size)]).first()
     total = sum(overall)
-    base_ = [(n + STRENGTH * f) / (total + STRENGTH) for n, f in zip(overall, floor, strict=True)]
-    base = F.array(*[F.lit(x) for x in base_])
+    base_ = (np.array(overall) + STRENGTH * start(languages)) / (total + STRENGTH)
+    base, all_n = (F.array(*[F.lit(float(x)) for x in v]) for v in (base_, overall))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    smooth = lambda n, towards: F.zip_with(n, towards, lambda a, b: (a + STRENGTH * b) / (add(n) + STRENGTH))
-
-    domains = sums("domain", "domain_n").select("domain", smooth(F.col("domain_n"), base).alias("domain_p"))
-    owners = voters.where("host is not null").groupBy("host").agg(F.min("domain").alias("domain"))
-    hosts = sums("host", "host_n").join(owners, "host").join(domains, "domain", "left").select("host", "host_n", F.coalesce("domain_p", base).alias("towards"))
+    domains = sums(hosts.where("domain IS NOT NULL"), "domain", "host_n", F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("hosts")).withColumn("all", add("domain_n"))
+    smooth = F.zip_with("domain_n", base, lambda a, b: (a + STRENGTH * b) / (F.col("all") + STRENGTH))
+    domains = scratch.save(domains.select("domain", smooth.alias("towards"), "hosts"), "domains")
+    named = scratch.save(hosts.where("host IS NOT NULL"), "named-hosts")
+    hosts = scratch.save(join_unique(named, domains, ["domain"], "hosts", "left", wide).select("host", "host_n", F.coalesce("towards", base).alias("towards"), "rows"), "priors")
     # P(value | language) of declared languages and suffixes, smoothed by STRENGTH rows at the value's share in all rows
-    tables = {}
+    out, saved = evidence, {}
     for by in ("declared", "suffix"):
-        counts = sums(by, f"{by}_n")
-        all_n = F.array(*[F.lit(float(x)) for x in overall])
-        share = add(F.col(f"{by}_n")) / max(total, 1e-9)
-        tables[by] = counts.select(by, F.zip_with(f"{by}_n", all_n, lambda a, b: F.log((a + STRENGTH * share) / (b + STRENGTH))).alias(f"{by}_log"))
-
-    out = evidence.join(hosts, "host", "left").join(tables["declared"], "declared", "left").join(tables["suffix"], "suffix", "left")
-    zero = F.array(*[F.lit(0.0)] * size)
-    without = F.when(F.col("letters"), F.zip_with("host_n", "own", lambda a, b: F.greatest(a - b, F.lit(0.0)))).otherwise(F.col("host_n"))
-    prior = F.transform(F.coalesce(smooth(without, F.col("towards")), base), lambda p: F.log(F.greatest(p, F.lit(1e-9))))
-    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = plus(plus(F.transform("text_score", lambda v: v * TEMPER), prior), plus(F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero)))
-    names = F.array(*[F.lit(x) for x in languages])
-    out = out.select(*keys, "letters", _softmax(logs).alias("p"))
-    best = F.array_position("p", F.array_max("p")).cast("int")
-    lang = F.when(F.col("letters"), F.get(names, best - 1)).otherwise(F.lit(NONE))
-    return out.select(*keys, lang.alias("lang"), F.round(F.array_max("p"), 6).alias("confidence"), ((lang != NONE) & (F.array_max("p") >= 0.5)).alias("accepted"))
+        counts = sums(evidence.where(F.col(by).isNotNull()), by, "own", F.count(F.lit(1)).alias("rows")).withColumn("share", add(f"{by}_n") / max(total, 1e-9))
+        logs = F.zip_with(f"{by}_n", all_n, lambda a, b: F.log((a + STRENGTH * F.col("share")) / (b + STRENGTH)))
+        saved[by] = scratch.save(counts.select(by, logs.alias(f"{by}_log"), "rows"), by)
+    out = join_unique(out, hosts, ["host"], "rows", "left", wide)
+    out = join_unique(out, saved["declared"], ["declared"], "rows", "left", wide)
+    out = join_unique(out, saved["suffix"], ["suffix"], "rows", "left", wide)
+    kinds = ", ".join(f"`{k}` {evidence.schema[k].dataType.simpleString()}" for k in keys)
+    zero = np.zeros(size)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = len(keys)
+            letters = batch.column(n).to_numpy(zero_copy_only=False)
+            score, own, counts, declared, suffix = (_filled(batch.column(n + k), zero) for k in (1, 2, 3, 5, 6))
+            towards = _filled(batch.column(n + 4), base_)
+            counts = np.maximum(counts - own, 0)  # without the row itself; 0 at no host, which leaves the base
+            prior = (counts + STRENGTH * towards) / (counts.sum(axis=1, keepdims=True) + STRENGTH)
+            p = _normal(score + np.log(np.maximum(prior, 1e-9)) + declared + suffix)
+            best = p.argmax(axis=1)
+            lang = [languages[b] if ok else NONE for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+            top = p[np.arange(len(p)), best]
+            accepted = (np.array(lang, object) != NONE) & (top >= 0.5)
+            made = [pa.array(lang, pa.string()), pa.array(np.round(top, 6)), pa.array(accepted.astype(bool))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *made], names=[*keys, "lang", "confidence", "accepted"])
+
+    wanted = out.select(*keys, "letters", "text_score", "own", "host_n", "towards", "declared_log", "suffix_log")
+    return wanted.mapInArrow(decide, f"{kinds}, lang string, confidence double, accepted boolean")
 
 
 def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
@@ -206,7 +258,7 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     A row is accepted if one of the languages has at least half of the posterior. Texts without a letter (null, empty, digits) are
     ``und`` and not accepted. Null urls, sources and undeclared languages leave that evidence out; rows with null or
     repeated keys are rows like others; of languages that are alike the first by name is taken. An empty table gives an
-    empty result.
+    empty result. Columns other than these are not read.
     """
     scratch = Scratch(rows.sparkSession, "language")
-    return fuse(scratch.save(scored(rows, model, keys), "evidence"), model.languages, keys)
+    return fuse(scratch.save(scored(rows, model, keys), "evidence"), model.languages, keys, scratch)
