@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korpusmill.llm.skew import join_unique
 from korpusmill.storage import Scratch
 
 
@@ -14,26 +15,27 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) of every node of ``links`` (a, b): the smallest node reachable.
+    """(id, component) of every node of ``links`` (a, b): the smallest node reachable, a row per node.
 
-    Both steps take a node's least neighbour by an aggregate that combines before its shuffle and join it back, so a node
-    with very many links is spread over tasks. Every step is saved. Links of a node with itself and repeated links
-    change nothing; null ends are left out; without links the result is empty.
+    Both steps take a node's least neighbour by an aggregate that combines before its shuffle and join it back; nodes with
+    very many links get theirs by broadcast, so that their links stay where they are. Every step is saved. Links of a
+    node with itself and repeated links change nothing; null ends are left out; without links the result is empty.
     """
     a, b = F.col("a"), F.col("b")
     edges = scratch.save(
         links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     before = _digest(edges)
+    n = F.count(F.lit(1)).alias("n")
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n), "least")
+        large = join_unique(both, least, ["u"], "n", row_bytes=24).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(edges, large)
+        fewest = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), n), "fewest")
+        small = join_unique(large, fewest, ["u"], "n", row_bytes=24).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = scratch.save(small.unionByName(fewest.select("u", F.col("m").alias("v"))).distinct(), "small")
+        scratch.drop(edges, least, large, fewest)
         edges, now = small, _digest(small)
         if now == before:
             break

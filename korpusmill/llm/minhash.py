@@ -6,8 +6,10 @@ candidates; the likelihood of the registers' joint counts says which of them are
 
 Documents with equal shingle sets are one node. Candidates that the likelihood leaves are joined to families: a bucket's
 members are first held against its smallest id, and buckets whose members this leaves in several families are compared
-throughout. The texts of a family are then compared on their whole sets. Buckets and families are compared in pairs of blocks
-of bounded size that report spanning links only, so no pairs are emitted, no group is one task's, and none has a limit.
+throughout, in pairs of blocks of sketches. The texts of a family are then compared on their whole sets: a family of up to
+``TEXTS`` throughout; in a larger one every text is held against a few of its members (hubs), so that each is shipped once,
+and only what these leave outside of the family's largest component is compared with the others in pairs of blocks. Groups
+are of bounded size and report spanning links only, so no pairs are emitted, no group is one task's, and none has a limit.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from korpusmill.llm.components import components
+from korpusmill.llm.skew import join_unique
 from korpusmill.storage import Scratch
 
 BANDS, ROWS = 42, 6
@@ -33,6 +36,8 @@ _RNG = np.random.default_rng(9)
 _ODD = _RNG.integers(0, 2**32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 #: Rows of a block of sketches and of texts; columns of a 0/1 matrix, and products in it up to which sets are compared by one.
 SKETCHES, TEXTS = 1024, 128
+#: Members of a larger family that all of it is held against: the smallest id and the least by hashes.
+HUBS = 4
 COLUMNS, DENSE = 1 << 14, 1 << 23
 #: Shingles that are hashed into all registers at once.
 BLOCK = 1 << 15
@@ -162,9 +167,10 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that may reach ``least``."""
-    one = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that may reach ``least``; an ``a`` may have very many."""
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
+    one = scratch.save(nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")).join(hubs, "a"), "hub-sketches")
     two = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +180,14 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 keep = _likely_pairs(_registers(batch.column(4)), _registers(batch.column(5)), na, nb, least)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb")
+    joined = join_unique(pairs, one, ["a"], "pairs", row_bytes=2 * REGISTERS + 40).join(two, "b").select("a", "b", "na", "nb", "ra", "rb")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, size: int, scratch: Scratch) -> DataFrame:
     """Rows (group, ...) with ``i``, ``j``, ``side``: groups are cut in blocks of about ``size`` rows, and every pair of blocks is a group (group, i, j) of its own."""
-    counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
-    cut = rows.join(counts, group).withColumn("b", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
+    counts = scratch.save(rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / size)), "block-counts")
+    cut = join_unique(rows, counts, [group], "rows", row_bytes=24).withColumn("b", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
     b = F.col("b")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), (b > k).alias("side")))
     return cut.withColumn("at", F.explode(pairs)).select(group, F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.side").alias("side"), *[c for c in rows.columns if c != group])
@@ -206,9 +212,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
 
-def _forest(side: np.ndarray, within: bool, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of a group; ``alike(i, others)`` is asked only for members that are not yet in one component."""
-    root, out = np.arange(len(side)), []
+def _forest(side: np.ndarray, within: bool, alike: Callable[[int, np.ndarray], np.ndarray], root: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of a group; ``alike(i, others)`` is asked only for members that are not yet in one component (``root``)."""
+    root, out = np.arange(len(side)) if root is None else root, []
     for i in np.flatnonzero(~side).tolist():
         others = np.flatnonzero(root != root[i])
         others = others[others > i] if within else others[side[others]]
@@ -232,7 +238,7 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-def _likely_within(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _likely_within(members: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) that span, in every bucket, the members that may reach ``least`` with each other; ``members``: (key, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +248,7 @@ def _likely_within(members: DataFrame, nodes: DataFrame, least: float) -> DataFr
             alike = lambda i, o: _likely_pairs(regs[np.full(len(o), i)], regs[o], n[np.full(len(o), i)], n[o], least)  # noqa: B023, E731
             yield _links(g, _forest(side, g.column(1)[0] == g.column(2)[0], alike))
 
-    rows = _in_blocks(members, "key", SKETCHES).join(nodes, "id").select("key", "i", "j", "side", "id", "n", "registers")
+    rows = _in_blocks(members, "key", SKETCHES, scratch).join(nodes, "id").select("key", "i", "j", "side", "id", "n", "registers")
     return _dealt(rows, "key").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -261,26 +267,86 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(families: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span, in every family, the texts whose whole sets have den * intersection >= num * union; ``families``: (family, id, text)."""
+def _compare(sets: list[np.ndarray], num: int, den: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """alike(i, others): whether den * intersection >= num * union."""
+    n = np.array([len(s) for s in sets])
+    both = _shared(sets) if len(sets) > 4 and len(sets) * n.sum() <= DENSE else None
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        ok = den * np.minimum(n[i], n[others]) >= num * np.maximum(n[i], n[others])
+        for k in np.flatnonzero(ok).tolist():
+            o = others[k]
+            common = both[i, o] if both is not None else len(np.intersect1d(sets[i], sets[o], assume_unique=True))
+            ok[k] = common > 0 and den * common >= num * (n[i] + n[o] - common)
+        return ok
+
+    return alike
+
+
+def _verified(families: DataFrame, texts: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that span, in every family, the texts whose whole sets have den * intersection >= num * union; ``families``: (id, family), ``texts``: (id, text)."""
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    hashes = [F.xxhash64("id", F.lit(k)) for k in range(1, HUBS)]
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"), *[F.min(h).alias(f"h{k}") for k, h in enumerate(hashes)])
+    sizes = scratch.save(sizes.withColumn("parts", F.ceil(F.col("rows") / TEXTS)), "family-sizes")
+    is_hub = F.col("id") == F.col("first")
+    for k, h in enumerate(hashes):
+        is_hub = is_hub | (h == F.col(f"h{k}"))
+    placed = scratch.save(
+        join_unique(families, sizes, ["family"], "rows", row_bytes=8 * (HUBS + 3))
+        .select("family", "id", F.col("parts").alias("parts"), (is_hub & (F.col("parts") > 1)).alias("hub"), F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).alias("part")), "placed"
+    )
+    # j = 0: a whole family; j = -1: a part of one with its hubs, which every part gets (side)
+    j = F.when(F.col("parts") > 1, F.lit(-1)).otherwise(F.lit(0)).cast("long").alias("j")
+    members = texts.join(placed, "id")
+    own = members.select("family", F.col("part").alias("i"), j, no.alias("side"), "id", "text")
+    hubs = members.where("hub").select("family", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"), j, (~no).alias("side"), "id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            sets = [shingles(t.as_py(), words) for t in g.column(5)]
-            n = np.array([len(s) for s in sets])
-            both = _shared(sets) if len(sets) > 4 and len(sets) * n.sum() <= DENSE else None
-
-            def alike(i: int, others: np.ndarray) -> np.ndarray:
-                ok = den * np.minimum(n[i], n[others]) >= num * np.maximum(n[i], n[others])  # noqa: B023
-                for k in np.flatnonzero(ok).tolist():
-                    o = others[k]
-                    common = both[i, o] if both is not None else len(np.intersect1d(sets[i], sets[o], assume_unique=True))  # noqa: B023
-                    ok[k] = common > 0 and den * common >= num * (n[i] + n[o] - common)  # noqa: B023
-                return ok
-
-            yield _links(g, _forest(g.column(3).to_numpy(zero_copy_only=False), g.column(1)[0] == g.column(2)[0], alike))
+            alike = _compare([shingles(t.as_py(), words) for t in g.column(5)], num, den)
+            side = g.column(3).to_numpy(zero_copy_only=False)
+            if g.column(2)[0].as_py() == 0:
+                yield _links(g, _forest(side, True, alike))
+                continue
+            rest, ids = np.flatnonzero(~side), g.column(4).to_numpy()
+            yield _links(g, [(h, int(o)) for h in np.flatnonzero(side).tolist() for o in rest[alike(h, rest)] if ids[h] != ids[o]])
+
+    links = scratch.save(_dealt(own.unionByName(hubs), "family").mapInArrow(first, "a long, b long"), "links")
+
+    # what the hubs leave outside of a family's largest component, against all of the family
+    large = placed.where("parts > 1").select("family", "id")
+    if not large.limit(1).count():
+        return links
+    found = scratch.save(components(links, scratch), "found")
+    found = scratch.save(large.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")), "components")
+    counts = found.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
+    best = F.max(F.struct("c", "component"))
+    main = scratch.save(counts.groupBy("family").agg(best.alias("best"), F.sum("c").alias("rows"), F.count(F.lit(1)).alias("components")).where("components > 1").select("family", F.col("best.component").alias("main"), "rows", (F.col("rows") - F.col("best.c")).alias("left")), "main")
+    if not main.limit(1).count():
+        return links
+    more = join_unique(found, main.withColumn("n", F.col("rows")), ["family"], "n", row_bytes=40).withColumn("apart", F.col("component") != F.col("main"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(0)], pa.binary())], names=["family", "id", "component", "apart", "rows", "left", "set"])
+
+    kinds = "family long, id long, component long, apart boolean, rows long, left long, set binary"
+    more = scratch.save(texts.join(more, "id").select("text", "family", "id", "component", "apart", "rows", "left").mapInArrow(sets, kinds), "apart-sets")
+    # blocks of what is apart (side false, i) with blocks of the whole family (side true, j)
+    across, down = F.ceil(F.col("rows") / TEXTS), F.ceil(F.col("left") / TEXTS)
+    block = lambda n, name: F.pmod(F.xxhash64("id", F.lit(name)), n)
+    every = lambda n: F.explode(F.sequence(zero, n - 1))
+    apart = more.where("apart").select("family", block(down, "apart").alias("i"), every(across).alias("j"), no.alias("side"), "id", "component", "set")
+    whole = more.select("family", every(down).alias("i"), block(across, "whole").alias("j"), (~no).alias("side"), "id", "component", "set")
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            alike = _compare([np.frombuffer(x.as_py(), np.uint64) for x in g.column(6)], num, den)
+            root = np.unique(g.column(5).to_numpy(), return_inverse=True)[1]
+            yield _links(g, _forest(g.column(3).to_numpy(zero_copy_only=False), False, alike, root))
 
-    return _dealt(_in_blocks(families, "family", TEXTS), "family").mapInArrow(run, "a long, b long")
+    return links.unionByName(scratch.save(_dealt(apart.unionByName(whole), "family").mapInArrow(second, "a long, b long"), "more-links"))
 
 
 def near_duplicates(
@@ -299,32 +365,32 @@ def near_duplicates(
     sketch = scratch.save(_sketch(own, words), "sketches")
     usable = sketch.where(F.col("id").isNotNull() & (F.col("n") > 0))
 
-    sets = usable.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
-    copies = scratch.save(usable.select("id", "s1", "s2").join(sets.drop("last"), ["s1", "s2"]).where(F.col("id") != F.col("first")), "copies")
+    count = F.count(F.lit(1)).alias("rows")
+    sets = scratch.save(usable.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last"), count).where(F.col("first") < F.col("last")).drop("last"), "equal-sets")
+    copies = scratch.save(join_unique(usable.select("id", "s1", "s2"), sets, ["s1", "s2"], "rows", row_bytes=40).where(F.col("id") != F.col("first")), "copies")
     nodes = usable.join(copies.select("id", "s1", "s2"), ["id", "s1", "s2"], "left_anti")
 
     buckets = _buckets(nodes)
-    shared = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).select("key")
-    members = scratch.save(buckets.join(shared, "key"), "members")
+    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), count).where(F.col("hub") < F.col("last")).drop("last")
+    members = scratch.save(join_unique(buckets, scratch.save(hubs, "hubs"), ["key"], "rows", row_bytes=24), "members")
     ids = members.select("id").distinct()
     candidates = scratch.save(usable.join(ids, "id", "left_semi").select("id", "n", "registers"), "candidates")
 
     # links that may be: of a bucket's members with its smallest id, then among members that these leave apart
     least = num / den
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
-    pairs = members.join(hubs, "key").where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = scratch.save(_likely(pairs, candidates, least), "stars")
+    pairs = scratch.save(members.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    stars = scratch.save(_likely(pairs, candidates, least, scratch), "stars")
     labels = scratch.save(components(stars, scratch), "star-labels")
-    held = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    apart = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    more = scratch.save(_likely_within(members.join(apart, "key"), candidates, least), "more")
-    families = scratch.save(components(stars.unionByName(more), scratch), "families")
+    held = scratch.save(members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "held")
+    apart = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), count).where("lo < hi").select("key", "rows")
+    within = scratch.save(join_unique(held.select("key", "id"), scratch.save(apart, "apart"), ["key"], "rows", row_bytes=16), "within")
+    more = scratch.save(_likely_within(within, candidates, least, scratch), "more")
+    families = scratch.save(components(stars.unionByName(more), scratch).withColumnRenamed("component", "family"), "families")
 
-    texts = own.join(families.withColumnRenamed("component", "family"), "id").select("family", "id", "text")
-    links = scratch.save(_verified(texts, words, num, den), "links").unionByName(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    links = _verified(families, own, words, num, den, scratch).unionByName(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
     labels = components(links, scratch)
 
-    return (
-        sketch.select("id", F.col("n").alias("n_shingles")).join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-        .select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    )
+    found = sketch.where("id IS NOT NULL").select("id", F.col("n").alias("n_shingles")).join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    null = sketch.where("id IS NULL").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    out = found.select("id", "n_shingles", "component_id").unionByName(null)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

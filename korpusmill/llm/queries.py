@@ -105,6 +105,28 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+items AS (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM sets)),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+pairs AS (
+  SELECT c.a, c.b FROM common c JOIN sizes m ON m.doc_id = c.a JOIN sizes n ON n.doc_id = c.b WHERE 100 * c.c >= 80 * (m.n + n.n - c.c)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT r.a AS doc_id, any_value(s.n)::BIGINT AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r JOIN sizes s ON s.doc_id = r.a GROUP BY r.a
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document (its source is the host) and every page (with declared language, address and host)."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
@@ -127,4 +149,4 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL}

@@ -12,7 +12,8 @@ from conftest import SF, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
 import korpusmill.llm.queries as Q
-from korpusmill.llm import embedding_dedup, files, language_id, line_dedup, media, minhash, packing, piece_model, sentence_pieces, suffix_dedup, toxicity, warc
+from korpusmill.llm import components, embedding_dedup, files, language_id, line_dedup, media, minhash, packing, piece_model, sentence_pieces, skew, suffix_dedup, toxicity, warc
+from korpusmill.storage import Scratch
 
 ODD = [(1, None), (2, ""), (3, "\n"), (4, "aa bb " * 400), (5, "aa bb " * 400), (5, "aa bb " * 400), (None, "aa bb " * 400), (7, "é漢😀 x\n" * 60), (8, " "), (9, "one two three")]
 SCHEMA = "doc_id long, text string"
@@ -363,10 +364,16 @@ def test_near_duplicates(spark, odd, empty, monkeypatch):
     rows |= {500: None, 501: " ", 502: "a b", 503: "A  b", 504: "b a"}
     monkeypatch.setattr(minhash, "SKETCHES", 16)
     monkeypatch.setattr(minhash, "TEXTS", 16)
-    for words in (4, 5):
-        out = minhash.near_duplicates(spark.createDataFrame(list(rows.items()), SCHEMA), words=words).collect()
-        assert {r.doc_id: r.component_id for r in out} == _near(rows, words)
-        assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    out = minhash.near_duplicates(spark.createDataFrame(list(rows.items()), SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in out} == _near(rows, 5)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    # one hub leaves members apart, which are compared with the whole family; keys count as hot from 2 rows on
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "TEXTS", 4)
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    out = minhash.near_duplicates(spark.createDataFrame(list(rows.items()), SCHEMA), words=4).collect()
+    assert {r.doc_id: r.component_id for r in out} == _near(rows, 4)
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 5} == {4} and {r.component_id for r in got if r.doc_id is None} == {None}
     assert minhash.near_duplicates(empty).count() == 0
@@ -384,6 +391,26 @@ def test_likelihood_is_near_the_similarity():
     assert (np.maximum(minhash.sketches([a])[0], minhash.sketches([b])[0]) == minhash.sketches([np.union1d(a, b)])[0]).all()
 
 
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 4)
+    star, chain = [(7, i) for i in range(100, 400)], [(i, i + 1) for i in range(1000, 1060)]
+    rows = [*star, *star[:5], *chain, (3, 3), (None, 4), (5, None), (399, 400)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert got == {i: 7 for i in (7, *range(100, 401))} | {i: 1000 for i in range(1000, 1061)}
+    assert components.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_unique_equals_join(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [(None, 1), ("a", 2), ("zz", 3)], "k string, x int")
+    unique = spark.createDataFrame([("hot", 1.5, 50), ("a", 2.5, 1), ("b", 3.5, 1)], "k string, y double, n long")
+    want = sorted(map(str, rows.join(unique.drop("n"), ["k"], how).collect()))
+    assert sorted(map(str, skew.join_unique(rows, unique, ["k"], "n", how).collect())) == want
+
+
 # 10
 
 
