@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.llm.skew import join_unique
+from korpusmill.llm import skew
 from korpusmill.storage import Scratch
 
 
@@ -29,14 +29,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     n = F.count(F.lit(1)).alias("n")
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n), "least")
-        large = join_unique(both, least, ["u"], "n", row_bytes=24).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        nodes = 2 * before[0]  # at most
+        small = nodes * 24 <= skew.SMALL_BYTES
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n)
+        least = least if small else scratch.save(least, "least")
+        large = skew.join_unique(both, least, ["u"], "n", row_bytes=24, at_most=nodes).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, "large")
-        fewest = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), n), "fewest")
-        small = join_unique(large, fewest, ["u"], "n", row_bytes=24).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = scratch.save(small.unionByName(fewest.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(edges, least, large, fewest)
-        edges, now = small, _digest(small)
+        fewest = large.groupBy("u").agg(F.min("v").alias("m"), n)
+        fewest = fewest if small else scratch.save(fewest, "fewest")
+        next_ = skew.join_unique(large, fewest, ["u"], "n", row_bytes=24, at_most=nodes).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        next_ = scratch.save(next_.unionByName(fewest.select("u", F.col("m").alias("v"))).distinct(), "small")
+        scratch.drop(edges, large, *([] if small else [least, fewest]))
+        edges, now = next_, _digest(next_)
         if now == before:
             break
         before = now

@@ -35,7 +35,7 @@ ERRORS = 6.0
 _RNG = np.random.default_rng(9)
 _ODD = _RNG.integers(0, 2**32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 #: Rows of a block of sketches and of texts; columns of a 0/1 matrix, and products in it up to which sets are compared by one.
-SKETCHES, TEXTS = 1024, 128
+SKETCHES, TEXTS = 512, 128
 #: Members of a larger family that all of it is held against: the smallest id and the least by hashes.
 HUBS = 4
 COLUMNS, DENSE = 1 << 14, 1 << 23
@@ -184,13 +184,24 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float, scratch: Scratch)
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(rows: DataFrame, group: str, size: int, scratch: Scratch) -> DataFrame:
-    """Rows (group, ...) with ``i``, ``j``, ``side``: groups are cut in blocks of about ``size`` rows, and every pair of blocks is a group (group, i, j) of its own."""
-    counts = scratch.save(rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / size)), "block-counts")
-    cut = join_unique(rows, counts, [group], "rows", row_bytes=24).withColumn("b", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
-    b = F.col("b")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), (b > k).alias("side")))
-    return cut.withColumn("at", F.explode(pairs)).select(group, F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.side").alias("side"), *[c for c in rows.columns if c != group])
+def _apart(rows: DataFrame, group: str, size: int, scratch: Scratch) -> DataFrame:
+    """Rows (group, id, component, ...) of the groups of several components as pairs of blocks (group, i, j, side, id, component, ...).
+
+    What is outside of a group's largest component, in blocks of about ``size`` rows (i, side false), meets all of the
+    group in such blocks (j, side true), so that work follows what is apart and a pair of blocks is of bounded size.
+    """
+    counts = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("c"))
+    sums = counts.groupBy(group).agg(F.max(F.struct("c", "component")).alias("best"), F.sum("c").alias("rows"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    ceil = lambda n: F.ceil(n / size)
+    main = sums.select(group, F.col("best.component").alias("main"), "rows", ceil(F.col("rows")).alias("across"), ceil(F.col("rows") - F.col("best.c")).alias("down"))
+    cut = join_unique(rows, scratch.save(main, "main"), [group], "rows", row_bytes=40)
+    block = lambda n, name: F.pmod(F.xxhash64("id", F.lit(name)), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    whole = F.transform(every("down"), lambda i: at(i, block("across", "whole"), True))
+    apart = F.transform(every("across"), lambda j: at(block("down", "apart"), j, False))
+    here = F.when(F.col("component") == F.col("main"), whole).otherwise(F.concat(whole, apart))
+    return cut.withColumn("at", F.explode(here)).select(group, "at.i", "at.j", "at.side", *[c for c in rows.columns if c != group])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,20 +249,23 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-def _likely_within(members: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that span, in every bucket, the members that may reach ``least`` with each other; ``members``: (key, id)."""
+def _likely_within(held: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that span, in every bucket, the members that may reach ``least`` with each other; ``held``: (key, id, component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            regs, n = _registers(g.column(6)), g.column(5).to_numpy().astype(float)
-            side = g.column(3).to_numpy(zero_copy_only=False)
+            regs, n = _registers(g.column(7)), g.column(6).to_numpy().astype(float)
             alike = lambda i, o: _likely_pairs(regs[np.full(len(o), i)], regs[o], n[np.full(len(o), i)], n[o], least)  # noqa: B023, E731
-            yield _links(g, _forest(side, g.column(1)[0] == g.column(2)[0], alike))
+            yield _links(g, _forest(g.column(3).to_numpy(zero_copy_only=False), False, alike, _roots(g.column(5))))
 
-    rows = _in_blocks(members, "key", SKETCHES, scratch).join(nodes, "id").select("key", "i", "j", "side", "id", "n", "registers")
+    rows = _apart(held, "key", SKETCHES, scratch).join(nodes, "id").select("key", "i", "j", "side", "id", "component", "n", "registers")
     return _dealt(rows, "key").mapInArrow(run, "a long, b long").distinct()
 
 
+def _roots(components_: pa.Array) -> np.ndarray:
+    return np.unique(components_.to_numpy(), return_inverse=True)[1]
+
+
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over the sets' elements."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -284,7 +298,7 @@ def _compare(sets: list[np.ndarray], num: int, den: int) -> Callable[[int, np.nd
 
 
 def _verified(families: DataFrame, texts: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that span, in every family, the texts whose whole sets have den * intersection >= num * union; ``families``: (id, family), ``texts``: (id, text)."""
+    """Links (a, b) whose components are, in every family, those of the texts whose whole sets have den * intersection >= num * union; ``families``: (id, family), ``texts``: (id, text)."""
     zero, no = F.lit(0).cast("long"), F.lit(False)
     hashes = [F.xxhash64("id", F.lit(k)) for k in range(1, HUBS)]
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"), *[F.min(h).alias(f"h{k}") for k, h in enumerate(hashes)])
@@ -314,39 +328,21 @@ def _verified(families: DataFrame, texts: DataFrame, words: int, num: int, den:
 
     links = scratch.save(_dealt(own.unionByName(hubs), "family").mapInArrow(first, "a long, b long"), "links")
 
-    # what the hubs leave outside of a family's largest component, against all of the family
+    # what the hubs leave outside of a family's largest component
     large = placed.where("parts > 1").select("family", "id")
     if not large.limit(1).count():
         return links
     found = scratch.save(components(links, scratch), "found")
-    found = scratch.save(large.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")), "components")
-    counts = found.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
-    best = F.max(F.struct("c", "component"))
-    main = scratch.save(counts.groupBy("family").agg(best.alias("best"), F.sum("c").alias("rows"), F.count(F.lit(1)).alias("components")).where("components > 1").select("family", F.col("best.component").alias("main"), "rows", (F.col("rows") - F.col("best.c")).alias("left")), "main")
-    if not main.limit(1).count():
-        return links
-    more = join_unique(found, main.withColumn("n", F.col("rows")), ["family"], "n", row_bytes=40).withColumn("apart", F.col("component") != F.col("main"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(0)], pa.binary())], names=["family", "id", "component", "apart", "rows", "left", "set"])
-
-    kinds = "family long, id long, component long, apart boolean, rows long, left long, set binary"
-    more = scratch.save(texts.join(more, "id").select("text", "family", "id", "component", "apart", "rows", "left").mapInArrow(sets, kinds), "apart-sets")
-    # blocks of what is apart (side false, i) with blocks of the whole family (side true, j)
-    across, down = F.ceil(F.col("rows") / TEXTS), F.ceil(F.col("left") / TEXTS)
-    block = lambda n, name: F.pmod(F.xxhash64("id", F.lit(name)), n)
-    every = lambda n: F.explode(F.sequence(zero, n - 1))
-    apart = more.where("apart").select("family", block(down, "apart").alias("i"), every(across).alias("j"), no.alias("side"), "id", "component", "set")
-    whole = more.select("family", every(down).alias("i"), block(across, "whole").alias("j"), (~no).alias("side"), "id", "component", "set")
+    held = scratch.save(large.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")), "members")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            alike = _compare([np.frombuffer(x.as_py(), np.uint64) for x in g.column(6)], num, den)
-            root = np.unique(g.column(5).to_numpy(), return_inverse=True)[1]
-            yield _links(g, _forest(g.column(3).to_numpy(zero_copy_only=False), False, alike, root))
+            alike = _compare([shingles(t.as_py(), words) for t in g.column(6)], num, den)
+            yield _links(g, _forest(g.column(3).to_numpy(zero_copy_only=False), False, alike, _roots(g.column(5))))
 
-    return links.unionByName(scratch.save(_dealt(apart.unionByName(whole), "family").mapInArrow(second, "a long, b long"), "more-links"))
+    pairs = texts.join(_apart(held, "family", TEXTS, scratch), "id").select("family", "i", "j", "side", "id", "component", "text")
+    more = scratch.save(_dealt(pairs, "family").mapInArrow(second, "a long, b long"), "more-links")
+    return more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
 
 
 def near_duplicates(
@@ -382,9 +378,8 @@ def near_duplicates(
     stars = scratch.save(_likely(pairs, candidates, least, scratch), "stars")
     labels = scratch.save(components(stars, scratch), "star-labels")
     held = scratch.save(members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "held")
-    apart = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), count).where("lo < hi").select("key", "rows")
-    within = scratch.save(join_unique(held.select("key", "id"), scratch.save(apart, "apart"), ["key"], "rows", row_bytes=16), "within")
-    more = scratch.save(_likely_within(within, candidates, least, scratch), "more")
+    more = scratch.save(_likely_within(held, candidates, least, scratch), "more")
+    stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
     families = scratch.save(components(stars.unionByName(more), scratch).withColumnRenamed("component", "family"), "families")
 
     links = _verified(families, own, words, num, den, scratch).unionByName(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))

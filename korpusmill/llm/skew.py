@@ -13,15 +13,18 @@ from korpusmill.storage import shuffle_partitions
 SMALL_BYTES, HOT_ROWS = 8 << 20, 256
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], n_col: str, how: str = "inner", row_bytes: int = 100) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], n_col: str, how: str = "inner", row_bytes: int = 100, at_most: int | None = None) -> DataFrame:
     """``rows`` joined (inner or left) with the columns of ``unique``, which has every key once and in ``n_col`` its number of rows.
 
     A small table is broadcast. Of a larger one only the keys with more than total / (8 * partitions) rows are, of which
     there are at most 8 * partitions; all other rows are shuffled by key. Rows with a null key match nothing and are not
-    shuffled. ``rows`` and ``unique`` are read several times: pass saved tables. ``n_col`` is not in the result.
+    shuffled. ``rows`` and ``unique`` are read several times: pass saved tables, unless ``at_most`` rows, which ``unique`` is known
+    not to exceed, make it small. ``n_col`` is not in the result.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is 'inner' or 'left'")
+    if at_most is not None and at_most * row_bytes <= SMALL_BYTES:
+        return rows.join(F.broadcast(unique.drop(n_col)), keys, how)
     count, total = unique.agg(F.count(F.lit(1)), F.coalesce(F.sum(n_col), F.lit(0))).first()
     if count * row_bytes <= SMALL_BYTES:
         return rows.join(F.broadcast(unique.drop(n_col)), keys, how)
