@@ -298,19 +298,20 @@ def test_warc(spark, tmp_path):
 # 7
 
 
-def test_embedding_links(spark):
+def test_embedding_links(spark, monkeypatch):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 12))
     x = np.concatenate([centres[rng.integers(0, 40, 900)] + 0.25 * rng.normal(size=(900, 12)), np.repeat(centres[:1], 60, axis=0)]).astype(np.float32)
     rows = [(i, v.tolist(), int(i % 7 > 0)) for i, v in enumerate(x)]
     rows += [(2000, None, 1), (2001, [0.0] * 12, 1), (2002, [float("nan")] * 12, 1), (2003, x[0].tolist(), None), (2004, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    old = embedding_dedup.BLOCK_ROWS
-    embedding_dedup.BLOCK_ROWS = 64
-    try:
-        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_links(df).collect()}
-    finally:
-        embedding_dedup.BLOCK_ROWS = old
+    got = {}
+    for name, blocks, pivots in (("plain", 8192, 1024), ("blocks", 64, 1024), ("inner cells", 16, 4)):
+        monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", blocks)
+        monkeypatch.setattr(embedding_dedup, "MAX_PIVOTS", pivots)
+        got[name] = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_links(df.withColumns({c: F.lit("x") for c in ("id", "g", "v", "cell", "n", "links")})).collect()}
+    assert got["plain"] == got["blocks"] == got["inner cells"]
+    got = got["plain"]
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     label = np.array([r[2] for r in rows[: len(x)]])
     near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
@@ -326,6 +327,18 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_copies_and_doubles(spark):
+    """50,000 equal vectors are one row; doubles keep their precision; repeated rows are one, other vectors of an id add up."""
+    copies = spark.range(50_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    out = embedding_dedup.embedding_links(copies).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.count_if("kept"), F.count(F.lit(1))).first()
+    assert list(out) == [49_999, 49_999, 0, 1, 50_000]
+    at = lambda cosine: [cosine, (1 - cosine * cosine) ** 0.5]
+    rows = [(1, [1.0, 0.0], 1), (2, at(0.93 + 1e-12), 1), (3, at(0.93 - 1e-12), 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (5, [-1.0, 0.0], 1), (5, [0.0, -1.0], 1), (6, [-0.0, -1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    # 2 and 3 are near each other
+    assert got == {1: (2, 1, True), 2: (3, 1, False), 3: (1, 1, False), 4: (2, 1, False), None: (0, None, True), 5: (1, 5, True), 6: (1, 5, False)}
+
+
 # 9
 
 
