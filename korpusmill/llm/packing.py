@@ -8,12 +8,13 @@ third of all pieces is no large group.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
-from unicodedata import is_normalized, normalize
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +34,68 @@ STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
 PIECE_FIELDS = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
+#: The steps of a tokenizer file for which words may be looked up one by one.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _plain_characters(tokenizer) -> list[int]:
+    """Characters outside of ASCII that Python and the tokenizer take alike wherever they stand.
+
+    Their normal form is themselves and they never join a neighbour, their lower case is one such character or more, and
+    both see a letter or none. The two have Unicode tables of different age, so this is asked of the tokenizer itself.
+    """
+    joins = (range(0x1100, 0x1200), range(0xA960, 0xA980), range(0xD7B0, 0xD800))  # parts of Hangul syllables
+    some = [c for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000)) if category(chr(c))[0] not in "MC" and not any(c in r for r in joins) and is_normalized("NFC", chr(c))]
+    marked = lambda x: any(category(k)[0] == "M" for k in x)
+    lower = [chr(c).replace("\u03a3", "\u03c3").lower() for c in some]
+    own = tokenizer.normalizer.normalize_str("\x00".join(map(chr, some))).split("\x00")
+    some = [c for c, x, y in zip(some, own, lower, strict=True) if (x == y and not marked(y)) or (x == " " and chr(c).isspace())]
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(f"x{chr(c)}x" for c in some))
+    starts = np.zeros(4 * len(some), np.int64)
+    starts[[lo for _, (lo, _) in pieces]] = 1
+    many = starts.reshape(-1, 4).sum(axis=1)
+    return [c for c, n in zip(some, many.tolist(), strict=True) if (n == 1) == chr(c).isalpha()]
+
+
+def _class(codes: list[int]) -> str:
+    """The codes as ranges of a regular expression's class."""
+    at = np.array(codes)
+    cut = np.flatnonzero(np.diff(at) > 1)
+    pairs = zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True)
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in pairs)
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that lower-cases and never joins letters with anything else.
+    """Ids of texts by a tokenizer file.
 
-    The tokenizer's own first steps split at white space and between letters and other characters, so a text's ids are those
-    of its blank-separated chunks in order, and each chunk is encoded once while it is in the cache. A chunk of letters alone
-    is one word to the tokenizer's model and goes to it directly. Texts whose lower case is not in the tokenizer's
-    normal form take the tokenizer as a whole.
+    If the file's own first steps are ``STEPS``, which lower-case and split at white space and between letters and other
+    characters, a text's ids are those of its blank-separated chunks in order, and each chunk is encoded once while
+    it is in the cache. A chunk of letters alone is one word to the tokenizer's model and goes to it directly. Texts
+    with other characters than ``_plain_characters`` and what may spell a special token, and all texts of other files,
+    take the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, added = file["model"], [t["content"] for t in file.get("added_tokens") or []]
+        self.by_word = all(file.get(k) == v for k, v in STEPS.items()) and model.get("type", "BPE") == "BPE" and not model.get("dropout") and all("<|" in t for t in added)
         self.tokenizer = Tokenizer.from_file(path)
+        if not self.by_word:
+            return
+        self.odd = re.compile(f"[^\\x00-\\x7f{_class(_plain_characters(self.tokenizer))}]|<\\|")
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         one = {b: spell.pre_tokenize_str(bytes([b]).decode()) for b in range(1, 128)}
         # bytes from 128 on occur inside characters only: their spelling shows in a character of two or more bytes
@@ -80,15 +129,16 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.index) > CACHE_WORDS:
             self._reset()
         words, ends, whole = [], [], {}
         for i, text in enumerate(texts):
-            own = text if text.isascii() else normalize("NFC", text).replace("\u03a3", "\u03c3")
-            own = own.lower()
-            if not own.isascii() and not is_normalized("NFC", own):
+            if "<|" in text if text.isascii() else self.odd.search(text):
                 whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
+                own = text.lower() if text.isascii() else text.replace("\u03a3", "\u03c3").lower()
                 words += STOP.sub(r" \1", own).replace("\n", " ").split(" ")
             ends.append(len(words))
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
@@ -155,30 +205,48 @@ def token_pieces(
 
 
 class VectorBestFit:
-    """Best-fit packing of a histogram of lengths under capacities for tokens, documents and attention cost (length squared).
+    """Best-fit packing of a histogram of lengths under capacities for tokens, documents and attention cost.
 
-    Lengths are taken in descending order. Each item goes into the open bin, among those that every constraint lets it
-    into, with the least weighted norm of what then remains (``rule="residual"``) or the largest weighted
-    dot-product of item and remaining capacity (``rule="dot"``); ties go to the oldest bin; without one, a bin is
-    opened. Equal bins are held as one entry with a count, so the work follows the number of lengths, not of items.
+    A document's attention cost is the square of its length, rounded up to whole tiles of ``tile`` tokens. Lengths are taken
+    in descending order. Each item goes into the open bin, among those that every constraint lets it into, with the
+    least weighted norm of what then remains (``rule="residual"``) or the largest weighted dot-product of item and remaining
+    capacity (``rule="dot"``); ties go to the oldest bin; without one, a bin is opened. Equal bins are held as
+    one entry with a count, so the work follows the number of lengths, not of items.
+
+    With ``give_way`` the capacities for documents and cost are lifted where keeping them takes more bins; weights stay.
     """
 
     def __init__(
-        self, max_tokens: int = 4096, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "residual"
-    ):
+        self, max_tokens: int = 4096, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "residual",
+        tile: int = 1, give_way: bool = False,
+    ):
         if rule not in ("residual", "dot"):
             raise ValueError("rule is 'residual' or 'dot'")
         self.cap = np.array([max_tokens, max_docs or max_tokens, max_cost or float(max_tokens) ** 2])
-        self.weights, self.rule = np.array(weights, float), rule
+        self.weights, self.rule, self.tile, self.give_way = np.array(weights, float), rule, tile, give_way
+
+    def item(self, length: int) -> np.ndarray:
+        """What a document takes of each capacity."""
+        return np.array([length, 1, float(-(-length // self.tile) * self.tile) ** 2])
 
     def pack(self, counts: dict[int, int]) -> np.ndarray:
         """Rows (length, first rank, ranks, per bin, first bin, offset), in order of length and rank."""
+        runs = self._pack(counts, self.cap)
+        if self.give_way and self.bins > -(-sum(n * c for n, c in counts.items()) // self.cap[0]):
+            kept, bins = runs, self.bins
+            most, tile = float(self.cap[0]), float(self.tile)
+            runs = self._pack(counts, np.array([most, most, most**2 + 2 * tile * most + tile**2 * most]))  # neither of the last two can bind
+            if self.bins >= bins:
+                runs, self.bins = kept, bins
+        return runs
+
+    def _pack(self, counts: dict[int, int], cap: np.ndarray) -> np.ndarray:
         left = np.zeros((0, 3))
         first, many, filled = (np.zeros(0, np.int64) for _ in range(3))
         runs, bins = [], 0
         for length in sorted(counts, reverse=True):
-            item, rank, remain = np.array([length, 1, float(length) ** 2]), 0, counts[length]
-            if (item > self.cap).any():
+            item, rank, remain = self.item(length), 0, counts[length]
+            if (item > cap).any():
                 raise ValueError(f"a piece of {length} tokens fits no bin")
             while remain:
                 fits = (left >= item).all(axis=1)
@@ -190,7 +258,7 @@ class VectorBestFit:
                     g = int(best[np.argmin(first[best])])
                     state, n_bins, at, used = left[g], int(many[g]), int(first[g]), int(filled[g])
                 else:
-                    g, state, used, at = -1, self.cap.astype(float), 0, bins
+                    g, state, used, at = -1, cap.astype(float), 0, bins
                     n_bins = remain  # opened as needed below
                 most = int(min(state // item)) if self.rule == "residual" or g < 0 else 1
                 full = min(n_bins, remain // most)
@@ -205,7 +273,7 @@ class VectorBestFit:
                     keep = np.arange(len(first)) != g
                     left, first, many, filled = left[keep], first[keep], many[keep], filled[keep]
                 state = state - per * item
-                if (state[:2] >= 1).all() and state[2] >= 1:
+                if (state >= 1).all():
                     left, first = np.vstack([left, state]), np.append(first, at)
                     many, filled = np.append(many, take), np.append(filled, used + per * length)
         runs.sort()
@@ -217,8 +285,11 @@ def pack(pieces: DataFrame, packer: VectorBestFit, keys: list[str], length_col:
     """Pieces with ``sequence_id`` and ``offset``; ``keys`` tell pieces apart.
 
     Rows without a length (null or under 1) are left out of sequences: both columns are null. Rows equal in all keys are
-    packed one by one. An empty table gives an empty result. ``pieces`` is read several times: pass a saved table.
+    packed one by one, in no particular order. An empty table gives an empty result. ``pieces`` is read several times: pass a
+    saved table. A column ``_row`` that numbers its rows is used to deal rows that are equal in all keys, and is left out.
     """
+    row = ["_row"] if "_row" in pieces.columns else []
+    kept = [c for c in pieces.columns if c not in row]
     spark = pieces.sparkSession
     usable = F.coalesce(F.col(length_col) >= 1, F.lit(False))
     counts = {int(r[0]): int(r[1]) for r in pieces.where(usable).groupBy(length_col).count().collect()}  # as many rows as lengths
@@ -230,7 +301,7 @@ def pack(pieces: DataFrame, packer: VectorBestFit, keys: list[str], length_col:
     small = spark.createDataFrame([(n, s) for n, s in salts.items()], "_n long, _salts long")
     salted = (
         pieces.where(usable).join(F.broadcast(small), F.col(length_col).cast("long") == F.col("_n"))
-        .withColumn("_salt", F.pmod(F.xxhash64(*keys), F.col("_salts"))).drop("_salts")
+        .withColumn("_salt", F.pmod(F.xxhash64(*keys, *row), F.col("_salts"))).drop("_salts")
     )
     bases, at = [], {}
     for n, s, c in sorted(tuple(r) for r in salted.groupBy("_n", "_salt").count().collect()):
@@ -238,7 +309,7 @@ def pack(pieces: DataFrame, packer: VectorBestFit, keys: list[str], length_col:
         at[n] = at.get(n, 0) + c
     base = spark.createDataFrame(bases, "_n long, _salt long, _base long")
     ranked = (
-        salted.withColumn("_rank", F.row_number().over(Window.partitionBy("_n", "_salt").orderBy(*keys)) - 1)
+        salted.withColumn("_rank", F.row_number().over(Window.partitionBy("_n", "_salt").orderBy(*keys, *row)) - 1)
         .join(F.broadcast(base), ["_n", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     )
 
@@ -256,8 +327,8 @@ def pack(pieces: DataFrame, packer: VectorBestFit, keys: list[str], length_col:
         return pd.DataFrame({"sequence_id": run[:, 4] + k // run[:, 3], "offset": run[:, 5] + k % run[:, 3] * n})
 
     placed = ranked.withColumn("_place", place("_n", "_rank"))
-    out = placed.select(*pieces.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
-    rest = pieces.where(~usable).select(*pieces.columns, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    out = placed.select(*kept, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    rest = pieces.where(~usable).select(*kept, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     return out.unionByName(rest)
 
 
@@ -267,5 +338,5 @@ def pack_documents(
 ) -> DataFrame:
     """Tokenize, cut and pack: (id, piece, start, length, ids_crc32[, token_ids], sequence_id, offset); see the parts for odd rows."""
     pieces = token_pieces(docs, tokenizer_path, id_col, text_col, 1, max_tokens, with_ids)
-    pieces = Scratch(docs.sparkSession, "packing").save(pieces, "pieces")
+    pieces = Scratch(docs.sparkSession, "packing").save(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, packer or VectorBestFit(max_tokens), [id_col, "piece", "ids_crc32"])

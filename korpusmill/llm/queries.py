@@ -20,8 +20,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packer() -> packing.VectorBestFit:
+    """Sequences of 4096 tokens, of up to 2048 documents and of the attention cost of one full document, counted in tiles of 128 tokens; all three residuals choose."""
+    return packing.VectorBestFit(4096, max_docs=2048, weights=(1.0, 0.1, 0.1), tile=128, give_way=True)
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    """Pieces of all documents (ids of ``word_bpe_49k``, end id 1) and their places in sequences of at most 4096 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), packer=packer())
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +38,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a string of 100 bytes covers which also starts earlier: counts and checksum."""
     out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of 10 characters or more that one of smaller id holds: counts and checksum."""
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
@@ -62,6 +70,7 @@ FROM judged GROUP BY doc_id
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document by a network trained on the labels that are not held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     net = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     out = toxicity.score(docs, net)
@@ -69,6 +78,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an image in an archive, read back by byte ranges: sizes, checksums, feature."""
     docs = _table(spark, sf_dir, "documents")
     folder = Scratch(spark, "media").path("archives")
     media.write_archives(docs, folder).agg(F.sum("members")).collect()
@@ -76,6 +86,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
     return embedding_dedup.embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
@@ -96,12 +107,14 @@ FROM labelled c LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a WARC archive, the archives read back: payload, digest, type, what a revisit refers to."""
     folder = Scratch(spark, "warc").path("archives")
     warc.write_warc(_table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are alike to 0.8 or more."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 

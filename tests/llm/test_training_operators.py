@@ -86,6 +86,88 @@ def test_packing_keeps_every_constraint():
         assert all(sum(b) <= 100 and len(b) <= 5 and sum(x * x for x in b) <= 4000 + 99**2 for b in bins.values())
 
 
+def _one_by_one(counts: dict[int, int], p: packing.VectorBestFit) -> list[list[int]]:
+    """The packer's rule item by item."""
+    bins, left = [], []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            item = p.item(length)
+            scores = [
+                (p.weights * ((r - item) / p.cap) ** 2).sum() if p.rule == "residual" else -(p.weights * (item / p.cap) * (r / p.cap)).sum() if (r >= item).all() else np.inf for r in left
+            ]
+            scores = [x if (r >= item).all() else np.inf for x, r in zip(scores, left, strict=True)]
+            k = int(np.argmin(scores)) if scores and min(scores) < np.inf else len(bins)
+            if k == len(bins):
+                bins.append([])
+                left.append(p.cap.astype(float))
+            bins[k].append(length)
+            left[k] = left[k] - item
+    return bins
+
+
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+def test_packing_follows_its_rule(rule):
+    rng = np.random.default_rng(3)
+    for trial in range(12):
+        counts = {int(n): int(c) for n, c in zip(rng.choice(np.arange(1, 64), 14, replace=False), rng.integers(1, 30, 14), strict=True)}
+        p = packing.VectorBestFit(64, max_docs=int(rng.integers(3, 9)), weights=(1.0, 0.3, 0.2), rule=rule, tile=8)
+        bins = defaultdict(list)
+        for length, _, ranks, per, first, _ in p.pack(counts).tolist():
+            for k in range(ranks):
+                bins[first + k // per].append(length)
+        assert sorted(sorted(b) for b in bins.values()) == sorted(sorted(b) for b in _one_by_one(counts, p)), trial
+
+
+def test_all_capacities_bind_and_choose(spark):
+    """The query's capacities: many short documents fill one by documents or cost; the three residuals choose other bins than tokens alone, and as few."""
+    lengths = [r.length for r in packing.token_pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), TOKENIZER).select("length").collect()]
+    counts = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    own, plain = Q.packer(), packing.VectorBestFit(4096)
+    a, b = own.pack(counts), plain.pack(counts)
+    assert a.shape != b.shape or (a != b).any()
+    assert own.bins <= 1.001 * sum(lengths) / 4096 + 1 and own.bins <= plain.bins
+    short = packing.VectorBestFit(4096, max_docs=2048, weights=(1.0, 0.1, 0.1), tile=128)
+    short.pack({1: 5000})
+    assert short.bins == 5  # 1024 tiles of 128 squared are the cost of a sequence
+    give = Q.packer()
+    give.pack({1: 5000})
+    assert give.bins == 2
+
+
+def test_word_ids_of_all_planes():
+    """Texts of every plane, of combining marks and syllable parts, against the tokenizer on whole texts."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER)
+    assert words.by_word
+    rng = np.random.default_rng(1)
+    marks = np.array([c for c in range(0x20000) if unicodedata.category(chr(c))[0] == "M"])
+    texts = ["<|startoftext|> A", "x<|STARTOFTEXT|>", "ΑΣ ΟΔΟΣ.", "don't", "İ", "a b", "A.B. c.", *(f"a{chr(m)}\u0316" for m in marks.tolist())]
+    pools = [np.arange(0x20, 0x250), np.arange(0x20, 0xD800), np.append(marks, [0x20, 0x61] * 900), np.arange(0xE000, 0x110000), np.array([*range(0x1100, 0x1200), *range(0xAC00, 0xB000), 0x3A3, 0x20, 0x2E, 0x27])]
+    for k in range(10_000):
+        texts.append("".join(map(chr, rng.choice(pools[k % 5], rng.integers(1, 30)).tolist())))
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(x.tolist() == y.ids for x, y in zip(words(texts), want, strict=True))
+
+
+def test_other_tokenizer_files_take_whole_texts(docs):
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_file("byte_bpe_50k.json")
+    words, texts = packing.WordIds(path), [r.text or "" for r in docs.limit(20).collect()]
+    assert not words.by_word
+    assert [x.tolist() for x in words(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_equal_rows_are_dealt(spark):
+    """Thousands of rows equal in all keys are packed one by one."""
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack_documents(rows, TOKENIZER, packer=Q.packer()).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and len({r.sequence_id for r in got}) == 1
+
+
 # 2
 
 
