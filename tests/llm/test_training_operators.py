@@ -281,6 +281,33 @@ def test_line_dedup(spark, docs, batches, fanout):
         assert (r.text, r.n_lines, r.n_dropped) == ("\n".join(kept), len(own), len(own) - len(kept))
 
 
+def test_line_runs_are_kept_merged_and_dropped(spark, docs, tmp_path):
+    """Runs of a name serve later calls; without one no table stays; a merge sorts the batch but not the runs."""
+    half = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    for d in half:
+        runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", 2, "kept")
+        out = line_dedup.line_dedup(d, runs=runs)
+        out = {r.doc_id: (r.text, r.n_dropped) for r in out.collect()}
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
+    earlier = {key(x) for r in half[0].collect() for x in (r.text or "").split("\n")}
+    for r in half[1].collect():
+        own = (r.text or "").split("\n")
+        assert all(len(key(x)) < 10 or key(x) not in earlier for x in out[r.doc_id][0].split("\n")) and out[r.doc_id][1] >= sum(len(key(x)) >= 10 and key(x) in earlier for x in own)
+    runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", 2, "kept")
+    assert runs.number > 6 and sum(map(len, runs.levels)) <= 5
+    keys = [r for run in runs.runs() for r in run.collect()]
+    assert len(keys) == len(set(keys))
+    with line_dedup._ordered_scans(spark):
+        batch = spark.range(50).select(F.xxhash64("id").alias("h1"), F.xxhash64("id").alias("h2")).repartition(8, "h1", "h2")
+        plan = batch.join(runs.runs()[0].hint("merge"), ["h1", "h2"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    runs.close(whole=True)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    with pytest.raises(Exception, match="nowhere"):
+        line_dedup.line_dedup(docs.withColumn("text", F.raise_error(F.lit("nowhere")))).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_line_dedup_odd_rows(spark, odd, empty):
     out = line_dedup.line_dedup(odd).collect()
     assert len(out) == len(ODD)
