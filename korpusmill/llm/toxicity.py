@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters with its hashed word embedding, the mean embedding of its character n-grams, and how much its word and its
-n-grams speak for the label in the training rows. A text's score is the largest over all its overlapping windows.
+A word enters with its hashed word embedding and with the largest values, place by place, of its character n-grams' hashed
+embeddings; both are learned. Windows overlap by half, and a text's score is the largest over all of them. Training
+takes of every text the window that counts most so far; only where it starts, this is the one with the word that speaks
+most for the label in the other training texts.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words in a window, and from one window's start to the next's.
-WINDOW, STRIDE = 32, 24
-#: Training documents of each label at most, and characters of each at most.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
-HIDDEN, CHARS, WORDS, BUCKETS, ODDS = 8, 6, 6, 1 << 14, 1 << 18
-INPUT = 2 + CHARS + WORDS
+WINDOW, STRIDE = 32, 16
+#: Training documents of each label at most, characters of each at most, and labelled documents looked at for one that is short enough.
+TRAIN_DOCS, TRAIN_CHARS, LOOK_AT = 1500, 20_000, 4
+HIDDEN, CHARS, WORDS, BUCKETS, ODDS = 8, 16, 6, 1 << 17, 1 << 18
+INPUT = CHARS + WORDS
 #: Passes over the training texts, and steps that they make at least; parts of the training texts whose evidence comes from the others.
-EPOCHS, STEPS, FOLDS = 5, 120, 3
+EPOCHS, STEPS, FOLDS = 5, 160, 3
+#: Step sizes of the network and of the embeddings, documents of a label from which on the latter is taken whole.
+RATE, EMBEDDING_RATE, FULL_RATE = 0.01, 0.1, 30
 #: Documents' worth of prior in the evidence of a word or n-gram.
 PRIOR = 2.0
 CACHE_WORDS = 300_000
@@ -65,13 +70,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    used, at = np.unique(rows, return_inverse=True)
+    return used, np.stack([np.bincount(at, v, len(used)) for v in values.T], axis=1).astype(np.float32)
+
+
 class Network:
     """Parameters by name; ``forward`` keeps what ``backward`` needs."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.normal(size=shape) * 0.3 / np.sqrt(shape[0])).astype(np.float32)
-        self.odds = np.zeros(ODDS, np.float32)
         self.p = {"chars": small(BUCKETS, CHARS), "words": small(BUCKETS, WORDS), "A": small(2 * HIDDEN, HIDDEN), "u": small(HIDDEN, 1), "w": small(2 * HIDDEN, 1), "b": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": small(INPUT, 3 * HIDDEN) * 3, f"U{d}": small(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
@@ -83,10 +93,8 @@ class Network:
         n = np.diff(np.append(first, len(grams)))
         gram_rows, word_rows = (grams % np.uint64(BUCKETS)).astype(np.int64), (whole % np.uint64(BUCKETS)).astype(np.int64)
         x = np.empty((len(tokens), INPUT), np.float32)
-        x[:, 0] = np.maximum.reduceat(self.odds[(grams % np.uint64(ODDS)).astype(np.int64)], first) / 2
-        x[:, 1] = self.odds[(whole % np.uint64(ODDS)).astype(np.int64)] / 2
-        x[:, 2 : 2 + CHARS] = np.add.reduceat(self.p["chars"][gram_rows], first) / n[:, None]
-        x[:, 2 + CHARS :] = self.p["words"][word_rows]
+        x[:, :CHARS] = np.maximum.reduceat(self.p["chars"][gram_rows], first)
+        x[:, CHARS:] = self.p["words"][word_rows]
         return x, (gram_rows, first, n, word_rows)
 
     def forward(self, gx: dict[str, np.ndarray], index: np.ndarray, keep: bool = False) -> np.ndarray:
@@ -117,10 +125,11 @@ class Network:
             self.memo = (memo, s, a, e, pooled, mask, index)
         return (pooled @ p["w"])[:, 0] + p["b"][0]
 
-    def backward(self, dlogit: np.ndarray, gx: dict[str, np.ndarray], x: np.ndarray, back: tuple) -> dict[str, np.ndarray]:
+    def backward(self, dlogit: np.ndarray, gx: dict[str, np.ndarray], x: np.ndarray, back: tuple) -> dict:
+        """Gradients by name; those of the embeddings as (rows, gradients)."""
         p, H = self.p, HIDDEN
         memo, s, a, e, pooled, mask, index = self.memo
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("chars", "words")}
         g["w"], g["b"] = pooled.T @ dlogit[:, None], np.array([dlogit.sum()], np.float32)
         dpooled = dlogit[:, None] * p["w"].T
         ds = e[:, :, None] * dpooled
@@ -148,8 +157,9 @@ class Network:
             g[f"W{d}"], g[f"c{d}"] = x.T @ dgx[1:], dgx[1:].sum(axis=0)
             dx += dgx[1:] @ p[f"W{d}"].T
         gram_rows, _, n, word_rows = back
-        np.add.at(g["words"], word_rows, dx[:, 2 + CHARS :])
-        np.add.at(g["chars"], gram_rows, np.repeat(dx[:, 2 : 2 + CHARS] / n[:, None], n, axis=0))
+        g["words"] = _by_row(word_rows, dx[:, CHARS:])
+        largest = p["chars"][gram_rows] == np.repeat(x[:, :CHARS], n, axis=0)
+        g["chars"] = _by_row(gram_rows, np.repeat(dx[:, :CHARS], n, axis=0) * largest)
         return g
 
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -192,18 +202,14 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
         own = np.unique(d) - 1
         seen[f, y][np.unique(np.concatenate([*(gram_at[first[k] : first[k] + n[k]] for k in own), whole_at[own]]))] += 1
     total = np.array([[((fold == f) & (labels == y)).sum() for y in (0, 1)] for f in range(FOLDS)])
-    net.odds = _evidence(seen.sum(axis=0), total.sum(axis=0))
-    evidence = np.empty((len(tokens), 2), np.float32)
+    evidence = np.empty(len(tokens), np.float32)
     for f in range(FOLDS):
         own, odds = fold_of == f, _evidence(seen.sum(axis=0) - seen[f], total.sum(axis=0) - total[f])
-        evidence[own, 0] = np.maximum.reduceat(odds[gram_at], first)[own] / 2
-        evidence[own, 1] = odds[whole_at][own] / 2
+        evidence[own] = np.maximum(np.maximum.reduceat(odds[gram_at], first), odds[whole_at])[own]
     del seen
 
     def inputs(which: np.ndarray) -> tuple[np.ndarray, tuple]:
-        x, back = net.inputs([tokens[k] for k in which.tolist()])
-        x[:, :2] = evidence[which]
-        return x, back
+        return net.inputs([tokens[k] for k in which.tolist()])
 
     places = [windows(len(d)) for d in docs]
     index_of = np.concatenate([np.where(at >= 0, d[np.maximum(at, 0)] if len(d) else 0, 0).astype(np.int32) for d, at in zip(docs, places, strict=True)])
@@ -225,7 +231,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
         if epoch:
             score = logits()
         else:  # the window with the word that speaks most for the label
-            x = np.append(np.float32(-9), evidence[:, 0])
+            x = np.append(np.float32(-9), evidence)
             score = np.concatenate([x[index_of[i : i + 65536]].max(axis=1) for i in range(0, len(index_of), 65536)])
         top = np.maximum.reduceat(score, starts)
         best = np.array([s + np.argmax(score[s : s + len(at)]) for s, at in zip(starts, places, strict=True)])
@@ -247,11 +253,12 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
             grads = net.backward((share[own] * (p - y) / len(y)).astype(np.float32), gx, x, back)
             step += 1
             for k, grad in grads.items():
-                m, v = moments[k]
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
-                rate = 0.01 * min(1, few / 500) if k in ("chars", "words") else 0.01  # embeddings of few texts would only remember them
-                net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+                rows, grad = grad if k in ("chars", "words") else (slice(None), grad)  # of embeddings the rows in use
+                m, v = (x[rows] for x in moments[k])
+                m = moments[k][0][rows] = m + 0.1 * (grad - m)
+                v = moments[k][1][rows] = v + 0.01 * (grad * grad - v)
+                rate = EMBEDDING_RATE * min(1, few / FULL_RATE) if k in ("chars", "words") else RATE  # embeddings of few texts would only remember them
+                net.p[k][rows] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     top = np.maximum.reduceat(logits(), starts)
     # a line through the largest logits, at the labels' share in all rows
     weight = np.where(labels == 1, prior / (labels == 1).sum(), (1 - prior) / (labels == 0).sum())
@@ -303,7 +310,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Network:
-    """Train, in one task, on up to ``train_docs`` labelled documents of each label, first by a hash of the id, of up to ``TRAIN_CHARS`` characters.
+    """Train, in one task, on up to ``train_docs`` labelled documents of each label, first by a hash of the id, of up to ``TRAIN_CHARS`` characters, out of ``LOOK_AT`` times as many.
 
     Ids labelled more than once count by their largest label; null labels are left out. With fewer than three of a label the network is
     constant at the share of label 1.
@@ -311,13 +318,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     prior = share.get(1, 0) / max(sum(share.values()), 1)
-    picks = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(train_docs) for y in (0, 1)]
+    picks = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(LOOK_AT * train_docs) for y in (0, 1)]
     pick = picks[0].unionByName(picks[1])
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], pick.schema)
-    rows = (
-        docs.where(F.length(text_col) <= TRAIN_CHARS).select(id_col, text_col).join(F.broadcast(chosen), id_col)
-        .select(F.col(id_col).cast("string"), F.col(text_col), "y").limit(3 * train_docs)
-    )
+    rows = docs.where(F.length(F.coalesce(text_col, F.lit(""))) <= TRAIN_CHARS).select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)))
+    rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= train_docs).select(F.col(id_col).cast("string"), F.col(text_col), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted((i or "", t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))

@@ -349,6 +349,54 @@ def test_network_gradient():
         down = loss()
         flat[at] = before
         assert abs((up - down) / 2e-4 - grads[k].ravel()[at]) < 1e-3, k
+    for k in ("chars", "words"):
+        used, grad = grads[k]
+        r, c = int(rng.integers(0, len(used))), int(np.argmax(np.abs(grad).max(axis=0)))
+        before = net.p[k][used[r], c]
+        net.p[k][used[r], c] = before + 1e-5
+        up = loss()
+        net.p[k][used[r], c] = before - 1e-5
+        down = loss()
+        net.p[k][used[r], c] = before
+        assert abs((up - down) / 2e-5 - grad[r, c]) < 1e-2, k
+
+
+def test_scores_equal_a_plain_network():
+    """All windows of a text, one step and one unit after the other, against ``Scorer``."""
+    net, H = toxicity.Network(3), toxicity.HIDDEN
+    net.scale, net.shift = 1.7, -0.2
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def of_word(token: str) -> np.ndarray:
+        grams, _, whole = toxicity.spelled([token])
+        rows = (grams % np.uint64(toxicity.BUCKETS)).astype(int)
+        return np.concatenate([p["chars"][rows].max(axis=0), p["words"][int(whole[0] % np.uint64(toxicity.BUCKETS))]])
+
+    def of_window(tokens: list[str]) -> float:
+        states = []
+        for d in "fb":
+            h, out = np.zeros(H), []
+            for t in tokens if d == "f" else tokens[::-1]:
+                g, u = of_word(t) @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+                z, r = sig(g[:H] + u[:H]), sig(g[H : 2 * H] + u[H : 2 * H])
+                n = np.tanh(g[2 * H :] + r * u[2 * H :])
+                h = (1 - z) * n + z * h
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        s = np.concatenate([np.array(x) for x in states], axis=1) if tokens else np.zeros((1, 2 * H))
+        e = np.exp(np.tanh(s @ p["A"]) @ p["u"])
+        return float((e * s).sum(axis=0) / e.sum() @ p["w"][:, 0] + p["b"][0])
+
+    words = "alpha beta gamma delta «omega» Über 漢字 x . zz".split()
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 5, 31, 32, 33, 48, 49, 90)] + ["", "  ", "alpha", "alpha"]
+    got = toxicity.Scorer(net)(texts)
+    for text, score in zip(texts, got, strict=True):
+        own = text.split()
+        logit = max(of_window(own[lo : lo + toxicity.WINDOW]) for lo in range(0, max(len(own) - toxicity.STRIDE, 1), toxicity.STRIDE))
+        assert abs(score - sig(net.scale * logit + net.shift)) < 1e-4
+    assert got[-1] == got[-2] and got[8] == got[9]
 
 
 def test_toxicity(spark, odd, empty):
