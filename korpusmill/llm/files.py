@@ -10,7 +10,10 @@ def at(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Committed:
-    """An output file that gets its name only when all of it is written, so a task's lost or repeated attempt leaves none or the same."""
+    """An output file that gets its name only when all of it is written, so a task's lost or repeated attempt leaves none or the same.
+
+    Where the name is taken, an earlier attempt has written the same rows; its file stays.
+    """
 
     def __init__(self, uri: str, attempt: int):
         self.fs, self.path = at(uri)
@@ -18,15 +21,22 @@ class Committed:
         self.temp = f"{head}/_attempt-{attempt}-{name}"
 
     def __enter__(self):
-        self.stream = self.fs.open_output_stream(self.temp)
+        self.stream = self.fs.open_output_stream(self.temp, compression=None)
         return self.stream
 
     def __exit__(self, kind, *_):
         self.stream.close()
-        if kind is None:
-            self.fs.move(self.temp, self.path)
-        else:
-            self.fs.delete_file(self.temp)
+        if kind is None and not self._taken():
+            try:
+                self.fs.move(self.temp, self.path)
+                return
+            except OSError:
+                if not self._taken():  # another attempt may have been first
+                    raise
+        self.fs.delete_file(self.temp)
+
+    def _taken(self) -> bool:
+        return self.fs.get_file_info(self.path).type != fs.FileType.NotFound
 
 
 def listed(uri: str, suffix: str) -> list[tuple[str, int]]:

@@ -1,7 +1,9 @@
 """Media columns: lossless media members in archives, read through a data source over byte ranges.
 
-Archives are ZIP files of stored members. The reader plans byte ranges of the archives from their sizes alone; a range's
-task takes the members whose headers start in it, streams them in Arrow batches and retries each by its offset.
+Archives are ZIP files of stored or deflated members. The reader plans byte ranges of the archives' directories from the
+archives' sizes alone: an archive of n times ``range_bytes`` has its directory cut in n. A task finds its part from the
+archive's end, so that a directory is read once in all, takes the members whose entries start there, streams them in
+Arrow batches and retries each by its offset.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import time
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ from korpusmill.llm.files import Committed, at, listed, make_folder
 
 WIDTH = 64
 BATCH_BYTES = 4 << 20
+#: Bytes of the longest entry of a directory.
+LONGEST = 46 + 3 * 65535
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -107,6 +112,59 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     return docs.select(id_col, text_col).mapInArrow(write, "path string, members long")
 
 
+class Entry(NamedTuple):
+    """A member as its archive's directory has it."""
+
+    name: bytes
+    method: int
+    crc: int
+    packed: int
+    size: int
+    offset: int
+
+
+#: Signatures of a ZIP file's records, and the number that stands for one kept elsewhere.
+LOCAL, CENTRAL, END, LOCATOR, END64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06"
+ELSEWHERE = 0xFFFFFFFF
+
+
+def _directory(stream, size: int) -> tuple[int, int]:
+    """First byte of an archive's directory, and the one after its last."""
+    tail_at = max(0, size - (1 << 16) - 100)
+    stream.seek(tail_at)
+    tail = stream.read(size - tail_at)
+    end = tail.rfind(END)
+    if end < 0:
+        raise OSError("no end of an archive's directory")
+    length, start = struct.unpack_from("<II", tail, end + 12)
+    if ELSEWHERE in (length, start) and tail[end - 20 : end - 16] == LOCATOR:
+        stream.seek(struct.unpack_from("<Q", tail, end - 12)[0])
+        record = stream.read(56)
+        if record[:4] != END64:
+            raise OSError("no 64-bit end of an archive's directory")
+        length, start = struct.unpack_from("<QQ", record, 40)
+    return start, start + length
+
+
+def _entry(data: bytes, at_: int) -> tuple[Entry, int] | None:
+    """The entry at a place of a directory, and the next one's place; none if there is not a whole one."""
+    if len(data) - at_ < 46 or data[at_ : at_ + 4] != CENTRAL:
+        return None
+    method, crc, packed, size, name, extra, comment = struct.unpack_from("<H4xIIIHHH", data, at_ + 10)
+    (offset,) = struct.unpack_from("<I", data, at_ + 42)
+    stop = at_ + 46 + name + extra + comment
+    if stop > len(data):
+        return None
+    more, k = data[at_ + 46 + name : at_ + 46 + name + extra], 0
+    while k + 4 <= len(more):
+        kind, n = struct.unpack_from("<HH", more, k)
+        if kind == 1:
+            wide = iter(struct.unpack_from(f"<{n // 8}Q", more, k + 4))
+            size, packed, offset = (next(wide) if x == ELSEWHERE else x for x in (size, packed, offset))
+        k += 4 + n
+    return Entry(data[at_ + 46 : at_ + 46 + name], method, crc, packed, size, offset), stop
+
+
 class MediaSource(DataSource):
     """``spark.read.format("media_archive").load(folder)``: (path, member, offset, media, error), a row per member.
 
@@ -129,41 +187,70 @@ class MediaReader(DataSourceReader):
         self.folder, self.range_bytes, self.retries = folder, range_bytes, retries
 
     def partitions(self) -> list[InputPartition]:
-        ranges = [(path, lo, lo + self.range_bytes) for path, size in listed(self.folder, ".zip") for lo in range(0, size, self.range_bytes)]
-        return [InputPartition(r) for r in ranges] or [InputPartition(None)]
-
-    def _member(self, store, path: str, stream, info: zipfile.ZipInfo) -> bytes:
-        stream.seek(info.header_offset)
+        parts = [(path, size, k, n) for path, size in listed(self.folder, ".zip") for n in [-(-size // self.range_bytes)] for k in range(n)]
+        return [InputPartition(p) for p in parts] or [InputPartition(None)]
+
+    def _entries(self, stream, size: int, k: int, n: int) -> Iterator[Entry]:
+        """Entries that start in the k-th of n parts of the directory, which is read a part and a little on."""
+        start, stop = _directory(stream, size)
+        lo, hi = (start + (stop - start) * x // n for x in (k, k + 1))
+        stream.seek(lo)
+        data, at_, whole = stream.read(min(hi + LONGEST, stop) - lo), 0, min(hi + LONGEST, stop) == stop
+
+        def is_start(found: tuple[Entry, int] | None) -> bool:
+            """Whether an entry is one: another or the directory's end follows it, and its member is where it says."""
+            if found is None or not (data[found[1] : found[1] + 4] == CENTRAL or (whole and found[1] == len(data))):
+                return False
+            stream.seek(found[0].offset)
+            head = stream.read(30 + len(found[0].name))
+            return head[:4] == LOCAL and head[30:] == found[0].name
+
+        if k:
+            while (at_ := data.find(CENTRAL, at_)) >= 0 and at_ < hi - lo and not is_start(_entry(data, at_)):
+                at_ += 1
+        while 0 <= at_ < hi - lo:
+            found = _entry(data, at_)
+            if found is None:
+                raise OSError(f"the directory is damaged at byte {lo + at_}")
+            yield found[0]
+            at_ = found[1]
+
+    def _member(self, stream, info: Entry) -> bytes:
+        stream.seek(info.offset)
         head = stream.read(30)
         name, extra = struct.unpack_from("<HH", head, 26)
-        stream.seek(info.header_offset + 30 + name + extra)
-        data = stream.read(info.file_size)
-        if head[:4] != b"PK\x03\x04" or len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-            raise OSError(f"the member at byte {info.header_offset} is damaged")
+        stream.seek(info.offset + 30 + name + extra)
+        data = stream.read(info.packed)
+        if head[:4] != LOCAL or info.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise OSError(f"the member at byte {info.offset} is damaged or packed in another way")
+        if info.method == zipfile.ZIP_DEFLATED:
+            data = zlib.decompress(data, -15)
+        if len(data) != info.size or zlib.crc32(data) != info.crc:
+            raise OSError(f"the member at byte {info.offset} is damaged")
         return data
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
-        path, lo, hi = partition.value
+        path, length, k, n = partition.value
         store, _ = at(self.folder)
         names = pa.schema([("path", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
-        stream = store.open_input_file(path)
-        with zipfile.ZipFile(stream) as archive:
-            own = sorted((x for x in archive.infolist() if lo <= x.header_offset < hi), key=lambda x: x.header_offset)
+        with store.open_input_file(path) as stream:
+            own = sorted(self._entries(stream, length, k, n), key=lambda e: e.offset)
         rows, size = [], 0
         stream = store.open_input_file(path)
         for info in own:
             media, error = None, None
             for attempt in range(self.retries + 1):
                 try:
-                    media, error = self._member(store, path, stream, info), None
+                    media, error = self._member(stream, info), None
                     break
-                except (OSError, struct.error) as e:
+                except (OSError, struct.error, zlib.error) as e:
                     error = str(e)
                     time.sleep(0.05 * attempt)
+                    stream.close()
                     stream = store.open_input_file(path)
-            rows.append((path, info.filename, info.header_offset, media, error))
+            rows.append((path, info.name.decode("utf-8", "replace"), info.offset, media, error))
             size += len(media or b"")
             if size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), names.types, strict=True)], schema=names)

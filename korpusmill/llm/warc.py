@@ -1,7 +1,8 @@
 """WARC archives: a writer with revisit records and a sequential reader as a Spark data source.
 
-One gzip member per record; the reader inflates members incrementally, frames records by Content-Length and
-verifies block and payload digests. An archive is one task's work and is read from front to back.
+One gzip member per record; the reader inflates members incrementally, frames records by Content-Length as they are
+inflated and verifies block and payload digests on the way, so that it holds a payload only if it is asked for. An archive
+is one task's work and is read from front to back.
 """
 
 from __future__ import annotations
@@ -96,55 +97,119 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     return rows.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, records long, bytes long")
 
 
-def members(stream) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of each gzip member, read a chunk at a time."""
-    offset, data = 0, b""
-    while True:
-        data = data or stream.read(CHUNK)
-        if not data:
-            return
-        inflate, parts, read = zlib.decompressobj(31), [], 0
-        while not inflate.eof:
-            parts.append(inflate.decompress(data))
-            read += len(data) - len(inflate.unused_data)
-            if not inflate.eof and not (data := stream.read(CHUNK)):
-                raise ValueError(f"the member at byte {offset} is cut off")
-        data = inflate.unused_data
-        yield offset, b"".join(parts)
-        offset += read
-
-
-def parse(raw: bytes) -> dict:
-    """Fields, payload and faults of one inflated record."""
-    head, sep, rest = raw.partition(b"\r\n\r\n")
-    if not sep or not head.startswith(b"WARC/"):
+class Member:
+    """The inflated bytes of the gzip member that starts where a stream stands, a bounded piece at a time."""
+
+    def __init__(self, stream, data: bytes, offset: int):
+        self.stream, self.data, self.offset, self.used = stream, data, offset, 0
+        self.inflate, self.rest = zlib.decompressobj(31), b""
+
+    def more(self) -> bytes:
+        """The next piece, empty at the member's end."""
+        while not self.inflate.eof:
+            if not self.data and not (data := self.stream.read(CHUNK)):
+                raise ValueError("the member is cut off")
+            data = self.data or data
+            try:
+                out = self.inflate.decompress(data, CHUNK)
+            except zlib.error as e:
+                raise ValueError(f"the member is damaged: {e}") from e
+            self.data = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.used += len(data) - len(self.data)
+            if out:
+                return out
+        return b""
+
+    def until(self, mark: bytes) -> bytes | None:
+        """All up to and with ``mark``; none if it does not come."""
+        at_ = 0
+        while (found := self.rest.find(mark, at_)) < 0:
+            at_ = max(0, len(self.rest) - len(mark) + 1)
+            if not (piece := self.more()):
+                return None
+            self.rest += piece
+        out, self.rest = self.rest[: found + len(mark)], self.rest[found + len(mark) :]
+        return out
+
+    def pieces(self, n: int) -> Iterator[bytes]:
+        """The next n bytes, or fewer at the member's end."""
+        while n:
+            piece, self.rest = self.rest or self.more(), b""
+            if not piece:
+                return
+            self.rest, piece = piece[n:], piece[:n]
+            n -= len(piece)
+            yield piece
+
+
+def _digests(said: str | None, made) -> bool:
+    """Whether a field's digest agrees; those of other algorithms than SHA-1 are not judged."""
+    name, _, value = (said or "").partition(":")
+    return name.lower() != "sha1" or value.upper() == base64.b32encode(made.digest()).decode()
+
+
+def parse(member: Member, payload: bool = True) -> dict:
+    """Fields, payload (if wanted) and size of one record; raises ValueError for a fault."""
+    head = member.until(b"\r\n\r\n")
+    if head is None or not head.startswith(b"WARC/"):
         raise ValueError("no WARC header")
     fields = {}
-    for line in head.split(b"\r\n")[1:]:
+    for line in head[:-4].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
-        fields[name.decode().strip().lower()] = value.decode().strip()
-    length = int(fields["content-length"])
-    block, tail = rest[:length], rest[length:]
-    if len(block) != length or tail != b"\r\n\r\n":
-        raise ValueError(f"the block has {len(rest) - 4} bytes, Content-Length says {length}")
-    if fields.get("warc-block-digest", f"sha1:{digest(block)}") != f"sha1:{digest(block)}":
+        fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    number = lambda k: int(fields[k]) if fields.get(k, "").lstrip("-").isdigit() else None
+    length, kind = number("content-length"), fields.get("warc-type")
+    if length is None or length < 0 or kind is None:
+        raise ValueError(f"no {'Content-Length' if kind else 'WARC-Type'}")
+    block, body, http, parts, size, seen = hashlib.sha1(), hashlib.sha1(), b"", [], 0, 0
+    inside = False  # the payload starts behind the block's own header
+    for piece in member.pieces(length):
+        seen += len(piece)
+        block.update(piece)
+        if not inside:
+            http += piece
+            at_ = http.find(b"\r\n\r\n")
+            if at_ < 0:
+                continue
+            inside, piece, http = True, http[at_ + 4 :], http[:at_]
+        body.update(piece)
+        size += len(piece)
+        if payload:
+            parts.append(piece)
+    if seen != length:
+        raise ValueError(f"the block has {seen} bytes, Content-Length says {length}")
+    if (tail := b"".join(member.pieces(5))) != b"\r\n\r\n":
+        raise ValueError(f"the block of Content-Length {length} is followed by {tail!r}")
+    if not _digests(fields.get("warc-block-digest"), block):
         raise ValueError("the block's digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if fields["warc-type"] == "response":
-        if said and said != digest(payload):
+    data = b"".join(parts) if payload else None
+    if kind == "response":
+        if not _digests(fields.get("warc-payload-digest"), body):
             raise ValueError("the payload's digest differs")
-        size = len(payload)
     else:  # a revisit's payload is elsewhere; its HTTP headers still tell the length
-        sizes = [line.partition(b":")[2] for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")]
-        size, payload = (int(sizes[0]) if sizes else None), None
-    number = lambda k: int(fields[k]) if k in fields else None
+        sizes = [line.partition(b":")[2].strip() for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+        size, data = (int(sizes[0]) if sizes and sizes[0].isdigit() else None), None
     return {
-        "record_type": fields["warc-type"], "page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size,
-        "payload_digest": said, "refers_to": number("x-refers-to-page-id"), "payload": payload,
+        "record_type": kind, "page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size,
+        "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": number("x-refers-to-page-id"), "payload": data,
     }
 
 
+def records(stream, payload: bool = True) -> Iterator[dict]:
+    """Records of an archive with their ``offset``, one after the other."""
+    offset, data = 0, b""
+    while data := data or stream.read(CHUNK):
+        member = Member(stream, data, offset)
+        try:
+            row = parse(member, payload)
+            while member.more():  # nothing is left but the member's own checksum
+                pass
+        except ValueError as e:
+            raise ValueError(f"byte {offset}: {e}") from e
+        yield row | {"offset": offset}
+        offset, data = offset + member.used, member.data
+
+
 class WarcSource(DataSource):
     """``spark.read.format("warc").load(folder)``; option ``payload`` (default false) adds the payload column."""
 
@@ -172,18 +237,17 @@ class WarcReader(DataSourceReader):
             return
         want = _arrow_schema(self.names)
         store, _ = at(self.folder)
-        rows, size = [], 0
-        with store.open_input_stream(partition.value) as stream:
-            for offset, raw in members(stream):
-                try:
-                    row = parse(raw)
-                except ValueError as e:
-                    raise ValueError(f"{partition.value}, byte {offset}: {e}") from e
-                rows.append(row | {"path": partition.value, "offset": offset})
-                size += len(raw)
-                if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, want)
-                    rows, size = [], 0
+        rows, size, path = [], 0, partition.value
+        with store.open_input_stream(path, compression=None) as stream:
+            try:
+                for row in records(stream, "payload" in self.names):
+                    rows.append(row | {"path": path})
+                    size += 1000 + len(row["payload"] or b"")
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, want)
+                        rows, size = [], 0
+            except ValueError as e:
+                raise ValueError(f"{path}, {e}") from e
         if rows:
             yield pa.RecordBatch.from_pylist(rows, want)
 
