@@ -697,6 +697,78 @@ def test_language_id(spark, docs, odd, empty):
     assert language_id.address("http://[bad") == (None, None, None) and language_id.address("https://a.b.org/de/x") == ("a.b.org", "b.org", "/de")
 
 
+def test_language_of_rows_that_were_not_fitted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = language_id.fit(docs.where(~out))
+    rows = docs.where(out).select("doc_id", "text", F.lit(None).cast("string").alias("url"), "source", F.lit(False).alias("markup"))
+    found = language_id.identify(rows, model, ["doc_id"]).join(docs.select("doc_id", F.col("lang").alias("want")), "doc_id").where("want IS NOT NULL")
+    share, n = found.agg(F.avg((F.col("lang") == F.col("want")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 1500 and share > 0.97
+
+
+def _fused(rows, languages):
+    """The fusion in plain Python: rows (text scores, letters, declared, suffix, host, domain)."""
+    L, S = len(languages), language_id.STRENGTH
+    soft = lambda v: [np.exp(x - max(v)) / sum(np.exp(y - max(v)) for y in v) for x in v]
+    first = [language_id.UNKNOWN if x == "und" else (1 - language_id.UNKNOWN) / (L - 1) for x in languages]
+    own = [soft([s + np.log(f) for s, f in zip(r[0], first)]) if r[1] else [0.0] * L for r in rows]
+    add = lambda k: [sum(o[i] for o, r in zip(own, rows) if k(r)) for i in range(L)]
+    everything = add(lambda r: True)
+    smooth = lambda n, to: [(a + S * b) / (sum(n) + S) for a, b in zip(n, to)]
+    base, out = smooth(everything, first), []
+    for r, o in zip(rows, own):
+        towards = base if r[5] is None else smooth(add(lambda x: x[5] == r[5]), base)
+        prior = base if r[4] is None else smooth([max(a - b, 0) for a, b in zip(add(lambda x: x[4] == r[4]), o)], towards)
+        logs = [s + np.log(max(p, 1e-9)) for s, p in zip(r[0], prior)]
+        for k in (2, 3):
+            if r[k] is not None:
+                n = add(lambda x: x[k] == r[k])
+                share = sum(n) / max(sum(everything), 1e-9)
+                logs = [x + np.log((a + S * share) / (b + S)) for x, a, b in zip(logs, n, everything)]
+        p = soft(logs)
+        lang = languages[p.index(max(p))] if r[1] else "und"
+        out.append((lang, round(max(p), 5), lang != "und" and max(p) >= 0.5))
+    return out
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_fusion_equals_plain_python(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+        monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rng = np.random.default_rng(2)
+    languages, rows = ["a", "b", "c", "und"], []
+    pick = lambda *x: x[rng.integers(0, len(x))]
+    for k in range(200):
+        host, domain = pick(("x.d.org", "d.org"), ("y.d.org", "d.org"), ("z.e.com", "e.com"), (None, None), ("x.d.org", "d.org"))
+        letters = bool(k % 9)
+        rows.append((rng.normal(size=4).tolist() if letters else [0.0] * 4, letters, pick("a", "b", None), pick(".org", "/a", None), host, domain))
+    rows += [([1.0, 1.0, 0.0, 0.0], True, None, None, None, None)] * 2  # a tie goes to the first name
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text_score array<double>, letters boolean, declared string, suffix string, host string, domain string")
+    soft = lambda v: F.transform(F.transform("text_score", lambda x: F.exp(x)), lambda x: x)
+    first = language_id.start(languages).tolist()
+    weights = F.zip_with(soft(None), F.array(*[F.lit(x) for x in first]), lambda a, b: a * b)
+    own = F.when(F.col("letters"), F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))).otherwise(F.array(*[F.lit(0.0)] * 4))
+    scratch = Scratch(spark, "fusion")
+    evidence = scratch.save(table.withColumn("own", own), "evidence")
+    got = language_id.fuse(evidence, languages, ["doc_id"], scratch).orderBy("doc_id").collect()
+    for r, (lang, top, accepted) in zip(got, _fused(rows, languages), strict=True):
+        assert (r.lang, r.accepted) == (lang, accepted) and abs(r.confidence - top) < 2e-5
+
+
+def test_language_of_odd_columns(spark, docs):
+    """Columns with the names that the operator uses itself, repeated rows, labels whose sample has no letter."""
+    rows = docs.limit(30).select("doc_id", "text", F.lit(None).cast("string").alias("url"), "source", F.lit(False).alias("markup"))
+    clash = rows.withColumns({c: F.lit("x") for c in ("own", "letters", "host", "domain", "suffix", "declared", "rows", "towards", "lang", "text_score")})
+    model = language_id.fit(docs)
+    plain = sorted(map(tuple, language_id.identify(rows, model, ["doc_id"]).collect()))
+    assert plain == sorted(map(tuple, language_id.identify(clash, model, ["doc_id"]).collect()))
+    labelled = spark.createDataFrame([(i, "123", "num") for i in range(40)] + [(99, "abc", "num"), (1, "xyz uvw", "b"), (None, None, "c")], "doc_id long, text string, lang string")
+    assert language_id.fit(labelled, sample_docs=1).languages == ["b", "num", "und"]
+    assert language_id.fit(labelled.limit(0)).languages == ["und"]
+
+
 def _tongues(n):
     """Labels with words of their own each: (label, text) of two rows a label; the second language's texts are all long."""
     rng = np.random.default_rng(8)
