@@ -1,15 +1,20 @@
 """Weighted finite-state transducer of a SentencePiece model, and shortest paths of texts through it.
 
-Compiled are, from the model file, the normaliser (white space to the piece mark, dummy prefix, removal of extra white
-space), the pieces as a trie, and byte fallback. The normaliser has one state, so composing it with the trie comes down to
-reading input characters as trie symbols. Weights are of the tropical semiring: a path's is the sum of its arcs', the
-least of all paths is the result.
+Compiled from the model file into one machine over input characters:
+
+* The normaliser: states for nothing read, in the text, blanks read; an arc for a blank or another character says what it emits,
+  which gives dummy prefix and removal of extra white space. Blank and piece mark are one symbol to what follows, so where no white space is removed, composing it comes down to that symbol and the first arc.
+* The pieces, as a trie whose arcs read symbols and whose ends emit the piece.
+* The byte fallback: a character outside the alphabet has an arc that emits the byte pieces of its UTF-8 form, or the
+  unknown piece. Unknown pieces in a row are one.
+
+A text composed with the machine is a lattice of arcs between places. Weights are of the tropical semiring: a path's is the
+sum of its arcs', the least of all paths is the result.
 
 * Unigram models: an arc that ends a piece weighs the piece's negated score; a state is a place in the text.
 * BPE models: every arc weighs 1, and a state is also the piece last read. A piece may follow another if the two, written
   together, are taken apart into just these two again; all other pairs weigh infinity. Merges depend on neighbours alone,
   so a text's BPE pieces are the one path of which all neighbouring pairs are such. Pairs are compiled when first met.
-* A character outside the alphabet is read by the byte fallback (or as the unknown piece).
 """
 
 from __future__ import annotations
@@ -24,11 +29,14 @@ MARK = "▁"
 #: Kinds of pieces and of models in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks a worker keeps the ids of; how many of them, of up to how many characters, go through the transducer side by side.
-CACHE_CHUNKS, SIDE_BY_SIDE, SHORT = 600_000, 1 << 15, 40
+#: Bytes of chunks and their ids, and pairs of pieces, that a worker keeps; how many chunks, of up to how many characters, go through the transducer side by side.
+CACHE_BYTES, CACHE_PAIRS, SIDE_BY_SIDE, SHORT = 96 << 20, 400_000, 1 << 13, 40
 #: What a character that no piece holds weighs more than the worst piece.
 FALLBACK = 10.0
-CHUNK = re.compile(" +[^ \n]*|\n[^ \n]*|[^ \n]+")
+CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|\n[^ {MARK}\n]*|[^ {MARK}\n]+")
+RUN = re.compile(" +|[^ ]+")
+#: States of the normaliser, and what its arcs emit before the character itself, which a blank may lose.
+START, TEXT, BLANK = 0, 1, 2
 _PAIR_SLOTS = 1 << 21
 
 
@@ -91,19 +99,22 @@ class PieceModel:
             raise ValueError("only unigram and BPE models are supported")
         return cls(pieces, kind, fallback, prefix, extra)
 
-    def normal(self, text: str) -> str:
-        """The text as the transducer reads it, blanks standing for piece marks."""
-        text = text.replace(MARK, " ")
+    def normaliser(self) -> dict[tuple[int, bool], tuple[int, str, bool]]:
+        """Arcs by (state, whether a blank is read): next state, what is emitted first, whether the character itself follows."""
+        prefix = " " if self.dummy_prefix else ""
         if self.remove_extra:
-            text = re.sub(" +", " ", text).strip(" ")
-        return " " + text if text and self.dummy_prefix else text
+            return {
+                (START, True): (START, "", False), (TEXT, True): (BLANK, "", True), (BLANK, True): (BLANK, "", False),
+                (START, False): (TEXT, prefix, True), (TEXT, False): (TEXT, "", True), (BLANK, False): (TEXT, "", True),
+            }
+        return {(START, True): (TEXT, prefix, True), (START, False): (TEXT, prefix, True), (TEXT, True): (TEXT, "", True), (TEXT, False): (TEXT, "", True)}
 
 
 class Transducer:
-    """A compiled model: trie arcs by (state, symbol), and the weights of pairs."""
+    """A compiled model: the normaliser's arcs, trie arcs by (state, symbol), byte arcs, and the weights of pairs."""
 
     def __init__(self, model: PieceModel):
-        self.model = model
+        self.model, self.arcs_of_text = model, model.normaliser()
         pieces = {p.replace(MARK, " "): i for p, i in model.ids.items()}
         self.text_of = {i: p for p, i in pieces.items()}
         self.score = {p: model.pieces[i][1] for p, i in pieces.items()}
@@ -114,6 +125,8 @@ class Transducer:
             self.symbols[ord(c)] = k
         self.alone = np.zeros(0x110000, bool)
         self.alone[[ord(p) for p in pieces if len(p) == 1]] = True
+        self.symbols[ord(MARK)], self.alone[ord(MARK)] = self.symbols[ord(" ")], self.alone[ord(" ")]  # the normaliser's own arcs
+        self.byte_ids = np.array([model.bytes[b] for b in range(256)] if model.byte_fallback else [], np.int64)
         if model.kind == BPE and not self.alone[[ord(c) for c in symbols]].all():
             raise ValueError("every character of a BPE model's pieces must be a piece")
         arcs: dict[int, int] = {}
@@ -123,6 +136,7 @@ class Transducer:
             for c in piece:
                 state = arcs.setdefault(state << 21 | symbols[c], len(arcs) + 1)
             ends[state] = i
+        self.trie, self.ends_of = arcs, ends
         order = sorted(arcs)
         self.arcs, self.next = np.array([*order, 1 << 62], np.int64), np.array([*(arcs[k] for k in order), -1], np.int64)
         self.ends = np.full(len(arcs) + 1, -1, np.int64)
@@ -136,6 +150,20 @@ class Transducer:
         self.cuts = not any(" " in p.lstrip(" ") or "\n" in p for p in pieces)
         self.pair_keys, self.pair_ok, self.pairs = np.full(_PAIR_SLOTS, -1, np.int64), np.zeros(_PAIR_SLOTS, bool), {}
 
+    def read(self, text: str) -> str:
+        """What the normaliser emits for a text, blanks standing for piece marks; a run of equal arcs is taken at once."""
+        if not self.model.remove_extra:
+            return self.arcs_of_text[START, text[0] == " "][1] + text if text else text
+        state, out = START, []
+        for run in RUN.findall(text):
+            blank = run[0] == " "
+            state, before, own = self.arcs_of_text[state, blank]
+            out.append(before + (run[0] if own else ""))
+            if len(run) > 1:
+                state, before, own = self.arcs_of_text[state, blank]
+                out.append(run[1:] if own else "")
+        return "".join(out).rstrip(f" {MARK}")  # marks that no text follows are on no path
+
     def _taken_apart(self, text: str) -> list[str]:
         """BPE pieces of a short text: of all neighbours that make up a piece those of the best score are joined, leftmost first."""
         parts = list(text)
@@ -152,6 +180,8 @@ class Transducer:
     def _follows(self, key: int) -> bool:
         ok = self.pairs.get(key)
         if ok is None:
+            if len(self.pairs) > CACHE_PAIRS:
+                self.pairs.clear()
             first, second = divmod(key, self.other + 1)
             if self.other in (first, second):
                 ok = True
@@ -230,36 +260,44 @@ class Transducer:
         where = np.flatnonzero(on_path)
         what, who = last[where], np.repeat(count, sizes + 1)[where]
         if len(odd := np.flatnonzero(what == self.other)):
-            ids = [self._outside(c) for c in codes[where[odd] - who[odd] - 1].tolist()]
+            flat, sizes_ = self.outside(codes[where[odd] - who[odd] - 1])
             many = np.ones(len(what), np.int64)
-            many[odd] = [len(x) for x in ids]
+            many[odd] = sizes_
             who, what = np.repeat(who, many), np.repeat(what, many)
-            what[what == self.other] = np.concatenate(ids)
+            what[what == self.other] = flat
         return what.astype(np.uint32), np.bincount(who, minlength=len(chunks))
 
-    def _outside(self, code: int) -> list[int]:
-        """Pieces of a character outside the alphabet."""
+    def outside(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the arcs of characters outside the alphabet emit, end to end, and how much each does."""
         if not self.model.byte_fallback:
-            return [self.model.unknown]
-        return [self.model.bytes[b] for b in chr(code).encode("utf-8", "surrogatepass")]
+            return np.full(len(codes), self.model.unknown, np.int64), np.ones(len(codes), np.int64)
+        text = [chr(c).encode("utf-8", "surrogatepass") for c in codes.tolist()]
+        return self.byte_ids[np.frombuffer(b"".join(text), np.uint8)], np.array([len(x) for x in text], np.int64)
 
     def path(self, chunk: str) -> list[int]:
-        """The same for one chunk of any length."""
-        bpe, many = self.model.kind == BPE, len(chunk)
+        """The same for one chunk of any length; the trie is walked from every place that a path reaches."""
+        bpe, many, other = self.model.kind == BPE, len(chunk), self.other
+        codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols, alone, weights = self.symbols[codes].tolist(), self.alone[codes].tolist(), self.weights.tolist()
         least, last, length = [0.0] + [float("inf")] * many, [self.model.unknown] * (many + 1), [0] * (many + 1)
-        weights = self.weights.tolist()
-        for end in range(1, many + 1):
-            for n in range(min(self.longest, end), 0, -1):
-                piece = self.ids.get(chunk[end - n : end])
-                if piece is None:
-                    if n > 1:
-                        continue
-                    piece = self.other
-                total = least[end - n] + weights[piece]
-                if total < least[end] and not (bpe and not self._follows(last[end - n] * (self.other + 1) + piece)):
-                    least[end], last[end], length[end] = total, piece, n
+        arcs, ends, follows = self.trie, self.ends_of, self._follows
+        for start in range(many):
+            here = least[start]
+            if here == float("inf"):
+                continue
+            before = last[start] * (other + 1)
+            if not alone[start] and here + weights[other] < least[start + 1]:
+                least[start + 1], last[start + 1], length[start + 1] = here + weights[other], other, 1
+            state = 0
+            for end in range(start, many):
+                state = arcs.get(state << 21 | symbols[end])
+                if state is None:
+                    break
+                piece = ends.get(state)
+                if piece is not None and here + weights[piece] < least[end + 1] and (not bpe or follows(before + piece)):
+                    least[end + 1], last[end + 1], length[end + 1] = here + weights[piece], piece, end + 1 - start
         out, end = [], many
         while end:
-            out.append(self._outside(ord(chunk[end - 1])) if last[end] == self.other else [last[end]])
+            out.append(self.outside(codes[end - 1 : end])[0].tolist() if last[end] == other else [last[end]])
             end -= length[end]
         return [i for part in reversed(out) for i in part]

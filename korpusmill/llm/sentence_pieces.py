@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from korpusmill.llm.piece_model import CHUNK, BYTE, CACHE_CHUNKS, CONTROL, MARK, SHORT, SIDE_BY_SIDE, PieceModel, Transducer
+from korpusmill.llm.piece_model import BYTE, CACHE_BYTES, CHUNK, CONTROL, MARK, SHORT, SIDE_BY_SIDE, PieceModel, Transducer
 
 #: Characters of text whose chunks are looked up at once, and ids that are decoded at once.
 LOOK_UP, IDS = 1 << 20, 1 << 19
@@ -31,6 +31,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0  # bytes, about
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
         self.offsets, self.sizes = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
 
@@ -59,19 +60,20 @@ class Encoder:
         self.offsets[at : at + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
         self.index |= dict(zip(keys, range(at, at + len(keys)), strict=True))
+        self.held += 190 * len(keys) + 2 * sum(map(len, keys)) + 4 * len(flat)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             self._reset()
         keys, ends, whole = [], [], {}
         for i, text in enumerate(texts):
-            own = self.model.normal(text)
+            own = self.machine.read(text)
             if not own:
                 pass
-            elif not self.machine.cuts or own[0] != " ":
+            elif not self.machine.cuts or own[0] not in f" {MARK}":
                 whole[i] = np.array(self.machine.path(own), np.uint32)
-            elif "  " in own:
-                keys += [c[1:] if c[0] == " " else c for c in CHUNK.findall(own)]
+            elif "  " in own or MARK in own:
+                keys += [c[1:] if c[0] in f" {MARK}" else c for c in CHUNK.findall(own)]
             else:
                 keys += own[1:].replace("\n", " \n").split(" ")
             ends.append(len(keys))
@@ -83,7 +85,14 @@ class Encoder:
         stops = np.append(0, np.cumsum(sizes))
         flat = self.flat[np.arange(stops[-1]) + np.repeat(self.offsets[at] - stops[:-1], sizes)]
         parts = np.split(flat, stops[np.array(ends[:-1], np.int64)]) if texts else []
-        return [whole.get(i, x) for i, x in enumerate(parts)]
+        return [self._joined(whole.get(i, x)) for i, x in enumerate(parts)]
+
+    def _joined(self, ids: np.ndarray) -> np.ndarray:
+        """Without byte fallback, unknown pieces in a row are one."""
+        if self.model.byte_fallback or len(ids) < 2:
+            return ids
+        unknown = ids == self.model.unknown
+        return ids[~np.append(False, unknown[1:] & unknown[:-1])]
 
 
 def _one_byte(error: UnicodeError) -> tuple[str, int]:

@@ -217,6 +217,48 @@ def test_unigram_shortest_path_equals_brute_force():
     assert machine.path("aéb") == [machine.ids["a"], machine.model.bytes[0xC3], machine.model.bytes[0xA9], machine.ids["b"]]
 
 
+def _model_file(pieces, kind, fallback, prefix, extra) -> bytes:
+    """A model file: its fields, written by hand."""
+    import struct
+
+    def number(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    plain = lambda k, v: number(k << 3) + number(v)
+    nested = lambda k, v: number(k << 3 | 2) + number(len(v)) + v
+    out = b"".join(nested(1, nested(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", s) + plain(3, t)) for p, s, t in pieces)
+    return out + nested(2, plain(3, kind) + plain(35, int(fallback))) + nested(3, nested(1, b"identity") + plain(3, int(prefix)) + plain(4, int(extra)))
+
+
+@pytest.mark.parametrize("kind", [piece_model.UNIGRAM, piece_model.BPE])
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize(("prefix", "extra"), [(True, True), (True, False), (False, True), (False, False)])
+def test_small_models_equal_the_library(tmp_path, kind, fallback, prefix, extra):
+    """Normaliser, pieces and fallback against the public library: unknown characters in a row, marks and blanks in a row, ends."""
+    import sentencepiece
+
+    rng = np.random.default_rng(17)
+    letters = list("abcd▁é")
+    names = sorted({"".join(rng.choice(letters, rng.integers(2, 5))) for _ in range(60)})
+    names = [n for n in names if "▁" not in n[1:]]
+    if kind == piece_model.BPE:  # pieces that merges can reach
+        names = sorted({n[:k] for n in names for k in range(2, len(n) + 1)})
+    names = [*names, *letters]
+    scores = -rng.permutation(len(names)).astype(float) - 1 if kind == piece_model.BPE else -rng.uniform(1, 9, len(names))
+    pieces = [("<unk>", 0.0, piece_model.UNKNOWN), ("<s>", 0.0, piece_model.CONTROL), ("</s>", 0.0, piece_model.CONTROL)]
+    pieces += [(f"<0x{b:02X}>", 0.0, piece_model.BYTE) for b in range(256)] if fallback else []
+    pieces += [(n, float(np.float32(s)), piece_model.NORMAL) for n, s in zip(names, scores, strict=True)]
+    (tmp_path / "m.model").write_bytes(_model_file(pieces, kind, fallback, prefix, extra))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    encoder = sentence_pieces.Encoder(piece_model.PieceModel.load(str(tmp_path / "m.model")))
+    texts = ["".join(rng.choice(list("aabbccdd  ▁éxyz漢😀\n"), rng.integers(0, 60))) for _ in range(300)] + ["", " ", "   ", "▁", " a ", "xyz", "xx yy", "a\n\nxx", "漢" * 90, "abcd" * 40]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert ids.tolist() == library.encode(text), ascii(text)
+
+
 # 3
 
 
