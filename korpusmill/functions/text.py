@@ -49,3 +49,8 @@ def tokens(c: Column | str) -> Column:
     """Lower-cased words between white space; A-Z only, so that every engine agrees."""
     lowered = F.translate(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.filter(F.split(lowered, "[ \t\n\u000b\f\r]+"), lambda t: t != "")
+
+
+def n_tokens(c: Column | str) -> Column:
+    """Number of ``tokens``."""
+    return F.size(tokens(c)).cast("long")

@@ -57,11 +57,15 @@ def histogram(docs: DataFrame, category: str) -> DataFrame:
 
 
 def length_stats(docs: DataFrame, length: Column) -> DataFrame:
-    """One row: n, mean, median, min, max, p90 of a length; nulls over an empty table but n = 0."""
-    d = docs.select(length.cast("double").alias("x"))
-    return d.agg(
-        F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.round(F.percentile("x", F.lit(0.9)), 4).alias("p90"),
+    """One row: n, mean, median, min, max, p90 of a length (characters, or ``functions.text.n_tokens``); nulls over an empty table but n = 0.
+
+    Lengths are whole numbers, so the percentiles are taken from the counts of each length.
+    """
+    counts = docs.select(length.cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    weighted = lambda share: F.expr(f"percentile(x, {share}D, c)")
+    return counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n"), F.round(F.sum(F.col("x") * F.col("c")) / F.sum("c"), 4).alias("mean"), weighted(0.5).alias("median"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.round(weighted(0.9), 4).alias("p90"),
     )
 
 

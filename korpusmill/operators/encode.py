@@ -37,6 +37,32 @@ class BatchEncoder:
         return ordered.withColumn(out_col, udf(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def _places(dim: int) -> Callable[[bytes], tuple[int, float]]:
+    """Place and sign of a token, kept while there are few."""
+    places: dict[bytes, tuple[int, float]] = {}
+
+    def place(token: bytes) -> tuple[int, float]:
+        found = places.get(token)
+        if found is None:
+            if len(places) > CACHE_TOKENS:
+                places.clear()
+            h = hashlib.md5(token).hexdigest()
+            found = places[token] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        return found
+
+    return place
+
+
+def _hashed(counts: list[dict[bytes, int]], place: Callable[[bytes], tuple[int, float]], dim: int) -> np.ndarray:
+    """Vectors of length 1 of counted tokens."""
+    out = np.zeros((len(counts), dim))
+    for row, own in zip(out, counts, strict=True):
+        if own:
+            at, sign = zip(*map(place, own), strict=True)
+            row += np.bincount(at, np.array(sign) * np.array(list(own.values())), dim)
+    return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
+
+
 class HashingEncoder(BatchEncoder):
     """Each token adds or takes 1 at one of ``dim`` places, both by its md5; the vector has length 1, or is zero without tokens."""
 
@@ -44,25 +70,8 @@ class HashingEncoder(BatchEncoder):
         self.dim = dim
 
         def load() -> Callable[[np.ndarray], np.ndarray]:
-            places: dict[str, tuple[int, float]] = {}
-
-            def place(token: str) -> tuple[int, float]:
-                if len(places) > CACHE_TOKENS:
-                    places.clear()
-                if token not in places:
-                    h = hashlib.md5(token.encode()).hexdigest()
-                    places[token] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
-                return places[token]
-
-            def run(texts: np.ndarray) -> np.ndarray:
-                out = np.zeros((len(texts), dim))
-                for row, text in zip(out, texts.tolist(), strict=True):
-                    for token, n in Counter(words(text)).items():
-                        at, sign = place(token)
-                        row[at] += sign * n
-                return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
-
-            return run
+            place = _places(dim)
+            return lambda texts: _hashed([_counts(t) for t in texts.tolist()], place, dim)
 
         super().__init__(load, batch_size)
 
@@ -88,10 +97,44 @@ def lexical_weights(rows: DataFrame, id_col: str, text_col: str, out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = []
-            for text in batch.column(1):
-                own = words(text.as_py())
-                maps.append([(t, n / len(own)) for t, n in Counter(own).items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.map_(pa.string(), pa.float32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _weights(_counts(t.as_py()) for t in batch.column(1))], names=schema.names)
 
     return rows.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _counts(text: str | None) -> dict[bytes, int]:
+    return Counter((text or "").encode().lower().split())
+
+
+def _weights(counts: Iterator[dict[bytes, int]]) -> pa.MapArray:
+    """Each text's tokens' share of all its tokens."""
+    keys, values, ends = [], [], [0]
+    for own in counts:
+        n = sum(own.values())
+        keys += own
+        values += [c / n for c in own.values()]
+        ends.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(values, pa.float32()))
+
+
+class HashingDual:
+    """Dense vectors as ``HashingEncoder``'s and sparse ones as ``lexical_weights``'s in one pass over the texts.
+
+    The stand-in for models that give both at once: ``encode(rows, id, text)`` -> (id, embedding array<float>, weights map<string, float>).
+    """
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode(self, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        fields = [rows.schema[id_col], T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("weights", T.MapType(T.StringType(), T.FloatType()))]
+        schema, dim = T.StructType(fields), self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place = _places(dim)
+            for batch in batches:
+                counts = [_counts(t.as_py()) for t in batch.column(1)]
+                flat, ends = pa.array(_hashed(counts, place, dim).ravel()), pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat), _weights(iter(counts))], names=schema.names)
+
+        return rows.select(id_col, text_col).mapInArrow(run, schema)

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import math
 import time
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CUTS, MRR_CUT, DIGITS = (1, 5, 10, 20), 10, 4
+#: Numbers up to which percentiles are the built-in aggregate's, and parts of a range beyond.
+BUFFER_ROWS, BINS = 1_000_000, 1000
 
 
-def first_hits(ranked: DataFrame, truth: DataFrame, doc_col: str) -> DataFrame:
-    """(query_id, first_hit) of every query of ``truth`` (query_id, doc): rank of its first true document, else null."""
-    places = ranked.select("query_id", doc_col, "rank")
-    return truth.select("query_id", doc_col).distinct().join(places, ["query_id", doc_col], "left").groupBy("query_id").agg(F.min("rank").alias("first_hit"))
+def first_hits(ranked: DataFrame, truth: DataFrame, doc_col: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, first_hit) of every query of ``truth`` (by, query_id, doc): rank of its first true document, else null."""
+    keys = [*by, "query_id", doc_col]
+    return truth.select(*keys).distinct().join(ranked.select(*keys, "rank"), keys, "left").groupBy(*by, "query_id").agg(F.min("rank").alias("first_hit"))
+
+
+def _measures(cuts: tuple[int, ...], mrr_cut: int) -> list[Column]:
+    hit = F.col("first_hit")
+    recalls = [F.round(F.avg(F.coalesce(hit <= k, F.lit(False)).cast("double")), DIGITS).alias(f"recall@{k}") for k in cuts]
+    mrr = F.round(F.avg(F.when(hit <= mrr_cut, 1.0 / hit).otherwise(0.0)), DIGITS).alias(f"mrr@{mrr_cut}")
+    return [F.count(F.lit(1)).alias("queries"), *recalls, mrr]
 
 
 def metrics(ranked: DataFrame, truth: DataFrame, doc_col: str, cuts: tuple[int, ...] = CUTS, mrr_cut: int = MRR_CUT) -> DataFrame:
@@ -22,16 +32,14 @@ def metrics(ranked: DataFrame, truth: DataFrame, doc_col: str, cuts: tuple[int,
 
     ``truth`` has a row per query and true document; a query that nothing was found for counts as a miss.
     """
-    hit = F.col("first_hit")
-    recalls = [F.round(F.avg(F.coalesce(hit <= k, F.lit(False)).cast("double")), DIGITS).alias(f"recall@{k}") for k in cuts]
-    mrr = F.round(F.avg(F.when(hit <= mrr_cut, 1.0 / hit).otherwise(0.0)), DIGITS).alias(f"mrr@{mrr_cut}")
-    return first_hits(ranked, truth, doc_col).agg(F.count(F.lit(1)).alias("queries"), *recalls, mrr)
+    return first_hits(ranked, truth, doc_col).agg(*_measures(cuts, mrr_cut))
 
 
 def compare(methods: dict[str, DataFrame], truth: DataFrame, doc_col: str, cuts: tuple[int, ...] = CUTS, mrr_cut: int = MRR_CUT) -> DataFrame:
-    """A row of ``metrics`` per method."""
-    rows = [metrics(r, truth, doc_col, cuts, mrr_cut).select(F.lit(name).alias("method"), "*") for name, r in methods.items()]
-    return reduce(DataFrame.unionByName, rows)
+    """A row of ``metrics`` per method, by one aggregate over all rankings; without queries there are no rows."""
+    rows = [r.select(F.lit(name).alias("method"), "query_id", doc_col, "rank") for name, r in methods.items()]
+    each = truth.select(F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"), "query_id", doc_col)
+    return first_hits(reduce(DataFrame.unionByName, rows), each, doc_col, ("method",)).groupBy("method").agg(*_measures(cuts, mrr_cut))
 
 
 def explode_truth(queries: DataFrame, doc_col: str = "case_no") -> DataFrame:
@@ -39,12 +47,46 @@ def explode_truth(queries: DataFrame, doc_col: str = "case_no") -> DataFrame:
     return queries.select("query_id", F.explode("case_ids").alias(doc_col))
 
 
+def percentiles(rows: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles, linear between neighbours, of the numbers in a column; nulls are left out, of no numbers they are null.
+
+    Up to ``BUFFER_ROWS`` numbers take the built-in aggregate, which holds all distinct ones in one task. More are narrowed
+    down: passes count the numbers in ``BINS`` parts of the range that holds a wanted rank until these are few.
+    """
+    x = rows.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL")
+    n, lo, hi = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+    if n <= BUFFER_ROWS:
+        return list(x.agg(F.percentile("x", F.array(*[F.lit(s) for s in shares]))).first()[0])
+    at = [s * (n - 1) for s in shares]
+    ranks = {r for a in at for r in (math.floor(a), math.ceil(a))}
+    todo, values = {r: (lo, hi, 0, n) for r in ranks}, {}  # of a rank: its range, numbers before it, numbers in it
+    while todo:
+        for lo, hi, before, count in set(todo.values()):
+            own = sorted(r for r, t in todo.items() if t == (lo, hi, before, count))
+            if lo == hi:
+                values |= dict.fromkeys(own, lo)
+                found = []
+            else:
+                inside = x.where(F.col("x").between(lo, hi))
+                part = F.col("x") if count <= BINS else F.least(F.lit(BINS - 1), F.floor((F.col("x") - lo) / (hi - lo) * BINS))
+                found = inside.groupBy(part.alias("part")).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("part").collect()  # at most BINS rows
+            for r in own:
+                todo.pop(r)
+                k = before
+                for f in found:
+                    if k <= r < k + f.n:
+                        todo[r] = (f.lo, f.hi, k, f.n)
+                    k += f.n
+    return [values[math.floor(a)] + (values[math.ceil(a)] - values[math.floor(a)]) * (a - math.floor(a)) for a in at]
+
+
 def latency(samples: DataFrame, col: str) -> DataFrame:
     """One row: mean, median, 95th and 99th percentile (exact, linear between neighbours), rounded to two decimals."""
-    at = F.percentile(F.col(col), F.array(*[F.lit(p) for p in (0.5, 0.95, 0.99)]))
-    row = samples.agg(F.avg(col).alias("mean"), at.alias("p"))
     names = ["latency_p50_ms", "latency_p95_ms", "latency_p99_ms"]
-    return row.select(F.round("mean", 2).alias("latency_mean_ms"), *[F.round(F.col("p")[i], 2).alias(n) for i, n in enumerate(names)])
+    at = percentiles(samples, col, [0.5, 0.95, 0.99])
+    return samples.agg(F.round(F.avg(col), 2).alias("latency_mean_ms")).select("latency_mean_ms", *[F.round(F.lit(p).cast("double"), 2).alias(n) for p, n in zip(at, names, strict=True)])
 
 
 def timed(retriever, queries: DataFrame, max_k: int = 20, batches: int = 8) -> DataFrame:

@@ -22,10 +22,11 @@ from pyspark.sql.window import Window
 
 from korpusmill.functions.vector import LEAST_NORM, l2_normalize
 
-#: Bytes of query vectors that are broadcast at once, similarities that are computed at once, rows of query terms to broadcast.
+#: Bytes of query vectors, query terms and characters of passages that are broadcast at once, similarities that are computed at once.
 BLOCK_BYTES = 32 << 20
+BLOCK_TERMS = 500_000
+PASSAGE_CHARS = 2 << 20
 SLICE = 4 << 20
-BROADCAST_TERMS = 200_000
 DIGITS = 6
 
 
@@ -254,18 +255,68 @@ class DenseCells(DenseExact):
         return top_k(self.corpus, self.vectors(queries), self.pool_k, self.id_col, self.vector_col, query_vector=self.vector_col, carry=(self.doc_col,), probes=probes)
 
 
+def _sparse_blocks(queries: DataFrame, query_id: str, weights: str) -> Iterator[tuple[list, dict[str, list[tuple[int, float]]]]]:
+    """Blocks of queries of about ``BLOCK_TERMS`` terms: their ids, and by token the places and weights of the queries that have it."""
+    own = queries.where(F.col(query_id).isNotNull()).select(query_id, F.col(weights).alias("w"))
+    terms = own.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
+    blocks = max(1, -(-terms // BLOCK_TERMS))
+    for b in range(blocks):
+        part = own.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else own
+        rows = sorted(part.where(F.size("w") > 0).collect(), key=lambda r: r[0])  # a block's size is bounded
+        by: dict[str, list[tuple[int, float]]] = {}
+        for k, r in enumerate(rows):
+            for token, w in r[1].items():
+                if w is not None:
+                    by.setdefault(token, []).append((k, w))
+        if by:
+            yield [r[0] for r in rows], by
+
+
+def _sparse_candidates(docs: DataFrame, ids: list, terms: dict[str, list[tuple[int, float]]], id_type: T.DataType, k: int, id_col: str, weights: str) -> DataFrame:
+    """Of every task the k documents of each query with the largest inner product."""
+    many = np.array([len(x) for x in terms.values()])
+    flat = np.array([x for xs in terms.values() for x in xs], np.float64).reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, list(terms), np.append(0, np.cumsum(many)), flat[:, 0].astype(np.int64), flat[:, 1]))
+    fields = [T.StructField("query_id", id_type), docs.schema[id_col], T.StructField("sim", T.DoubleType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, starts, which, w = shared.value
+        best, tokens, every = _Best(len(ids), k, ["q", "key", "sim", id_col]), pa.array(tokens), np.arange(len(ids))
+        step = max(1, SLICE // len(ids))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                part = part.take(pc.sort_indices(part.column(0)))
+                maps = part.column(1)
+                at = pc.index_in(maps.keys, value_set=tokens)
+                entry = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                token, value = at.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.int64), maps.items.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.float64)
+                row = np.searchsorted(maps.offsets.to_numpy(), entry, side="right") - 1
+                n = starts[token + 1] - starts[token]
+                term = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[token], n)
+                sims = np.bincount(which[term] * part.num_rows + np.repeat(row, n), w[term] * np.repeat(value, n), len(ids) * part.num_rows).reshape(len(ids), -1)
+                best.add(np.where(sims != 0, sims, np.nan), every, part.select([0]))
+        table = best.cut()
+        if table is not None:
+            queries = pa.array(ids, None if not len(ids) or isinstance(ids[0], str) else pa.int64()).take(table["q"].combine_chunks())
+            yield from pa.Table.from_arrays([queries, table[id_col], table["sim"]], names=["query_id", id_col, "sim"]).combine_chunks().to_batches()
+
+    return docs.select(id_col, weights).mapInArrow(run, T.StructType(fields))
+
+
 def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, id_col: str = "doc_id", query_id: str = "query_id", weights: str = "weights") -> DataFrame:
     """(query_id, id, sim, rank) by the inner product of map<string, float> columns; documents that share no token do not rank.
 
-    Query terms of under ``BROADCAST_TERMS`` rows are broadcast, so a document's products are added up where it is; more
-    are joined by token.
+    The terms of a block of queries are broadcast, the documents are streamed past them, and a task ships at most k rows per
+    query. Null ids and maps and null weights take no part; without queries the result is empty.
     """
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(weights).alias("token", "qw")).where(F.col("query_id").isNotNull())
-    few = terms.limit(BROADCAST_TERMS).count() < BROADCAST_TERMS
-    entries = docs.where(F.col(id_col).isNotNull()).select(id_col, F.explode(weights).alias("token", "dw"))
-    joined = entries.join(F.broadcast(terms) if few else terms, "token")
-    sums = joined.groupBy("query_id", id_col).agg(F.sum(F.col("qw").cast("double") * F.col("dw").cast("double")).alias("sim"))
-    return _ranked(sums.where(F.col("sim") != 0), k, id_col)
+    id_type = T.StringType() if isinstance(queries.schema[query_id].dataType, T.StringType) else T.LongType()
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(weights).isNotNull())
+    parts = [_sparse_candidates(rows, ids, terms, id_type, k, id_col, weights) for ids, terms in _sparse_blocks(queries, query_id, weights)]
+    if not parts:
+        fields = [T.StructField("query_id", id_type), docs.schema[id_col], T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+        return docs.sparkSession.createDataFrame([], T.StructType(fields))
+    return _ranked(reduce(DataFrame.unionByName, parts), k, id_col)
 
 
 def fuse(rankings: list[DataFrame], id_col: str, k: int = 60, top_n: int = 20) -> DataFrame:
@@ -278,13 +329,40 @@ def fuse(rankings: list[DataFrame], id_col: str, k: int = 60, top_n: int = 20) -
     return ranked.where(F.col("rank") <= top_n).select("query_id", id_col, "score", "rank")
 
 
-def verbatim(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "item_id", passage_col: str = "text", block: int = 2000) -> DataFrame:
-    """(passage id, id) of documents that contain a passage; one pass over the documents for every ``block`` passages."""
-    rows = passages.where(F.col(passage_id).isNotNull() & (F.col(passage_col) != "")).select(passage_id, passage_col)
-    blocks, parts = max(1, -(-rows.count() // block)), []
+def verbatim(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "item_id", passage_col: str = "text") -> DataFrame:
+    """(passage id, id) of documents that contain a passage: one pass over the documents for every ``PASSAGE_CHARS`` characters of passages.
+
+    A block of passages is one automaton, which reads a text once whatever their number. Null and empty passages are in no
+    document; null ids of passages take no part; rows of documents are judged one by one.
+    """
+    rows = passages.where(F.col(passage_id).isNotNull() & (F.col(passage_col) != "")).select(passage_id, F.col(passage_col).alias("passage"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
+    blocks, parts = max(1, -(-chars // PASSAGE_CHARS)), []
+    kinds = T.StructType([passages.schema[passage_id], docs.schema[id_col]])
     for b in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64(passage_id), F.lit(blocks)) == b).agg(F.sort_array(F.collect_list(F.struct(F.col(passage_id), F.col(passage_col).alias("passage")))).alias("passages"))
-        found = docs.join(F.broadcast(own)).select(id_col, text_col, "passages")  # one row
-        hits = F.filter("passages", lambda p: F.contains(F.col(text_col), p["passage"]))
-        parts.append(found.select(F.explode(F.transform(hits, lambda p: p[passage_id])).alias(passage_id), id_col))
+        own: dict[str, list] = {}
+        for i, passage in rows.where(F.pmod(F.xxhash64(passage_id, "passage"), F.lit(blocks)) == b).collect():  # a block's size is bounded
+            own.setdefault(passage, []).append(i)
+        shared = docs.sparkSession.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            from ahocorasick import Automaton
+
+            machine = Automaton()
+            for passage, ids in shared.value.items():
+                machine.add_word(passage, ids)
+            if not len(machine):
+                return
+            machine.make_automaton()
+            for batch in batches:
+                row, found = [], []
+                for k, text in enumerate(batch.column(1)):
+                    hits = {id(ids): ids for _, ids in machine.iter(text.as_py() or "")}
+                    for ids in hits.values():
+                        found += ids
+                        row += [k] * len(ids)
+                if row:
+                    yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0).take(pa.array(row, pa.int64()))], names=kinds.names)
+
+        parts.append(docs.select(id_col, text_col).mapInArrow(run, kinds))
     return reduce(DataFrame.unionByName, parts)

@@ -15,6 +15,7 @@ from korpusmill.functions import text as X
 from korpusmill.functions import vector as V
 from korpusmill.operators import chunk, corpus, encode, evaluate, mining, search
 from korpusmill.plans import sql
+from korpusmill.storage import Scratch
 
 CONFIGS = [(200, 0), (300, 0), (500, 0), (1000, 0), (200, 50), (300, 100)]
 POOL, TOP = 100, 20
@@ -34,6 +35,10 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.length_stats(_table(spark, sf_dir, "documents"), F.length("text"))
 
 
+def corpus_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.length_stats(_table(spark, sf_dir, "documents").where("text IS NOT NULL"), X.n_tokens("text"))
+
+
 def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.histogram(_table(spark, sf_dir, "documents"), "lang")
 
@@ -121,23 +126,30 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encode.lexical_weights(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return search.sparse_top_k(docs, encode.lexical_weights(_passages(spark, sf_dir), "query_id", "query"), POOL)
+def _sparse(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    return search.sparse_top_k(docs, passages, POOL)
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoder = encode.HashingEncoder(64)
-    docs = encoder.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "embedding")
-    return search.top_k(docs, encoder.encode(_passages(spark, sf_dir), "query", "embedding"), POOL, id_col="doc_id")
+def _dense(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    return search.top_k(docs, passages, POOL, id_col="doc_id")
+
+
+def _encoded(spark: SparkSession, sf_dir: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Documents and passages with dense and sparse vectors, from one pass over the texts and saved."""
+    model = encode.HashingDual(64)
+    docs = scratch.save(model.encode(_table(spark, sf_dir, "documents"), "doc_id", "text"), "documents")
+    return docs, scratch.save(model.encode(_passages(spark, sf_dir), "query_id", "query"), "passages")
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse(spark, sf_dir).select("query_id", "doc_id", F.round("sim", 6).alias("score"), "rank")
+    docs = encode.lexical_weights(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = _sparse(docs, encode.lexical_weights(_passages(spark, sf_dir), "query_id", "query"))
+    return found.select("query_id", "doc_id", F.round("sim", 6).alias("score"), "rank")
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse([_dense(spark, sf_dir), _sparse(spark, sf_dir)], "doc_id", 60, TOP).withColumn("score", F.round("score", 9))
+    both = _encoded(spark, sf_dir, Scratch(spark, "hybrid"))
+    return search.fuse([_dense(*both), _sparse(*both)], "doc_id", 60, TOP).withColumn("score", F.round("score", 9))
 
 
 def verbatim_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +168,10 @@ def eval_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, sparse = _dense(spark, sf_dir), _sparse(spark, sf_dir)
-    truth = verbatim_truth(spark, sf_dir).withColumnRenamed("item_id", "query_id")
+    scratch = Scratch(spark, "methods")
+    both = _encoded(spark, sf_dir, scratch)
+    dense, sparse = (scratch.save(x.select("query_id", "doc_id", "rank"), n) for x, n in ((_dense(*both), "dense"), (_sparse(*both), "sparse")))
+    truth = scratch.save(verbatim_truth(spark, sf_dir).withColumnRenamed("item_id", "query_id"), "truth")
     first = lambda r: r.where(F.col("rank") <= TOP)
     return evaluate.compare({"dense": first(dense), "sparse": first(sparse), "hybrid": search.fuse([dense, sparse], "doc_id", 60, TOP)}, truth, "doc_id")
 
@@ -213,6 +227,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_filter_dedupe": corpus_filter_dedupe,
     "corpus_stats": corpus_stats,
+    "corpus_token_stats": corpus_token_stats,
     "category_histogram": category_histogram,
     "stratified_split": stratified_split,
     "split_counts": split_counts,
@@ -247,6 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "corpus_filter_dedupe": sql.CORPUS,
     "corpus_stats": sql.STATS,
+    "corpus_token_stats": sql.TOKEN_STATS,
     "category_histogram": sql.HISTOGRAM,
     "stratified_split": sql.SPLIT,
     "split_counts": sql.SPLIT_COUNTS,

@@ -29,6 +29,11 @@ SELECT count(*) AS n, round(avg(length(text)), 4) AS mean, quantile_cont(length(
 FROM documents
 """
 
+TOKEN_STATS = f"""
+WITH t AS (SELECT len({words("text")})::DOUBLE AS n FROM documents WHERE text IS NOT NULL)
+SELECT count(*) AS n, round(avg(n), 4) AS mean, quantile_cont(n, 0.5) AS median, min(n) AS min, max(n) AS max, round(quantile_cont(n, 0.9), 4) AS p90 FROM t
+"""
+
 HISTOGRAM = f"SELECT coalesce(nullif(lang, ''), '{OTHER_TYPE}') AS lang, count(*) AS n FROM documents GROUP BY 1"
 
 _SPLIT = """

@@ -213,6 +213,40 @@ def test_latency_equals_numpy(spark):
     assert np.allclose(list(got), [round(v, 2) for v in (x.mean(), *np.percentile(x, [50, 95, 99]))], atol=0.011)
 
 
+def test_percentiles_in_passes_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BUFFER_ROWS", 10)
+    monkeypatch.setattr(evaluate, "BINS", 7)
+    rng = np.random.default_rng(4)
+    for x in (rng.exponential(10, 3001), rng.integers(0, 3, 500).astype(float), np.full(40, 2.5), np.append(rng.normal(size=300), [1e300, -1e300])):
+        got = evaluate.percentiles(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double"), "v", [0.0, 0.5, 0.95, 0.99, 1.0])
+        assert np.allclose(got, np.percentile(x, [0, 50, 95, 99, 100]), rtol=1e-12)
+    assert evaluate.percentiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]) == [None]
+
+
+def test_sparse_search_and_verbatim_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_TERMS", 5)
+    monkeypatch.setattr(search, "PASSAGE_CHARS", 6)
+    monkeypatch.setattr(search, "SLICE", 8)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 12))) for _ in range(80)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b")], "doc_id long, text string").repartition(4)
+    queries = [(i, texts[i * 7]) for i in range(9)] + [(None, "a"), (20, "a"), (21, "zz"), (22, None)]
+    weigh = lambda t: {x: (t or "").split().count(x) / len(t.split()) for x in set((t or "").split())}
+    found = search.sparse_top_k(encode.lexical_weights(docs, "doc_id", "text"), encode.lexical_weights(spark.createDataFrame(queries, "query_id long, query string"), "query_id", "query"), 10)
+    want = set()
+    for q, t in queries:
+        if q is not None:
+            sims = [(round(sum(w * weigh(d).get(x, 0) for x, w in weigh(t).items()), 6), i) for i, d in enumerate(texts)]
+            want |= {(q, i, k + 1) for k, (s, i) in enumerate(sorted((x for x in sims if x[0]), key=lambda x: (-x[0], x[1]))[:10])}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in found.collect()} == want
+    passages = [(i, t) for i, t in enumerate([texts[0], "a b", "b c", "b", None, "", "a b"])]
+    got = search.verbatim(docs, spark.createDataFrame(passages, "item_id long, text string"))
+    assert sorted((r.item_id, str(r.doc_id)) for r in got.collect()) == sorted((p, str(i)) for p, x in passages if x for i, t in [*enumerate(texts), (None, "a b")] if t and x in t)
+    dual = {r.query_id: r for r in encode.HashingDual(8).encode(spark.createDataFrame(queries[:3], "query_id long, query string"), "query_id", "query").collect()}
+    for r in encode.HashingEncoder(8).encode(spark.createDataFrame(queries[:3], "query_id long, query string"), "query", "v").collect():
+        assert dual[r.query_id].embedding == r.v and set(dual[r.query_id].weights) == set((r["query"] or "").split())
+
+
 def test_mining(spark):
     chunks = spark.createDataFrame([(i, i // 3, [1.0, i / 10]) for i in range(30)], "chunk_id long, case_no long, embedding array<float>")
     queries = spark.createDataFrame([(0, 0, [1.0, 0.1]), (1, 99, [1.0, 0.0])], "query_id long, case_no long, embedding array<float>")
