@@ -34,6 +34,11 @@ def without_positive(queries: DataFrame, found: DataFrame) -> DataFrame:
     return queries.join(found.select("query_id"), "query_id", "left_anti").agg(F.lit("no_chunks").alias("reason"), F.count(F.lit(1)).alias("n"))
 
 
+def without_negative(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """(reason, n): queries for which no negative was found."""
+    return queries.join(found.select("query_id").distinct(), "query_id", "left_anti").agg(F.lit("no_negative").alias("reason"), F.count(F.lit(1)).alias("n"))
+
+
 def hard_negatives(pool: DataFrame, truth: DataFrame, doc_col: str = "case_no", id_col: str = "chunk_id", skip_top: int = 5, num_negatives: int = 1) -> DataFrame:
     """Of each query's pool (query_id, id, doc, sim, ...) without its true documents the places skip_top + 1 to skip_top + num_negatives, as ``negative_rank`` from 1.
 

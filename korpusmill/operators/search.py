@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -210,6 +210,13 @@ class CellIndex:
         model = KMeans(k=max(1, min(cells, n)), seed=seed, maxIter=15).fit(x)
         return cls(np.array(model.clusterCenters()))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(k, c) for k, c in enumerate(self.centroids.tolist())], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        return cls(np.array([r.centroid for r in spark.read.parquet(path).orderBy("cell").collect()]))  # a row per cell
+
     def assign(self, corpus: DataFrame, vector_col: str = "embedding") -> DataFrame:
         """Rows with ``cell``; -1 for vectors that are null or of another length."""
         shared, dim = corpus.sparkSession.sparkContext.broadcast(self.centroids), self.centroids.shape[1]

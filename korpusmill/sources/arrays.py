@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from korpusmill.sources.files import at, found
+from korpusmill.storage import Scratch
 
 BATCH_BYTES = 4 << 20
 
@@ -108,6 +111,62 @@ class CsrReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([name] * (hi - lo)), pa.array(np.arange(lo, hi)), maps], names=["file", "row", "weights"])
 
 
+def write_npy(rows: DataFrame, folder: str, vector_col: str = "embedding", order: list[str] | None = None, half: bool = True) -> DataFrame:
+    """Write vectors of one length as .npy matrices, one a partition, in half or single precision; returns (file, first_row, rows).
+
+    With ``order`` the files hold the rows in that order, one file after the other, as ``numbered`` numbers them.
+    """
+    store, root = at(folder)
+    store.create_dir(root, recursive=True)
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    kind = np.float16 if half else np.float32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, (store, root) = TaskContext.get(), at(folder)
+        parts = [np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(kind) for b in batches if b.num_rows]
+        if parts:
+            name, matrix = f"part-{task.partitionId():06d}.npy", np.concatenate(parts)
+            with store.open_output_stream(f"{root}/._{task.taskAttemptId()}-{name}", compression=None) as out:
+                np.lib.format.write_array(_Plain(out), matrix, allow_pickle=False)
+            store.move(f"{root}/._{task.taskAttemptId()}-{name}", f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"file": [name], "rows": [len(matrix)]})
+
+    done = sorted((r.file, r.rows) for r in own.select(vector_col).mapInArrow(run, "file string, rows long").collect())  # a row per file
+    first = np.cumsum([0, *(n for _, n in done)]).tolist()
+    return rows.sparkSession.createDataFrame([(f, a, n) for (f, n), a in zip(done, first, strict=False)], "file string, first_row long, rows long")
+
+
+class _Plain:
+    """What numpy needs of a stream that is no file of the system's."""
+
+    def __init__(self, out):
+        self.out = out
+
+    def write(self, data) -> int:
+        return self.out.write(bytes(data)) or len(data)
+
+
+def numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    """Rows with ``row``, their place from 0 in the given order; every task counts its own range, so no task holds all."""
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    own = scratch.save(own, "numbered").withColumn("_part", F.shiftright("_m", 33))
+    counts = sorted(tuple(r) for r in own.groupBy("_part").count().collect())  # a row per task
+    first = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    starts = rows.sparkSession.createDataFrame([(p, a) for (p, _), a in zip(counts, first, strict=False)], "_part long, _first long")
+    placed = own.join(F.broadcast(starts), "_part").withColumn("row", F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1))
+    return placed.drop("_m", "_part", "_first")
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame, order: list[str], scratch: Scratch, out_col: str = "embedding") -> DataFrame:
+    """Chunks in their order joined with the rows (row, vector) of a stored matrix; raises if their numbers differ."""
+    own, n = numbered(chunks, order, scratch), vectors.count()
+    if (m := own.count()) != n:
+        raise ValueError(f"{m} chunks but {n} vectors")
+    return own.join(vectors.select("row", F.col("vector").alias(out_col)), "row").drop("row")
+
+
 def register(spark) -> None:
     for source in (NpySource, CsrSource):
         spark.dataSource.register(source)

@@ -47,15 +47,20 @@ def corpus(raw: DataFrame, id_from_file: bool = True) -> DataFrame:
     return first_wins(rows, "case_no", ["split_ord", "file_name"]).withColumn("case_type", case_type("case_type")).select(*CASE_FIELDS.values())
 
 
+def write_corpus(rows: DataFrame, path: str) -> None:
+    """The accepted corpus as a table, by category."""
+    rows.write.mode("overwrite").partitionBy("case_type").parquet(path)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label documents (info, jdgmnInfo, file_name); unreadable files are left out."""
     return _objects(spark, path, LABEL, False).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_queries(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(query_id, query, case_ids) of a JSON array of items; ``query_id`` is the place in the array, ``limit`` keeps the first ones."""
+    """(query_id, query, case_ids) of a JSON array of items; ``query_id`` is the place in the array, ``limit`` keeps the first ones. What is no such array raises."""
     whole = spark.read.text(path, wholetext=True)
-    items = whole.select(F.posexplode(F.from_json("value", T.ArrayType(QUERY_ITEM))).alias("query_id", "item"))
+    items = whole.select(F.posexplode(F.from_json("value", T.ArrayType(QUERY_ITEM), {"mode": "FAILFAST"})).alias("query_id", "item"))
     rows = items.select(F.col("query_id").cast("long").alias("query_id"), "item.query", "item.case_ids")
     return rows if limit is None else rows.where(F.col("query_id") < limit)
 

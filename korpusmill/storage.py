@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session; only where it is unset (tests, a laptop) one below
-the system's temporary folder is taken.
+The folder is ``spark.checkpoint.dir`` of the session; only where it is unset and all tasks run in the driver's machine
+(tests, a laptop) one below the system's temporary folder is taken.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI that Spark's readers and writers take."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/korpusmill-shared-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

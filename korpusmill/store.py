@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korpusmill.functions.text import to_day
+from korpusmill.operators.chunk import chunks
 from korpusmill.schema import CHUNK
+from korpusmill.storage import Scratch
 
 PARTITIONS = ("model", "chunk_size", "overlap")
 KEY = ["case_no", "chunk_index"]
@@ -18,6 +23,8 @@ class ChunkStore:
         self.spark, self.root = spark, root
 
     def _marked(self, chunks: DataFrame, model: str, size: int, overlap: int) -> DataFrame:
+        if missing := [c for c in (*KEY, "chunk_text") if c not in chunks.columns]:
+            raise ValueError(f"chunks without {', '.join(missing)}")
         required = [f.name for f in CHUNK if not f.nullable and f.name in chunks.columns]
         checked = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null"))).otherwise(F.col(c)).alias(c) if c in required else F.col(c) for c in chunks.columns]
         return chunks.select(*checked, F.lit(model).alias("model"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("overlap"))
@@ -35,13 +42,33 @@ class ChunkStore:
         rows = self.spark.read.parquet(self.root)
         return rows.where((F.col("model") == model) & (F.col("chunk_size") == size) & (F.col("overlap") == overlap)).drop(*PARTITIONS)
 
-    def append_missing(self, chunks: DataFrame, model: str, size: int, overlap: int, encoder=None, vector_col: str = "embedding") -> None:
-        """Encode and add the chunks whose (case_no, chunk_index) the configuration lacks; running it again, or after a broken run, adds the rest."""
+    def append_missing(
+        self, chunks: DataFrame, model: str, size: int, overlap: int, encoder=None, vector_col: str = "embedding", slice_rows: int = 5_000_000
+    ) -> None:
+        """Encode and add the chunks whose (case_no, chunk_index) the configuration lacks.
+
+        What is missing is saved first and then encoded and added about ``slice_rows`` rows at a time, so a broken run keeps
+        the slices that were done, and running it again adds the rest.
+        """
         if self.exists():
             chunks = chunks.join(self.read(model, size, overlap).select(*KEY), KEY, "left_anti")
-        if encoder is not None:
-            chunks = encoder.encode(chunks, "chunk_text", vector_col)
-        self._marked(chunks, model, size, overlap).write.mode("append").partitionBy(*PARTITIONS).parquet(self.root)
+        scratch = Scratch(self.spark, "missing")
+        chunks = scratch.save(chunks, "chunks")
+        slices = -(-chunks.count() // slice_rows)
+        for k in range(slices):
+            own = chunks.where(F.pmod(F.xxhash64(*KEY), F.lit(slices)) == k) if slices > 1 else chunks
+            if encoder is not None:
+                own = encoder.encode(own, "chunk_text", vector_col)
+            self._marked(own, model, size, overlap).write.mode("append").partitionBy(*PARTITIONS).parquet(self.root)
+        scratch.drop(chunks)
+
+    def load(self, cases: DataFrame, model: str, size: int = 300, overlap: int = 100, encoder=None) -> DataFrame:
+        """Replace a configuration by all chunks of the cases, with name, court, date and category of each; returns (n_documents, n_chunks, seconds)."""
+        began = time.perf_counter()
+        rows = chunk_rows(cases, size, overlap)
+        self.write(rows if encoder is None else encoder.encode(rows, "chunk_text", "embedding"), model, size, overlap)
+        own = self.read(model, size, overlap).groupBy("case_no").agg(F.count(F.lit(1)).alias("n"))
+        return own.agg(F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks")).withColumn("seconds", F.lit(round(time.perf_counter() - began, 3)))
 
     def of_document(self, case_nos: DataFrame, model: str, size: int, overlap: int) -> DataFrame:
         """Chunks of many documents by one join."""
@@ -51,16 +78,25 @@ class ChunkStore:
         """All configurations as a catalog table bucketed by document, with statistics: joins on ``case_no`` need no shuffle of it."""
         rows = self.spark.read.parquet(self.root)
         rows.write.mode("overwrite").format("parquet").partitionBy(*PARTITIONS).bucketBy(bucket_count, "case_no").sortBy(*KEY).saveAsTable(name)
-        columns = ", ".join(c for c, kind in rows.dtypes if not kind.startswith("array"))
+        columns = ", ".join(c for c, kind in rows.dtypes if not kind.startswith(("array", "map")))
         self.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS {columns}")
 
     def report(self) -> DataFrame:
-        """(model, chunk_size, overlap, n_documents, n_chunks, mean_chars) of every configuration."""
-        rows = self.spark.read.parquet(self.root).groupBy(*PARTITIONS, "case_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk_text")).alias("chars"))
-        return rows.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_chunks"), F.round(F.sum("chars") / F.sum("n"), 2).alias("mean_chars"))
+        """(model, chunk_size, overlap, n_documents, n_chunks, mean_chars, bytes) of every configuration; bytes are those of its files."""
+        stored = self.spark.read.parquet(self.root)
+        rows = stored.groupBy(*PARTITIONS, "case_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk_text")).alias("chars"))
+        rows = rows.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_chunks"), F.round(F.sum("chars") / F.sum("n"), 2).alias("mean_chars"))
+        files = stored.groupBy(*PARTITIONS, "_metadata.file_path").agg(F.max("_metadata.file_size").alias("bytes"))
+        return rows.join(files.groupBy(*PARTITIONS).agg(F.sum("bytes").alias("bytes")), list(PARTITIONS))
+
+
+def chunk_rows(cases: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Chunks of ``sources.cases.corpus`` rows with the columns of ``schema.CHUNK`` but the vector: the date is made one, or null if it spells none."""
+    cut = chunks(cases, "case_no", "content", size, overlap, carry=("case_name", "court_name", "judgment_date", "case_type"))
+    return cut.withColumn("judgment_date", to_day("judgment_date")).select(*[f.name for f in CHUNK if f.name != "embedding"])
 
 
 def create_chunk_table(spark: SparkSession, name: str) -> None:
-    """An empty chunk table of the catalog, unless there is one."""
+    """An empty chunk table of the catalog, with the partitions of a store, unless there is one."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNK)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, chunk_size INT, overlap INT) USING parquet PARTITIONED BY (chunk_size, overlap)")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, model STRING, chunk_size INT, overlap INT) USING parquet PARTITIONED BY ({', '.join(PARTITIONS)})")

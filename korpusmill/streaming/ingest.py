@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from korpusmill.operators.chunk import chunks
 from korpusmill.schema import CASE_FIELDS, CORRUPT, RAW_CASE
 from korpusmill.sources.cases import corpus
-from korpusmill.store import ChunkStore
+from korpusmill.store import ChunkStore, chunk_rows
 
 
 def ingest(
@@ -26,7 +25,6 @@ def ingest(
     )
 
     def add(batch: DataFrame, _: int) -> None:
-        own = chunks(corpus(batch), "case_no", "content", size, overlap, carry=("case_type",))
-        store.append_missing(own.drop("char_offset"), model, size, overlap, encoder)
+        store.append_missing(chunk_rows(corpus(batch), size, overlap), model, size, overlap, encoder)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from korpusmill.operators import encode
+from korpusmill import cli
+from korpusmill.operators import encode, search
 from korpusmill.operators.chunk import chunks
 from korpusmill.operators.corpus import missing_keys
 from korpusmill.sources import archives, arrays, cases
-from korpusmill.store import ChunkStore, create_chunk_table
+from korpusmill.storage import Scratch
+from korpusmill.store import ChunkStore, chunk_rows, create_chunk_table
 from korpusmill.streaming.ingest import ingest
 
 
@@ -85,7 +87,10 @@ def test_zip_and_parts(spark, tmp_path):
     members = archives.read_zip(spark, str(tmp_path))
     assert {(r.member, r["size"]) for r in members.collect()} == {("x/one.txt", 10), ("two.txt", 2)}
     archives.extract(members, str(tmp_path / "out")).collect()
-    assert (tmp_path / "out" / "x" / "one.txt").read_bytes() == b"1" * 10
+    assert (tmp_path / "out" / "a" / "x" / "one.txt").read_bytes() == b"1" * 10
+    for _ in range(2):  # the second time the files are there
+        archives.extract(members).collect()
+    assert (tmp_path / "x" / "one.txt").read_bytes() == b"1" * 10
     for name in ("../up", "a/../../b", ".", ""):
         with pytest.raises(ValueError):
             archives.inner_path(name)
@@ -107,6 +112,107 @@ def test_zip_and_parts(spark, tmp_path):
         archives.join_parts(spark, str(parts))
 
 
+def test_archives_of_any_name_keep_their_members_apart(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name in ("B.ZIP", "_c.zip", "deep/B.Zip", ".hidden.zip"):
+        with zipfile.ZipFile(tmp_path / "in" / name, "w") as z:
+            z.writestr("same.json.gz", gzip.compress(name.encode()))
+    members = archives.read_zip(spark, str(tmp_path / "in"))
+    assert members.count() == 3
+    archives.extract(members, str(tmp_path / "out"), str(tmp_path / "in")).collect()
+    for name in ("B", "_c", "deep/B"):
+        assert gzip.decompress((tmp_path / "out" / name / "same.json.gz").read_bytes()).decode()[:-4].lower() == name.lower()
+    with pytest.raises(Exception, match="there already"):
+        archives.extract(members, str(tmp_path / "flat")).collect()  # two archives of one name
+
+
+def test_parts_beside_other_files(spark, tmp_path):
+    for name, data in {"x.zip.gz.part0": b"abc", "x.zip.gz.part3": b"de", "x.zip.partial": b"?", "x.part": b"?", "a.part0.txt": b"?"}.items():
+        (tmp_path / name).write_bytes(data)
+    assert [tuple(r)[1:] for r in archives.join_parts(spark, str(tmp_path)).collect()] == [(2, 5)]
+    assert (tmp_path / "x.zip.gz").read_bytes() == b"abcde" and len(list(tmp_path.iterdir())) == 4
+
+
+def test_vectors_by_row(spark, tmp_path):
+    """Matrices in half precision, read back and joined with their chunks by place."""
+    arrays.register(spark)
+    rng = np.random.default_rng(1)
+    rows = [(f"c{k // 3:03d}", k % 3, rng.normal(size=4).astype(np.float16).astype(float).tolist()) for k in range(200)]
+    df = spark.createDataFrame(rows, "case_no string, chunk_index int, embedding array<float>").repartition(5)
+    order, scratch = ["case_no", "chunk_index"], Scratch(spark, "rows")
+    files = arrays.write_npy(df, str(tmp_path / "npy"), order=order).collect()
+    assert sum(f.rows for f in files) == 200 and np.load(tmp_path / "npy" / files[0].file).dtype == np.float16
+    first = spark.createDataFrame(files)
+    stored = spark.read.format("npy").load(str(tmp_path / "npy")).join(first.select("file", "first_row"), "file").select((F.col("row") + F.col("first_row")).alias("row"), "vector")
+    got = arrays.with_vectors(df.drop("embedding"), stored, order, scratch)
+    assert sorted((r.case_no, r.chunk_index, r.embedding) for r in got.collect()) == rows
+    with pytest.raises(ValueError, match="200 chunks but 199"):
+        arrays.with_vectors(df.drop("embedding"), stored.where("row > 0"), order, scratch)
+
+
+def test_store_of_whole_rows(spark, folders, tmp_path):
+    """Name, court, date and category with every chunk; a broken run keeps its slices; partitions are the table's."""
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = cases.corpus(cases.read_cases(spark, folders))
+    assert tuple(store.load(rows, "m", 300, 100, encode.HashingEncoder(4)).first())[:2] == (4, 7)
+    one = store.read("m", 300, 100).where("case_no = '4'").orderBy("chunk_index").first()
+    assert (one.case_name, one.court_name, str(one.judgment_date), one.case_type, len(one.embedding)) == ("n", "c", "2024-01-31", "civil", 4)
+    assert store.report().first().bytes > 0
+    with pytest.raises(ValueError, match="without chunk_index"):
+        store.write(rows.select("case_no", F.col("content").alias("chunk_text")), "m", 1, 0)
+    class Failing(encode.HashingEncoder):
+        calls = 0
+
+        def encode(self, *args):
+            Failing.calls += 1
+            if Failing.calls == 2:
+                raise RuntimeError("lost")
+            return super().encode(*args)
+
+    cut = chunk_rows(rows, 50, 0)
+    with pytest.raises(RuntimeError, match="lost"):
+        store.append_missing(cut, "m", 50, 0, Failing(4), slice_rows=5)
+    kept = store.read("m", 50, 0).count()
+    assert 0 < kept < cut.count()
+    store.append_missing(cut, "m", 50, 0, encode.HashingEncoder(4), slice_rows=5)
+    assert store.read("m", 50, 0).count() == cut.count()
+    create_chunk_table(spark, "same_partitions")
+    assert spark.table("same_partitions").columns[-3:] == ["model", "chunk_size", "overlap"]
+    both = encode.HashingDual(4).encode(rows, "case_no", "content")
+    store.write(rows.select("case_no", F.lit(0).alias("chunk_index"), F.col("content").alias("chunk_text")).join(both, "case_no"), "dual", 0, 0)
+    assert store.read("dual", 0, 0).where("size(weights) > 0").count() == 4
+
+
+def test_index_is_saved(spark, tmp_path):
+    index = search.CellIndex(np.random.default_rng(0).normal(size=(5, 3)))
+    index.save(spark, str(tmp_path / "index"))
+    assert np.array_equal(search.CellIndex.load(spark, str(tmp_path / "index")).centroids, index.centroids)
+
+
+def test_command_line(spark, folders, tmp_path):
+    (tmp_path / "labels").mkdir()
+    for no in ("1", "4", "nowhere"):
+        (tmp_path / "labels" / f"{no}.json").write_text(json.dumps({"info": {"caseNoID": no}, "jdgmnInfo": [{"question": "first" if no == "1" else "x", "answer": "a"}]}))
+    rejected = cli.main(["build", *folders, "--labels", str(tmp_path / "labels"), "--out", str(tmp_path / "out")])
+    assert {r["reason"]: r["n"] for r in rejected} == {"unreadable": 1, "no_content": 1, "no_case_no": 1}
+    asked = spark.read.json(str(tmp_path / "out" / "queries"))
+    assert sorted(r["query"] for r in asked.collect()) == ["first", "x"]
+    report = cli.main(["load", "--corpus", str(tmp_path / "out" / "corpus"), "--store", str(tmp_path / "s"), "--dim", "8"])
+    assert report[0]["n_documents"] == 3 and report[0]["bytes"] > 0
+    (tmp_path / "q.json").write_text(json.dumps([{"query": "first", "case_ids": ["1"]}]))
+    for mode in ("exact", "cells"):
+        got = cli.main(["evaluate", "--store", str(tmp_path / "s"), "--queries", str(tmp_path / "q.json"), "--dim", "8", "--mode", mode, "--cells", "2", "--probes", "2"])
+        assert got[0]["queries"] == 1 and got[0]["recall@1"] == 1.0
+
+
+def test_broken_query_set_raises(spark, tmp_path):
+    (tmp_path / "q.json").write_text('[{"query": "q0", "case_ids": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        cases.read_queries(spark, str(tmp_path / "q.json")).collect()
+
+
 def test_store_appends_only_what_is_missing(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     docs = spark.createDataFrame([("1", "a" * 450), ("2", "b")], "case_no string, content string")
