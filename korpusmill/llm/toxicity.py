@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Words in a window, and from one window's start to the next's.
 WINDOW, STRIDE = 32, 16
@@ -320,10 +319,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = share.get(1, 0) / max(sum(share.values()), 1)
     picks = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(LOOK_AT * train_docs) for y in (0, 1)]
     pick = picks[0].unionByName(picks[1])
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], pick.schema)
-    rows = docs.where(F.length(F.coalesce(text_col, F.lit(""))) <= TRAIN_CHARS).select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)))
-    rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= train_docs).select(F.col(id_col).cast("string"), F.col(text_col), "y")
+    looked_at = [tuple(r) for r in pick.collect()]
+    short = docs.where(F.length(F.coalesce(text_col, F.lit(""))) <= TRAIN_CHARS).select(id_col, text_col)
+    table = lambda rows: F.broadcast(docs.sparkSession.createDataFrame(rows, pick.schema))
+    found = {r[0] for r in short.select(id_col).join(table(looked_at), id_col).select(id_col).distinct().collect()}  # of the few looked at
+    chosen = [x for y in (0, 1) for x in [r for r in looked_at if r[1] == y and r[0] in found][:train_docs]]
+    rows = short.join(table(chosen), id_col).select(F.col(id_col).cast("string"), F.col(text_col), "y").limit(3 * train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted((i or "", t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
