@@ -12,8 +12,9 @@ significant first, and a group of one drops out after every pass:
 3. Where these differ as well, their suffixes are ordered one by one by all ``length`` bytes. Equal groups are then
    exactly the repeated strings.
 
-Digits are compared by 64-bit (anchor, segment) and 128-bit (suffix) hashes. Every task orders what it holds first and ships
-one row per key, so a string that a third of all documents hold comes to as many rows as there are tasks.
+A digit is a string of bytes, not a single one, and is compared by a 64-bit (anchor, segment) or 128-bit (suffix) hash. Every task
+orders about ``FLUSH`` bytes of text at a time first and ships one row per key of these, so a string that a third of all
+documents hold comes to one row for every ``FLUSH`` bytes of text.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def _compared(anchor: np.ndarray, body: np.ndarray, owner: np.ndarray, sub: np.n
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """(id, sub, at, kind) of segments that are REPEAT or LOOSE; a key has as many rows as tasks at most."""
+    """(id, sub, at, kind) of segments that are REPEAT or LOOSE; a key has one row for every ``FLUSH`` bytes of text at most."""
     here = Window.partitionBy("compared", "anchor")
     kind = F.col("kind")
     return (
