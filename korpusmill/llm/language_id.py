@@ -157,8 +157,12 @@ SCORED = "text_score array<double>, own array<double>, letters boolean, declared
 def scored(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     """Evidence of rows (keys, text, url, source, markup): with ``markup`` the tags go and the declared language is read; without url, ``source`` is the host.
 
-    ``text_score``: weighted log-likelihoods; ``own``: posterior by the text alone, of texts without a letter zero.
+    ``text_score``: weighted log-likelihoods; ``own``: posterior by the text alone, of texts without a letter zero. Keys may name columns that
+    are read as evidence.
     """
+    evidence = ("text", "url", "source", "markup")
+    inputs = [*keys, *(c for c in evidence if c not in keys)]
+    at = [inputs.index(c) for c in evidence]
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -168,7 +172,7 @@ def scored(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
         for batch in batches:
             score, columns = np.zeros((batch.num_rows, len(own.languages))), [[] for _ in range(5)]
             for i in range(batch.num_rows):
-                text, url, source, markup = (batch.column(len(keys) + k)[i].as_py() for k in range(4))
+                text, url, source, markup = (batch.column(k)[i].as_py() for k in at)
                 text, declared = text or "", None
                 if markup:
                     m = _DECLARED.search(text)
@@ -185,7 +189,7 @@ def scored(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
             made = [_lists(score), _lists(alone), pa.array(columns[0], pa.bool_()), *(pa.array(c, pa.string()) for c in columns[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *made], names=[*keys, *(x.split()[0] for x in SCORED.split(", "))])
 
-    return rows.select(*keys, "text", "url", "source", "markup").mapInArrow(run, f"{kinds}, {SCORED}")
+    return rows.select(*inputs).mapInArrow(run, f"{kinds}, {SCORED}")
 
 
 def _filled(column: pa.Array, default: np.ndarray) -> np.ndarray:
@@ -259,6 +263,11 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     ``und`` and not accepted. Null urls, sources and undeclared languages leave that evidence out; rows with null or
     repeated keys are rows like others; of languages that are alike the first by name is taken. An empty table gives an
     empty result. Columns other than these are not read.
+
+    Keys go with their row, so a caller that wants whole rows names all their columns and needs no join afterwards. Names of
+    what is added (``lang``, ``confidence``, ``accepted`` and those in ``SCORED``) can't be keys.
     """
+    if taken := {"lang", "confidence", "accepted", "host_n", "towards", "declared_log", "suffix_log", *(x.split()[0] for x in SCORED.split(", "))} & set(keys):
+        raise ValueError(f"keys can't be named {sorted(taken)}")
     scratch = Scratch(rows.sparkSession, "language")
     return fuse(scratch.save(scored(rows, model, keys), "evidence"), model.languages, keys, scratch)

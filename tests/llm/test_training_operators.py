@@ -811,6 +811,20 @@ def test_language_of_odd_columns(spark, docs):
     assert language_id.fit(labelled.limit(0)).languages == ["und"]
 
 
+def test_language_keeps_whole_rows(spark, docs):
+    """Columns that are evidence go with their row as keys, of repeated ids each its own."""
+    rows = docs.limit(40).select("doc_id", "text", F.lit(None).cast("string").alias("url"), "source", F.lit(False).alias("markup"))
+    rows = rows.unionByName(spark.createDataFrame([(1, None, None, None, False), (1, " 7 ", None, "s", False), (None, "", None, "s", False)], rows.schema))
+    model = language_id.fit(docs)
+    whole = language_id.identify(rows, model, ["text", "doc_id", "source"])
+    assert whole.columns == ["text", "doc_id", "source", "lang", "confidence", "accepted"]
+    order = lambda out: sorted(out, key=str)
+    assert order(map(tuple, whole.drop("text", "source").collect())) == order(map(tuple, language_id.identify(rows, model, ["doc_id"]).collect()))
+    assert order(map(tuple, whole.select("doc_id", "text", "source").collect())) == order(map(tuple, rows.select("doc_id", "text", "source").collect()))
+    with pytest.raises(ValueError, match="lang"):
+        language_id.identify(rows.withColumn("lang", F.lit("x")), model, ["lang"])
+
+
 def _tongues(n):
     """Labels with words of their own each: (label, text) of two rows a label; the second language's texts are all long."""
     rng = np.random.default_rng(8)
