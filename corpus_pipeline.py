@@ -26,9 +26,9 @@ def _with_text(out: DataFrame, text) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labels name; those in none of them go."""
     null = F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", null.alias("url"), "source", F.lit(False).alias("markup"))
-    found = language_id.identify(rows, language_id.fit(docs), ["doc_id"]).where("accepted").select(F.col("doc_id").alias("accepted_id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["accepted_id"]), "left_semi").select(*COLUMNS)
+    rows = docs.select("doc_id", "text", F.col("lang").alias("label"), "source", F.col("n_chars").alias("size"), null.alias("url"), F.lit(False).alias("markup"))
+    found = language_id.identify(rows, language_id.fit(docs), ["doc_id", "text", "label", "source", "size"]).where("accepted")
+    return found.select("doc_id", "text", F.col("label").alias("lang"), "source", F.col("size").alias("n_chars"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
