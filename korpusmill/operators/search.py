@@ -1,18 +1,22 @@
 """Ranked search: exact and partitioned vector search, sparse search, rank fusion.
 
 Rankings are long: (query_id, rank, document, score). Orders are total: score rounded to six decimals descending, then id
-ascending. A query set is taken in blocks whose vectors have a bounded size; a block is broadcast, the corpus is
-streamed past it, and a task ships at most k rows per query.
+ascending. A query set is taken in blocks whose vectors have a bounded size; the corpus is read once, a task takes all
+blocks in turn over what it holds, and ships at most k rows per query.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from korpusmill.functions.vector import LEAST_NORM, l2_normalize
+from korpusmill.storage import Scratch
 
 #: Bytes of query vectors, query terms and characters of passages that are broadcast at once, similarities that are computed at once.
 BLOCK_BYTES = 32 << 20
@@ -28,6 +33,8 @@ BLOCK_TERMS = 500_000
 PASSAGE_CHARS = 2 << 20
 SLICE = 4 << 20
 DIGITS = 6
+#: Bytes of a corpus part that several blocks pass over, and categories that a scan is filtered by.
+HELD_BYTES, MANY_VALUES = 64 << 20, 1000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -77,57 +84,131 @@ class _Best:
         return table
 
 
-def _blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[int, list, np.ndarray]]:
-    """By vector length blocks (length, ids, unit vectors) of at most about ``BLOCK_BYTES``."""
-    own = queries.where(F.col(query_id).isNotNull() & (F.size(vector) > 0)).select(query_id, F.col(vector).alias("v"))
-    for dim, n in sorted(map(tuple, own.groupBy(F.size("v")).count().collect())):  # a row per length
-        blocks = -(-n * dim * 8 // BLOCK_BYTES)
+class _Shared:
+    """Blocks of a query set that tasks take in turn: a single one is broadcast, several are files in the shared folder, of which a task holds one at a time."""
+
+    def __init__(self, spark: SparkSession, blocks: Iterator):
+        first, more = next(blocks, None), next(blocks, None)
+        self.single, self.paths, self.one = more is None, [], None
+        if self.single:
+            self.one = spark.sparkContext.broadcast(first)
+            return
+        folder = Scratch(spark, "blocks").path("queries")
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        for k, block in enumerate(chain([first, more], blocks)):
+            with store.open_output_stream(f"{path}/{k:06d}", compression=None) as out:
+                pickle.dump(block, out)
+            self.paths.append(f"{folder}/{k:06d}")
+
+    def __iter__(self) -> Iterator:
+        if self.single:
+            yield self.one.value
+        for uri in self.paths:
+            store, path = fs.FileSystem.from_uri(uri)
+            with store.open_input_stream(path, compression=None) as stream:
+                block = pickle.loads(stream.read())
+            yield block
+
+    def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator:
+        """What is held while all blocks pass over it: everything, as a stream, for a single block, else batches of about ``HELD_BYTES``."""
+        if self.single:
+            yield batches
+            return
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= HELD_BYTES:
+                yield held
+                held = []
+        if held:
+            yield held
+
+
+class _Block(NamedTuple):
+    """Queries of one vector length: ids, unit vectors, cells to search, and the values that a row's ``within`` must have."""
+
+    ids: list
+    matrix: np.ndarray
+    probes: np.ndarray | None
+    values: list | None
+
+    def named(self, q: pa.Array) -> pa.Array:
+        return pa.array(self.ids, None if not len(self.ids) or isinstance(self.ids[0], str) else pa.int64()).take(q)
+
+    def matches(self, cells: np.ndarray | None, values: pa.Array | None, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, queries): rows of one cell and value, and the queries that search these."""
+        every = np.arange(len(self.ids))
+        if cells is None and values is None:
+            yield np.arange(n), every
+            return
+        kinds = [np.zeros(n, np.int64) if cells is None else cells.astype(np.int64)]
+        if values is not None:
+            kinds.append(pc.index_in(values, value_set=pa.array(sorted(set(self.values)), values.type)).fill_null(-1).to_numpy(zero_copy_only=False))
+        own = {v: k for k, v in enumerate(sorted(set(self.values)))} if values is not None else {}
+        of = np.array([own[v] for v in self.values]) if values is not None else None
+        for kind in np.unique(np.stack(kinds), axis=1).T:
+            which = np.ones(len(every), bool) if cells is None else (self.probes == kind[0]).any(axis=1)
+            if values is not None:
+                which &= of == kind[1]
+            if which.any():
+                yield np.flatnonzero(np.all(np.stack(kinds) == kind[:, None], axis=0)), np.flatnonzero(which)
+
+
+def _blocks(queries: DataFrame, query_id: str, vector: str, within: str | None) -> Iterator[tuple[int, Iterator[_Block]]]:
+    """By vector length blocks of at most about ``BLOCK_BYTES`` of vectors. Queries of several blocks are saved first, so that they are made once."""
+    value = F.col(within) if within else F.lit(None)
+    own = queries.where(F.col(query_id).isNotNull() & (F.size(vector) > 0)).select(query_id, F.col(vector).alias("v"), value.alias("w"))
+    own = own.where("w IS NOT NULL") if within else own.drop("w")
+    lengths = sorted(map(tuple, own.groupBy(F.size("v")).count().collect()))  # a row per length
+    if sum(-(-n * dim * 8 // BLOCK_BYTES) for dim, n in lengths) > 1:
+        own = Scratch(queries.sparkSession, "queries").save(own, "vectors")
+
+    def of(dim: int, blocks: int) -> Iterator[_Block]:
         alike = own.where(F.size("v") == dim)
         for b in range(blocks):
             part = alike.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else alike
             rows = sorted(part.collect(), key=lambda r: r[0])  # a block's size is bounded
             if rows:
-                yield dim, [r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64))
+                yield _Block([r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64)), None, [r[2] for r in rows] if within else None)
+
+    for dim, n in lengths:
+        yield dim, of(dim, -(-n * dim * 8 // BLOCK_BYTES))
 
 
-def _cell_sizes(corpus: DataFrame, vector: str, dim: int) -> dict[int, int]:
-    """Rows of each cell that can be ranked: vectors of length ``dim`` whose elements are all finite numbers."""
+def _cell_sizes(corpus: DataFrame, vector: str, dim: int, within: str | None = None) -> dict:
+    """Rows of each cell (and value of ``within``) that can be ranked: vectors of length ``dim`` whose elements are all finite numbers."""
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col(vector).isNotNull() & (F.size(vector) == dim) & F.forall(vector, number)
-    return {r.cell: r["count"] for r in corpus.where(usable).groupBy("cell").count().collect()}  # a row per cell
+    return _sizes(corpus.where(usable), within)
+
+
+def _sizes(rows: DataFrame, within: str | None) -> dict:
+    value = F.col(within) if within else F.lit(None)
+    return {(r.cell, r.w): r.n for r in rows.groupBy("cell", value.alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per cell and category
 
 
-def _candidates(corpus: DataFrame, ids: list, matrix: np.ndarray, id_type: T.DataType, k: int, columns: list[str], vector: str, probes: np.ndarray | None) -> DataFrame:
-    spark = corpus.sparkSession
-    shared, dim = spark.sparkContext.broadcast((ids, matrix, probes)), matrix.shape[1]
+def _candidates(corpus: DataFrame, shared: _Shared, dim: int, id_type: T.DataType, k: int, columns: list[str], vector: str, cells: bool, within: str | None) -> DataFrame:
     fields = [T.StructField("query_id", id_type), *(corpus.schema[c] for c in columns), T.StructField("sim", T.DoubleType())]
     usable = F.col(vector).isNotNull() & (F.size(vector) == dim)
-    extra = [] if probes is None else ["cell"]
+    extra, names = [*(["cell"] if cells else []), *([within] if within else [])], ["query_id", *columns, "sim"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, probes = shared.value
-        best = _Best(len(ids), k, ["q", "key", "sim", *columns])
-        step = max(1, SLICE // len(ids))
-        every = np.arange(len(ids))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                part = part.take(pc.sort_indices(part.column(0)))
-                rows = part.select(list(range(len(columns))))
-                x = _unit(_matrix(part.column(len(columns)), dim))
-                if probes is None:
-                    best.add(matrix @ x.T, every, rows)
-                    continue
-                cells = part.column(len(columns) + 1).to_numpy(zero_copy_only=False)
-                for c in np.unique(cells):
-                    own, which = np.flatnonzero(cells == c), np.flatnonzero((probes == c).any(axis=1))
-                    if len(which):
-                        best.add(matrix[which] @ x[own].T, which, rows.take(pa.array(own)))
-        table = best.cut()
-        if table is not None:
-            queries = pa.array(ids, None if not len(ids) or isinstance(ids[0], str) else pa.int64()).take(table["q"].combine_chunks())
-            for b in pa.Table.from_arrays([queries, *(table[c] for c in columns), table["sim"]], names=["query_id", *columns, "sim"]).combine_chunks().to_batches():
-                yield b
+        for part in shared.parts(batches):
+            for block in shared:
+                best, step = _Best(len(block.ids), k, ["q", "key", "sim", *columns]), max(1, SLICE // len(block.ids))
+                for batch in part:
+                    for lo in range(0, batch.num_rows, step):
+                        own = batch.slice(lo, step)
+                        own = own.take(pc.sort_indices(own.column(0)))
+                        rows, x, at = own.select(list(range(len(columns)))), _unit(_matrix(own.column(len(columns)), dim)), len(columns) + 1
+                        cell = own.column(at).to_numpy(zero_copy_only=False) if cells else None
+                        for those, which in block.matches(cell, own.column(at + cells) if within else None, own.num_rows):
+                            best.add(block.matrix[which] @ x[those].T, which, rows.take(pa.array(those)))
+                table = best.cut()
+                if table is not None:
+                    q = block.named(table["q"].combine_chunks())
+                    yield from pa.Table.from_arrays([q, *(table[c] for c in columns), table["sim"]], names=names).combine_chunks().to_batches()
 
     return corpus.where(usable).select(*columns, vector, *extra).mapInArrow(run, T.StructType(fields))
 
@@ -139,22 +220,28 @@ def _ranked(pool: DataFrame, k: int, id_col: str) -> DataFrame:
 
 def top_k(
     corpus: DataFrame, queries: DataFrame, k: int = 500, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id",
-    query_vector: str = "embedding", carry: tuple[str, ...] = (), probes=None,
+    query_vector: str = "embedding", carry: tuple[str, ...] = (), probes=None, within: str | None = None,
 ) -> DataFrame:
     """(query_id, id, carried columns, sim, rank) of the k rows of largest cosine with each query; fewer rows give fewer.
 
-    Queries are searched among rows of their vector's length. Null vectors and ids take no part; a zero vector has the similarity 0 with all. Ids are
-    integers or strings. Without queries the result is empty. Queries are read once per block of ``BLOCK_BYTES``. With
-    ``probes`` (see ``CellIndex.probes``) a query sees the rows of some cells only, but k rows if there are as many.
+    Queries are searched among rows of their vector's length, in one scan whatever their number. Null vectors and ids take no part; a zero vector has the similarity 0 with all. Ids are
+    integers or strings. Without queries the result is empty. With ``probes`` (see ``CellIndex.probes``) a query sees the rows of some cells only, but k rows if there are as many.
+
+    ``within`` names a column of both tables, a category: a query ranks rows of its own value only, and a null value none. A corpus that is partitioned
+    by this column is read for the queries' values only.
     """
     id_type = T.StringType() if isinstance(queries.schema[query_id].dataType, T.StringType) else T.LongType()
     columns = [id_col, *carry]
     rows = corpus.where(F.col(id_col).isNotNull())
-    parts, sizes = [], {}
-    for dim, ids, m in _blocks(queries, query_id, query_vector):
-        if probes and dim not in sizes:
-            sizes[dim] = _cell_sizes(rows, vector_col, dim)
-        parts.append(_candidates(rows, ids, m, id_type, k, columns, vector_col, probes(m, k, sizes[dim]) if probes else None))
+    if within:
+        values = [r[0] for r in queries.select(within).where(F.col(within).isNotNull()).distinct().limit(MANY_VALUES + 1).collect()]
+        rows = rows.where(F.col(within).isin(values)) if len(values) <= MANY_VALUES else rows
+    parts = []
+    for dim, blocks in _blocks(queries, query_id, query_vector, within):
+        if probes:
+            sizes = _cell_sizes(rows, vector_col, dim, within)
+            blocks = (b._replace(probes=probes(b.matrix, k, sizes, b.values)) for b in blocks)
+        parts.append(_candidates(rows, _Shared(corpus.sparkSession, blocks), dim, id_type, k, columns, vector_col, bool(probes), within))
     if not parts:
         fields = [T.StructField("query_id", id_type), *(corpus.schema[c] for c in columns), T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())]
         return corpus.sparkSession.createDataFrame([], T.StructType(fields))
@@ -181,8 +268,10 @@ class DenseExact:
         self.id_col, self.doc_col, self.vector_col = id_col, doc_col, vector_col
 
     def vectors(self, queries: DataFrame) -> DataFrame:
-        """Queries with the column of their vectors: encoded from ``query``, unless there is no encoder."""
-        return queries if self.encoder is None else self.encoder.encode(queries, "query", self.vector_col)
+        """Queries with the column of their vectors: encoded from ``query``, each once, unless there is no encoder."""
+        if self.encoder is None:
+            return queries
+        return Scratch(queries.sparkSession, "encoded").save(self.encoder.encode(queries, "query", self.vector_col), "queries")
 
     def pool(self, queries: DataFrame) -> DataFrame:
         return top_k(self.corpus, self.vectors(queries), self.pool_k, self.id_col, self.vector_col, query_vector=self.vector_col, carry=(self.doc_col,))
@@ -236,14 +325,15 @@ class CellIndex:
         return corpus.withColumn("cell", nearest(vector_col))
 
     def probes(self, nprobe: int):
-        """Cells to search by query: the ``nprobe`` nearest, and on to further ones while these hold fewer than k rows; -2 is no cell."""
+        """Cells to search by query: the ``nprobe`` nearest, and on to further ones while these hold fewer than k rows (of the query's value); -2 is no cell."""
 
-        def of(queries: np.ndarray, k: int, sizes: dict[int, int]) -> np.ndarray:
+        def of(queries: np.ndarray, k: int, sizes: dict, values: list | None = None) -> np.ndarray:
             c = self.centroids
             if queries.shape[1] != c.shape[1]:  # rows of this length are in no cell
                 return np.full((len(queries), 1), -1, np.int32)
             near = np.argsort(-(2 * queries @ c.T - (c * c).sum(axis=1)), axis=1, kind="stable").astype(np.int32)
-            before = np.cumsum(np.array([sizes.get(i, 0) for i in range(len(c))])[near], axis=1)
+            rows = {v: np.array([sizes.get((i, v), 0) for i in range(len(c))]) for v in set(values or [None])}
+            before = np.cumsum(np.stack([rows[v] for v in values or [None] * len(near)])[np.arange(len(near))[:, None], near], axis=1)
             before = np.hstack([np.zeros((len(near), 1), before.dtype), before[:, :-1]])
             return np.where((np.arange(len(c)) < nprobe) | (before < k), near, -2).astype(np.int32)
 
@@ -262,9 +352,10 @@ class DenseCells(DenseExact):
         return top_k(self.corpus, self.vectors(queries), self.pool_k, self.id_col, self.vector_col, query_vector=self.vector_col, carry=(self.doc_col,), probes=probes)
 
 
-def _sparse_blocks(queries: DataFrame, query_id: str, weights: str) -> Iterator[tuple[list, dict[str, list[tuple[int, float]]]]]:
-    """Blocks of queries of about ``BLOCK_TERMS`` terms: their ids, and by token the places and weights of the queries that have it."""
+def _sparse_blocks(queries: DataFrame, query_id: str, weights: str) -> Iterator[tuple[list, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of queries of about ``BLOCK_TERMS`` terms: their ids, the tokens, and of each the places and weights of the queries that have it. Several blocks' queries are saved first."""
     own = queries.where(F.col(query_id).isNotNull()).select(query_id, F.col(weights).alias("w"))
+    own = Scratch(queries.sparkSession, "queries").save(own, "weights")
     terms = own.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
     blocks = max(1, -(-terms // BLOCK_TERMS))
     for b in range(blocks):
@@ -276,37 +367,36 @@ def _sparse_blocks(queries: DataFrame, query_id: str, weights: str) -> Iterator[
                 if w is not None:
                     by.setdefault(token, []).append((k, w))
         if by:
-            yield [r[0] for r in rows], by
+            flat = np.array([x for xs in by.values() for x in xs], np.float64).reshape(-1, 2)
+            yield [r[0] for r in rows], list(by), np.append(0, np.cumsum([len(x) for x in by.values()])), flat[:, 0].astype(np.int64), flat[:, 1]
 
 
-def _sparse_candidates(docs: DataFrame, ids: list, terms: dict[str, list[tuple[int, float]]], id_type: T.DataType, k: int, id_col: str, weights: str) -> DataFrame:
+def _sparse_candidates(docs: DataFrame, shared: _Shared, id_type: T.DataType, k: int, id_col: str, weights: str) -> DataFrame:
     """Of every task the k documents of each query with the largest inner product."""
-    many = np.array([len(x) for x in terms.values()])
-    flat = np.array([x for xs in terms.values() for x in xs], np.float64).reshape(-1, 2)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, list(terms), np.append(0, np.cumsum(many)), flat[:, 0].astype(np.int64), flat[:, 1]))
     fields = [T.StructField("query_id", id_type), docs.schema[id_col], T.StructField("sim", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tokens, starts, which, w = shared.value
-        best, tokens, every = _Best(len(ids), k, ["q", "key", "sim", id_col]), pa.array(tokens), np.arange(len(ids))
-        step = max(1, SLICE // len(ids))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                part = part.take(pc.sort_indices(part.column(0)))
-                maps = part.column(1)
-                at = pc.index_in(maps.keys, value_set=tokens)
-                entry = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-                token, value = at.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.int64), maps.items.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.float64)
-                row = np.searchsorted(maps.offsets.to_numpy(), entry, side="right") - 1
-                n = starts[token + 1] - starts[token]
-                term = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[token], n)
-                sims = np.bincount(which[term] * part.num_rows + np.repeat(row, n), w[term] * np.repeat(value, n), len(ids) * part.num_rows).reshape(len(ids), -1)
-                best.add(np.where(sims != 0, sims, np.nan), every, part.select([0]))
-        table = best.cut()
-        if table is not None:
-            queries = pa.array(ids, None if not len(ids) or isinstance(ids[0], str) else pa.int64()).take(table["q"].combine_chunks())
-            yield from pa.Table.from_arrays([queries, table[id_col], table["sim"]], names=["query_id", id_col, "sim"]).combine_chunks().to_batches()
+        for held in shared.parts(batches):
+            for ids, tokens, starts, which, w in shared:
+                best, tokens, every = _Best(len(ids), k, ["q", "key", "sim", id_col]), pa.array(tokens), np.arange(len(ids))
+                step = max(1, SLICE // len(ids))
+                for batch in held:
+                    for lo in range(0, batch.num_rows, step):
+                        part = batch.slice(lo, step)
+                        part = part.take(pc.sort_indices(part.column(0)))
+                        maps = part.column(1)
+                        at = pc.index_in(maps.keys, value_set=tokens)
+                        entry = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                        token, value = at.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.int64), maps.items.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.float64)
+                        row = np.searchsorted(maps.offsets.to_numpy(), entry, side="right") - 1
+                        n = starts[token + 1] - starts[token]
+                        term = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[token], n)
+                        sims = np.bincount(which[term] * part.num_rows + np.repeat(row, n), w[term] * np.repeat(value, n), len(ids) * part.num_rows).reshape(len(ids), -1)
+                        best.add(np.where(sims != 0, sims, np.nan), every, part.select([0]))
+                table = best.cut()
+                if table is not None:
+                    queries = pa.array(ids, None if not len(ids) or isinstance(ids[0], str) else pa.int64()).take(table["q"].combine_chunks())
+                    yield from pa.Table.from_arrays([queries, table[id_col], table["sim"]], names=["query_id", id_col, "sim"]).combine_chunks().to_batches()
 
     return docs.select(id_col, weights).mapInArrow(run, T.StructType(fields))
 
@@ -314,16 +404,16 @@ def _sparse_candidates(docs: DataFrame, ids: list, terms: dict[str, list[tuple[i
 def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, id_col: str = "doc_id", query_id: str = "query_id", weights: str = "weights") -> DataFrame:
     """(query_id, id, sim, rank) by the inner product of map<string, float> columns; documents that share no token do not rank.
 
-    The terms of a block of queries are broadcast, the documents are streamed past them, and a task ships at most k rows per
-    query. Null ids and maps and null weights take no part; without queries the result is empty.
+    The documents are streamed once past all blocks of query terms, and a task ships at most k rows per
+    query and part of it. Null ids and maps and null weights take no part; without queries the result is empty.
     """
     id_type = T.StringType() if isinstance(queries.schema[query_id].dataType, T.StringType) else T.LongType()
     rows = docs.where(F.col(id_col).isNotNull() & F.col(weights).isNotNull())
-    parts = [_sparse_candidates(rows, ids, terms, id_type, k, id_col, weights) for ids, terms in _sparse_blocks(queries, query_id, weights)]
-    if not parts:
+    blocks = _sparse_blocks(queries, query_id, weights)
+    if (first := next(blocks, None)) is None:
         fields = [T.StructField("query_id", id_type), docs.schema[id_col], T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())]
         return docs.sparkSession.createDataFrame([], T.StructType(fields))
-    return _ranked(reduce(DataFrame.unionByName, parts), k, id_col)
+    return _ranked(_sparse_candidates(rows, _Shared(docs.sparkSession, chain([first], blocks)), id_type, k, id_col, weights), k, id_col)
 
 
 def fuse(rankings: list[DataFrame], id_col: str, k: int = 60, top_n: int = 20) -> DataFrame:
@@ -337,39 +427,44 @@ def fuse(rankings: list[DataFrame], id_col: str, k: int = 60, top_n: int = 20) -
 
 
 def verbatim(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "item_id", passage_col: str = "text") -> DataFrame:
-    """(passage id, id) of documents that contain a passage: one pass over the documents for every ``PASSAGE_CHARS`` characters of passages.
+    """(passage id, id) of documents that contain a passage, in one pass over the documents.
 
-    A block of passages is one automaton, which reads a text once whatever their number. Null and empty passages are in no
+    A block of ``PASSAGE_CHARS`` characters of passages is one automaton (of the package ``pyahocorasick``), which reads a text once whatever their number. Null and empty passages are in no
     document; null ids of passages take no part; rows of documents are judged one by one.
     """
     rows = passages.where(F.col(passage_id).isNotNull() & (F.col(passage_col) != "")).select(passage_id, F.col(passage_col).alias("passage"))
+    rows = Scratch(docs.sparkSession, "passages").save(rows, "passages")
     chars = rows.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
-    blocks, parts = max(1, -(-chars // PASSAGE_CHARS)), []
+    blocks = max(1, -(-chars // PASSAGE_CHARS))
     kinds = T.StructType([passages.schema[passage_id], docs.schema[id_col]])
-    for b in range(blocks):
+
+    def block(b: int) -> dict[str, list]:
         own: dict[str, list] = {}
         for i, passage in rows.where(F.pmod(F.xxhash64(passage_id, "passage"), F.lit(blocks)) == b).collect():  # a block's size is bounded
             own.setdefault(passage, []).append(i)
-        shared = docs.sparkSession.sparkContext.broadcast(own)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from ahocorasick import Automaton
-
-            machine = Automaton()
-            for passage, ids in shared.value.items():
-                machine.add_word(passage, ids)
-            if not len(machine):
-                return
-            machine.make_automaton()
-            for batch in batches:
-                row, found = [], []
-                for k, text in enumerate(batch.column(1)):
-                    hits = {id(ids): ids for _, ids in machine.iter(text.as_py() or "")}
-                    for ids in hits.values():
-                        found += ids
-                        row += [k] * len(ids)
-                if row:
-                    yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0).take(pa.array(row, pa.int64()))], names=kinds.names)
-
-        parts.append(docs.select(id_col, text_col).mapInArrow(run, kinds))
-    return reduce(DataFrame.unionByName, parts)
+        return own
+
+    shared = _Shared(docs.sparkSession, map(block, range(blocks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        for part in shared.parts(batches):
+            for own in shared:
+                machine = Automaton()
+                for passage, ids in own.items():
+                    machine.add_word(passage, ids)
+                if not len(machine):
+                    continue
+                machine.make_automaton()
+                for batch in part:
+                    row, found = [], []
+                    for k, text in enumerate(batch.column(1)):
+                        hits = {id(ids): ids for _, ids in machine.iter(text.as_py() or "")}
+                        for ids in hits.values():
+                            found += ids
+                            row += [k] * len(ids)
+                    if row:
+                        yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0).take(pa.array(row, pa.int64()))], names=kinds.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, kinds)
