@@ -65,13 +65,3 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[str, int]]:
-    """(URI, bytes) of the plain files directly in a folder, by name."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(p) if s.isFile()]
-    return sorted(x for x in out if x[0].endswith(suffix) and not x[0].rsplit("/", 1)[-1].startswith((".", "_")))
