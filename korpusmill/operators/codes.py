@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from korpusmill.operators.search import DIGITS, SLICE, CellIndex, DenseExact, _Best, _blocks, _matrix, _ranked, _Shared, _sizes, _unit, top_k
+from korpusmill.operators.search import DIGITS, SLICE, CellIndex, DenseExact, _Best, _blocks, _finite, _matrix, _ranked, _Shared, _sizes, _unit
 from korpusmill.storage import Scratch
 
 PART, WORDS, ROUNDS = 2, 256, 8
@@ -51,12 +52,12 @@ class CodeIndex(CellIndex):
         base = CellIndex.fit(corpus, vector_col, cells, sample_rows, seed)
         dim = base.centroids.shape[1]
         parts = -(-dim // PART)
-        own = corpus.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
+        own = corpus.where(_finite(vector_col) & (F.size(vector_col) == dim))
         n, most = own.count(), min(sample_rows, max(WORDS, SAMPLE_BYTES // (8 * dim)))
         if n > most:
             own = own.where(F.pmod(F.xxhash64(vector_col, F.lit(seed)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
         x = np.array([r[0] for r in own.select(vector_col).limit(2 * most).collect()], np.float64).reshape(-1, dim)  # a bounded sample
-        x = _unit(x[np.isfinite(x).all(axis=1)])
+        x = _unit(x)
         if not len(x):
             return cls(base.centroids, np.zeros((parts, 1, PART)))
         c = base.centroids
@@ -174,10 +175,10 @@ def code_top_k(
     coded: DataFrame, corpus: DataFrame, index: CodeIndex, queries: DataFrame, k: int = 500, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id",
     query_vector: str = "embedding", carry: tuple[str, ...] = (), within: str | None = None, nprobe: int = 48, rerank: int = 4, share: float = 0.1, exact: bool = False,
 ) -> DataFrame:
-    """(query_id, id, carried columns, sim, exact, rank): the k nearest rows by ``coded`` (``CodeIndex.code`` of ``corpus``, whose ids are unique).
+    """(query_id, id, carried columns, sim, exact, compared, rank): the k nearest rows by ``coded`` (``CodeIndex.code`` of ``corpus``, whose ids are unique).
 
     Approximate: of the ``nprobe`` nearest cells the best by estimate, of which the first rerank * k, but no more than the ``share`` of all rows, are
-    ranked again by their whole vectors; ``exact`` marks these, the similarity of others is the estimate. There are k rows if so many can be ranked.
+    ranked again by their whole vectors; ``exact`` marks these, the similarity of others is the estimate, and ``compared`` counts them for the query. There are k rows if so many can be ranked.
 
     ``exact=True``: the result of ``search.top_k`` over the rows of the index's vector length. All codes are read twice: for the k-th largest lower bound of each query, and for
     the rows whose upper bound reaches it; those, and no others, are compared by their whole vectors.
@@ -190,7 +191,7 @@ def code_top_k(
     own = queries.where(F.size(query_vector) == dim)
     blocks = next((list(b) for d, b in _blocks(own, query_id, query_vector, within) if d == dim), [])
     if not blocks:
-        fields = [T.StructField("query_id", id_type), *(coded.schema[c] for c in columns), T.StructField("sim", T.DoubleType()), T.StructField("exact", T.BooleanType()), T.StructField("rank", T.IntegerType())]
+        fields = [T.StructField("query_id", id_type), *(coded.schema[c] for c in columns), T.StructField("sim", T.DoubleType()), T.StructField("exact", T.BooleanType()), T.StructField("compared", T.LongType()), T.StructField("rank", T.IntegerType())]
         return spark.createDataFrame([], T.StructType(fields))
     sizes = _sizes(coded, within)
     rows = sum(sizes.values())
@@ -212,12 +213,7 @@ def code_top_k(
     compared = _cosines(pairs, dim).withColumn("exact", F.lit(True))
     if not exact and top < k:
         compared = compared.unionByName(found.where((F.col("rank") > top) & (F.col("rank") <= k)).select("query_id", *columns, "sim").withColumn("exact", F.lit(False)))
-    return _ranked(compared, k, id_col)
-
-
-def share_read(found: DataFrame, queries: int, rows: int) -> float:
-    """Share of all pairs of a query and a row whose whole vectors were compared, by the pairs that were."""
-    return found.count() / max(1, queries * rows)
+    return _ranked(compared.withColumn("compared", F.count_if("exact").over(Window.partitionBy("query_id"))), k, id_col)
 
 
 class DenseCodes(DenseExact):

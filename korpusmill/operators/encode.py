@@ -37,6 +37,12 @@ class BatchEncoder:
         return ordered.withColumn(out_col, udf(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores: dealt anew where the input has fewer partitions than these (few files or row groups), else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _places(dim: int) -> Callable[[bytes], tuple[int, float]]:
     """Place and sign of a token, kept while there are few."""
     places: dict[bytes, tuple[int, float]] = {}
@@ -99,7 +105,7 @@ def lexical_weights(rows: DataFrame, id_col: str, text_col: str, out_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _weights(_counts(t.as_py()) for t in batch.column(1))], names=schema.names)
 
-    return rows.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(rows.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def _counts(text: str | None) -> dict[bytes, int]:
@@ -137,4 +143,4 @@ class HashingDual:
                 flat, ends = pa.array(_hashed(counts, place, dim).ravel()), pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dim)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat), _weights(iter(counts))], names=schema.names)
 
-        return rows.select(id_col, text_col).mapInArrow(run, schema)
+        return spread(rows.select(id_col, text_col)).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -177,10 +177,14 @@ def _blocks(queries: DataFrame, query_id: str, vector: str, within: str | None)
 
 
 def _cell_sizes(corpus: DataFrame, vector: str, dim: int, within: str | None = None) -> dict:
-    """Rows of each cell (and value of ``within``) that can be ranked: vectors of length ``dim`` whose elements are all finite numbers."""
+    """Rows of each cell (and value of ``within``) that can be ranked: vectors of length ``dim`` of finite numbers."""
+    return _sizes(corpus.where(_finite(vector) & (F.size(vector) == dim)), within)
+
+
+def _finite(vector: str) -> Column:
+    """Whether a vector is not null and all its elements are finite numbers."""
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    usable = F.col(vector).isNotNull() & (F.size(vector) == dim) & F.forall(vector, number)
-    return _sizes(corpus.where(usable), within)
+    return F.col(vector).isNotNull() & F.forall(vector, number)
 
 
 def _sizes(rows: DataFrame, within: str | None) -> dict:
@@ -288,11 +292,12 @@ class CellIndex:
 
     @classmethod
     def fit(cls, corpus: DataFrame, vector_col: str = "embedding", cells: int = 64, sample_rows: int = 50_000, seed: int = 42) -> CellIndex:
-        """``sample_rows`` bounds the rows, by a hash of the vector, that the centroids are fitted on."""
-        own = corpus.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
-        n = own.count()
-        if not n:
+        """``sample_rows`` bounds the rows, by a hash of the vector, that the centroids are fitted on; of several vector lengths that of most rows is the index's."""
+        own = corpus.where(_finite(vector_col) & (F.size(vector_col) > 0))
+        length = own.groupBy(F.size(vector_col).alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+        if length is None:
             return cls(np.zeros((1, 1)))
+        own, n = own.where(F.size(vector_col) == length.dim), length.n
         rate = min(1.0, sample_rows / n)
         sample = own.where(F.pmod(F.xxhash64(vector_col), F.lit(1 << 30)) < int(rate * (1 << 30))) if rate < 1 else own
         x = sample.select(array_to_vector(l2_normalize(vector_col)).alias("features"))
@@ -426,6 +431,36 @@ def fuse(rankings: list[DataFrame], id_col: str, k: int = 60, top_n: int = 20) -
     return ranked.where(F.col("rank") <= top_n).select("query_id", id_col, "score", "rank")
 
 
+def diversify(pool: DataFrame, k: int = 10, weight: float = 0.9, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): greedy maximal marginal relevance inside each query's pool (query_id, id, sim, vector).
+
+    Each place goes to the row of the largest ``weight`` * sim - (1 - weight) * (largest cosine with a row placed before, 0 for the first), rounded to six decimals, ties to the smaller
+    id. A pool is the first rows of a search, so a group is bounded by that; rows with a null vector, or of a length other than that of the pool's first, are not placed.
+    """
+    if not 0 <= weight <= 1:
+        raise ValueError("weight must be from 0 to 1")
+    schema = T.StructType([pool.schema["query_id"], pool.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(id_col, "ascending")]).combine_chunks()
+        x, sims = _unit(_matrix(group[vector_col].chunk(0), len(group[vector_col][0]))), group["sim"].to_numpy()
+        most, open_, picked, scores = np.zeros(len(x)), np.ones(len(x), bool), [], []
+        for _ in range(min(k, len(x))):
+            score = np.where(open_, np.rint((weight * sims - (1 - weight) * most) * 10**DIGITS), -np.inf)
+            best = int(score.argmax())  # of equal ones the first, which has the smaller id
+            picked.append(best)
+            scores.append(score[best] / 10**DIGITS)
+            open_[best] = False
+            near = x @ x[best]
+            most = near if len(picked) == 1 else np.maximum(most, near)
+        at = pa.array(picked, pa.int64())
+        return pa.table([group["query_id"].take(at), group[id_col].take(at), pa.array(scores, pa.float64()), pa.array(range(1, len(picked) + 1), pa.int32())], schema.names)
+
+    own = pool.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select("query_id", id_col, F.col("sim").cast("double").alias("sim"), vector_col)
+    length = F.first(F.size(vector_col)).over(Window.partitionBy("query_id").orderBy(F.round("sim", DIGITS).desc(), id_col))
+    return own.withColumn("_n", length).where(F.col("_n") == F.size(vector_col)).drop("_n").groupBy("query_id").applyInArrow(run, schema)
+
+
 def verbatim(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "item_id", passage_col: str = "text") -> DataFrame:
     """(passage id, id) of documents that contain a passage, in one pass over the documents.
 

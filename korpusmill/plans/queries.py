@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from korpusmill.functions import text as X
 from korpusmill.functions import vector as V
-from korpusmill.operators import chunk, corpus, encode, evaluate, mining, search
+from korpusmill.operators import chunk, codes, corpus, encode, evaluate, keywords, mining, search
 from korpusmill.plans import sql
 from korpusmill.storage import Scratch
 
@@ -122,6 +122,36 @@ def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("sim", 6).alias("score"), "rank")
 
 
+def code_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact result by product codes: whole vectors are read for rows whose bound reaches a query's k-th largest lower bound."""
+    vectors = _vectors(spark, sf_dir)
+    index = codes.CodeIndex.fit(vectors, cells=32)
+    coded = Scratch(spark, "coded").save(index.code(vectors, "vec_id"), "rows")
+    found = codes.code_top_k(coded, vectors, index, _queries(vectors), TOP, id_col="vec_id", exact=True)
+    return found.select("query_id", "vec_id", F.round("sim", 6).alias("score"), "rank")
+
+
+def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors among those of the query's label."""
+    vectors = _vectors(spark, sf_dir)
+    return search.top_k(vectors, _queries(vectors), TOP, id_col="vec_id", within="label").select("query_id", "vec_id", F.round("sim", 6).alias("score"), "rank")
+
+
+def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten of the fifty nearest vectors of each query by marginal relevance at 0.9."""
+    vectors = _vectors(spark, sf_dir)
+    pool = search.top_k(vectors, _queries(vectors), 50, id_col="vec_id")
+    found = search.diversify(pool.join(vectors.select("vec_id", "embedding"), "vec_id"), 10, 0.9, "vec_id")
+    return found.select("query_id", "vec_id", "score", "rank")
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the largest BM25 score with each passage; blocks of postings that cannot be among them are not read."""
+    index = keywords.KeywordIndex.build(_table(spark, sf_dir, "documents"), Scratch(spark, "bm25").path("index"), near="lang")
+    found = index.search(_passages(spark, sf_dir), TOP).ranking
+    return found.select("query_id", "doc_id", F.round("sim", 6).alias("score"), "rank")
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -212,8 +242,12 @@ def vector_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a.zip.part0", 100), ("a.zip.part100", 100), ("a.zip.part200", 50), ("b.zip.part0", 100), ("b.zip.part120", 50), ("c.zip", 9)]
-    return corpus.part_files(spark.createDataFrame(rows, "name string, size long"))
+    """Texts as files in parts of 1,000 characters, of which some are missing by a rule, and one whole file beside them."""
+    pieces = _table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(1000))).alias("at"))
+    kept = pieces.where((F.col("at") == 0) | ((F.col("doc_id") + F.col("at") / 1000) % 7 != 0))
+    name = F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit(".zip.part"), F.col("at").cast("string"))
+    rows = kept.select(name.alias("name"), F.least(F.lit(1000), F.col("n") - F.col("at")).cast("long").alias("size"))
+    return corpus.part_files(rows.unionByName(pieces.where("at = 0").select(F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("name"), F.col("n").cast("long").alias("size"))))
 
 
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +277,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dense_doc_rank": dense_doc_rank,
     "distinct_on_dedupe": distinct_on_dedupe,
     "cell_topk": cell_topk,
+    "code_topk": code_topk,
+    "filtered_topk": filtered_topk,
+    "mmr_rerank": mmr_rerank,
+    "bm25_topk": bm25_topk,
     "sparse_topk": sparse_topk,
     "hybrid_rrf": hybrid_rrf,
     "verbatim_truth": verbatim_truth,
@@ -277,6 +315,10 @@ ORACLE_SQL: dict[str, str] = {
     "dense_topk": sql.dense_topk(TOP),
     "dense_doc_rank": sql.dense_doc_rank(POOL, TOP),
     "distinct_on_dedupe": sql.distinct_on(POOL),
+    "code_topk": sql.dense_topk(TOP),
+    "filtered_topk": sql.filtered_topk(TOP),
+    "mmr_rerank": sql.mmr(50, 10),
+    "bm25_topk": sql.bm25(TOP),
     "sparse_topk": sql.SPARSE,
     "hybrid_rrf": sql.HYBRID,
     "verbatim_truth": sql.VERBATIM,

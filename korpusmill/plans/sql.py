@@ -106,6 +106,53 @@ def dense_topk(k: int) -> str:
     return f"WITH {_POOL.format(k=k)} SELECT query_id, vec_id, round(sim, 6) AS score, rank::INT AS rank FROM pool"
 
 
+def filtered_topk(k: int) -> str:
+    return f"""
+WITH sims AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.label = c.label)
+SELECT query_id, vec_id, round(sim, 6) AS score, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, vec_id) AS rank FROM sims) WHERE rank <= {k}
+"""
+
+
+def mmr(pool: int, k: int) -> str:
+    return f"""
+WITH RECURSIVE {_POOL.format(k=pool)},
+own AS (SELECT p.query_id, p.vec_id, p.sim, e.embedding::DOUBLE[] AS v FROM pool p JOIN embeddings e USING (vec_id)),
+near AS (SELECT a.query_id, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM own a JOIN own b USING (query_id)),
+chosen AS (
+  SELECT DISTINCT query_id, 0 AS rank, []::BIGINT[] AS taken, 0.0::DOUBLE AS score, 0::BIGINT AS vec_id FROM pool
+  UNION ALL
+  SELECT query_id, rank + 1, list_append(taken, best.i), -best.s, best.i FROM (
+    SELECT query_id, rank, taken, min({{'s': -score, 'i': c}}) AS best FROM (
+      SELECT p.query_id, p.rank, p.taken, o.vec_id AS c, round(0.9::DOUBLE * o.sim - 0.1::DOUBLE * coalesce(max(n.sim), 0), 6) AS score
+      FROM chosen p JOIN own o ON o.query_id = p.query_id AND NOT list_contains(p.taken, o.vec_id)
+      LEFT JOIN near n ON n.query_id = p.query_id AND n.a = o.vec_id AND list_contains(p.taken, n.b)
+      WHERE p.rank < {k}
+      GROUP BY p.query_id, p.rank, p.taken, o.vec_id, o.sim)
+    GROUP BY query_id, rank, taken))
+SELECT query_id, vec_id, score, rank::INT AS rank FROM chosen WHERE rank > 0
+"""
+
+
+def bm25(k: int) -> str:
+    return f"""
+WITH dt AS (SELECT doc_id, unnest({words("text")}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM dt GROUP BY doc_id, term),
+len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+sums AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS docs, (SELECT sum(n) FROM len) / (SELECT count(*) FROM documents) AS mean),
+idf AS (SELECT term, ln(1 + (any_value(docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, sums GROUP BY term),
+qt AS (SELECT item_id AS query_id, unnest({words("text")}) AS term FROM benchmark),
+qf AS (SELECT query_id, term, count(*)::DOUBLE AS qf FROM qt GROUP BY query_id, term),
+scored AS (
+  SELECT query_id, doc_id, sum(qf * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))) AS sim
+  FROM qf JOIN tf USING (term) JOIN idf USING (term) JOIN len USING (doc_id), sums GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(sim, 6) AS score, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}
+"""
+
+
 _DOCS = """
 best AS (SELECT query_id, doc, max(sim) AS sim FROM {source} GROUP BY query_id, doc),
 docs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, doc) AS rank FROM best)
@@ -222,7 +269,10 @@ SELECT 'right' AS side, count(*) AS n_missing FROM (SELECT DISTINCT doc_id FROM
 UNION ALL SELECT 'left', count(*) FROM (SELECT DISTINCT vec_id FROM embeddings) e ANTI JOIN documents d ON d.doc_id = e.vec_id
 """
 PARTS = """
-SELECT * FROM (VALUES ('a.zip', 3::BIGINT, 250::BIGINT, true), ('b.zip', 2, 150, false)) t(target, parts, bytes, contiguous)
+WITH pieces AS (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 1000)) AS lo FROM documents WHERE length(text) > 0),
+kept AS (SELECT doc_id, lo, least(1000, n - lo)::BIGINT AS size FROM pieces WHERE lo = 0 OR (doc_id + lo // 1000) % 7 <> 0),
+checked AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kept)
+SELECT 't' || doc_id || '.zip' AS target, count(*) AS parts, sum(size)::BIGINT AS bytes, bool_and(lo = before) AS contiguous FROM checked GROUP BY doc_id
 """
 SCALARS = f"""
 SELECT vec_id, '/m/' || label || '/' || vec_id || '/' AS path, 'm_' || label || '_' || vec_id AS slug, 'f' || vec_id AS stem,

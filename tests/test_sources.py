@@ -205,6 +205,24 @@ def test_command_line(spark, folders, tmp_path):
     for mode in ("exact", "cells"):
         got = cli.main(["evaluate", "--store", str(tmp_path / "s"), "--queries", str(tmp_path / "q.json"), "--dim", "8", "--mode", mode, "--cells", "2", "--probes", "2"])
         assert got[0]["queries"] == 1 and got[0]["recall@1"] == 1.0
+    common = ["--store", str(tmp_path / "s"), "--queries", str(tmp_path / "q.json"), "--dim", "8", "--index", str(tmp_path / "i"), "--probes", "2", "--mode"]
+    cli.main(["load", "--corpus", str(tmp_path / "out" / "corpus"), "--store", str(tmp_path / "s"), "--dim", "8", "--index", str(tmp_path / "i"), "--cells", "2", "--encoder", "korpusmill.operators.encode:HashingEncoder"])
+    fit = search.CellIndex.fit
+    search.CellIndex.fit = None  # the saved index is used
+    try:
+        for mode in ("cells", "codes"):
+            got = cli.main(["evaluate", *common, mode, "--latency", "1"])
+            assert got[0]["recall@1"] == 1.0 and got[0]["latency_p99_ms"] >= got[0]["latency_p50_ms"] > 0
+        mined = cli.main(["mine", *common, "codes", "--out", str(tmp_path / "mined"), "--skip-top", "0"])
+    finally:
+        search.CellIndex.fit = fit
+    assert {r["reason"]: r["n"] for r in mined} == {"pairs": 1, "triples": 1, "no_chunks": 0, "no_negative": 0}
+    triple = spark.read.json(str(tmp_path / "mined" / "triples")).first()
+    assert triple["query"] == "first" and triple.positive_chunk != triple.hard_negative_chunk
+    mined = cli.main(["mine", *common, "exact", "--out", str(tmp_path / "mined2"), "--skip-top", "99"])
+    assert {r["reason"]: r["n"] for r in mined} == {"pairs": 1, "triples": 0, "no_chunks": 0, "no_negative": 1}
+    with pytest.raises(ValueError, match="package.module:name"):
+        cli.main(["evaluate", *common, "exact", "--encoder", "nowhere"])
 
 
 def test_broken_query_set_raises(spark, tmp_path):
