@@ -27,6 +27,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def save_parts(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Write a table, by a few values of some columns if these are named: their folders are written at once, without a sort."""
+    spark, files = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    writer, before = df.write.mode("overwrite").option("compression", "zstd"), spark.conf.get(files, "0")
+    spark.conf.set(files, "16" if by else before)
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(files, before)
+
+
 class Scratch:
     """Tables of one run of an operator, below a folder of their own.
 
@@ -45,13 +56,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         path = self.path(name)
-        writer, files = df.write.mode("overwrite").option("compression", "zstd"), "spark.sql.maxConcurrentOutputFileWriters"
-        before = self.spark.conf.get(files, "0")
-        self.spark.conf.set(files, "16" if by else before)  # a few folders are written at once, without a sort
-        try:
-            (writer.partitionBy(*by) if by else writer).parquet(path)
-        finally:
-            self.spark.conf.set(files, before)
+        save_parts(df, path, by)
         out = self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
         out.saved_path = path  # type: ignore[attr-defined]
         return out
