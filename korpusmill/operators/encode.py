@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CACHE_TOKENS = 500_000
+#: Bytes a core of texts up to which they are dealt anew before they are encoded.
+SMALL_BYTES = 8 << 20
 
 
 class Encoder(Protocol):
@@ -37,10 +39,11 @@ class BatchEncoder:
         return ordered.withColumn(out_col, udf(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores: dealt anew where the input has fewer partitions than these (few files or row groups), else as they are."""
+def spread(rows: DataFrame, small: int = 0) -> DataFrame:
+    """``rows`` over all cores: dealt anew where they have fewer partitions than cores, or are of at most ``small`` bytes a core by Spark's estimate, which may lie in one row group; else as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if small else 0
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores or small and size <= small * cores else rows
 
 
 def _places(dim: int) -> Callable[[bytes], tuple[int, float]]:
@@ -105,7 +108,7 @@ def lexical_weights(rows: DataFrame, id_col: str, text_col: str, out_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _weights(_counts(t.as_py()) for t in batch.column(1))], names=schema.names)
 
-    return spread(rows.select(id_col, text_col)).mapInArrow(run, schema)
+    return spread(rows.select(id_col, text_col), SMALL_BYTES).mapInArrow(run, schema)
 
 
 def _counts(text: str | None) -> dict[bytes, int]:
@@ -143,4 +146,4 @@ class HashingDual:
                 flat, ends = pa.array(_hashed(counts, place, dim).ravel()), pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dim)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat), _weights(iter(counts))], names=schema.names)
 
-        return spread(rows.select(id_col, text_col)).mapInArrow(run, schema)
+        return spread(rows.select(id_col, text_col), SMALL_BYTES).mapInArrow(run, schema)

@@ -217,6 +217,9 @@ def test_diversity_equals_plain_python(spark):
 def test_spread_deals_few_partitions_only(spark):
     few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, 20)
     assert encode.spread(few).rdd.getNumPartitions() >= 8 and encode.spread(many) is many
+    docs = spark.read.option("maxPartitionBytes", 1000).parquet(f"{LARGE}/documents.parquet").select("doc_id", "text")
+    parts = encode.spread(docs, encode.SMALL_BYTES).groupBy(F.spark_partition_id()).count().count()
+    assert parts == spark.sparkContext.defaultParallelism and encode.spread(docs, 1000).groupBy(F.spark_partition_id()).count().count() >= 1
 
 
 def test_scratch_and_category_pruning(spark, vectors, queries):
