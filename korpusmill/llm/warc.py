@@ -14,11 +14,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from korpusmill.llm.files import Committed, at, listed, make_folder
+from korpusmill.llm.skew import join_unique
+from korpusmill.storage import Scratch
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,17 +32,20 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record as a gzip member; with ``refers_to`` a revisit, which keeps the HTTP headers and leaves the payload out."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, id_: str, target_id: str | None = None) -> bytes:
+    """One record as a gzip member; with ``refers_to`` a revisit, which keeps the HTTP headers and leaves the payload out.
+
+    ``id_`` is the record's id, ``target_id`` that of the record it revisits, if that is known.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": record_id(page_id),
+        "WARC-Record-ID": id_,
         "WARC-Date": DATE,
         "WARC-Target-URI": "".join((url or "about:blank").split()),
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
@@ -51,17 +56,21 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         fields["X-Page-ID"] = str(page_id)
     if refers_to is not None:
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-ID": str(refers_to)}
+        fields |= {"WARC-Profile": PROFILE, "X-Refers-To-Page-ID": str(refers_to)} | ({"WARC-Refers-To": target_id} if target_id else {})
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
     return deflate.compress(head.encode()) + deflate.compress(block + b"\r\n\r\n") + deflate.flush()
 
 
-def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload of at least ``min_bytes`` a page of larger id also has."""
-    narrow = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    last = narrow.where(F.col("n") >= min_bytes).groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count("page_id").alias("c")).where("c > 1").drop("c")
-    return narrow.join(last, "d").where(F.col("page_id") < F.col("refers_to")).select("page_id", "d", "refers_to")
+def repeated(pages: DataFrame) -> DataFrame:
+    """(d, refers_to, named, rows) of payloads (by their hash ``d``) that several rows hold: the largest page_id, whether one row alone has it, their number."""
+    own = pages.select("page_id", _payload_hash().alias("d")).groupBy("d", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    last = own.groupBy("d").agg(F.max(F.struct("page_id", "n")).alias("last"), F.sum("n").alias("rows")).where("rows > 1")
+    return last.select("d", F.col("last.page_id").alias("refers_to"), (F.col("last.n") == 1).alias("named"), "rows")
+
+
+def _payload_hash() -> Column:
+    return F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -70,10 +79,19 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     Null html is an empty payload, null url ``about:blank``. Of equal payloads the largest page_id is the response. A null
     page_id is always a response and read back as null; repeated rows of one page_id are records each. An empty
     table writes no record. Other columns are not read.
+
+    Record ids are unique: one made of page_id and payload where one row alone has these and others may refer to it,
+    else one made of the record's place. A revisit of a page_id that several rows share names it by page_id alone.
+    Payloads of very many rows (empty pages) meet their response by broadcast, see ``join_unique``.
     """
     make_folder(folder)
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("d")).join(revisits(pages, min_bytes).dropDuplicates(["page_id", "d"]), ["page_id", "d"], "left")
+    last = Scratch(pages.sparkSession, "warc").save(repeated(pages), "repeated")
+    rows = join_unique(pages.select("page_id", "url", html.alias("html"), _payload_hash().alias("d")), last, ["d"], "rows", "left", 80)
+    is_last = F.col("page_id") == F.col("refers_to")
+    alone = F.col("page_id").isNotNull() & (F.col("named").isNull() | (is_last & F.col("named")))
+    revisit = (F.octet_length("html") >= min_bytes) & (F.col("page_id") < F.col("refers_to"))
+    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"), alone.alias("alone"), "named")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -87,14 +105,18 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
             batch = first
             while batch is not None:
                 for i in range(batch.num_rows):
-                    page_id, url, text, refers_to = (batch.column(k)[i].as_py() for k in range(4))
-                    member = record(page_id, url, text.encode(), refers_to)
+                    page_id, url, text, refers_to, alone, named = (batch.column(k)[i].as_py() for k in range(6))
+                    payload = text.encode()
+                    body = digest(payload)
+                    own = record_id(f"page:{page_id}:{body}" if alone else f"{uri}:{n}")
+                    target = record_id(f"page:{refers_to}:{body}") if refers_to is not None and named else None
+                    member = record(page_id, url, payload, refers_to, own, target)
                     out.write(member)
                     n, size = n + 1, size + len(member)
                 batch = next(batches, None)
         yield pa.RecordBatch.from_pydict({"path": [uri], "records": [n], "bytes": [size]})
 
-    return rows.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, records long, bytes long")
+    return rows.mapInArrow(write, "path string, records long, bytes long")
 
 
 class Member:
