@@ -97,28 +97,27 @@ def _counted(sample: DataFrame) -> dict[str, np.ndarray]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> TextModel:
-    """From the first ``SAMPLE_CHARS`` characters of up to ``sample_docs`` rows, first by a hash of the id, of every label; null labels and texts without a letter are left out.
+    """From the first ``SAMPLE_CHARS`` characters of up to ``sample_docs`` rows, first by a hash of id and text, of every label; null labels and texts without a letter are left out.
 
     Labels are counted without their texts, which are read once; only labels of which the sample caught no text with a
-    letter are looked for again.
+    letter are looked for again. Rows of one label that are alike in id and text are one, so no id, null included, brings
+    more rows into the sample than it has texts.
     """
-    spark, hash_ = docs.sparkSession, F.xxhash64(id_col)
-    known = docs.select(F.col(lang_col).alias("lang"), hash_.alias("hash"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    known = known.where("lang IS NOT NULL").withColumn("part", F.pmod("hash", F.lit(1 << 30)))
+    spark = docs.sparkSession
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("lang IS NOT NULL")
     share = F.least(F.lit(1.0), 4.0 * sample_docs / F.count(F.lit(1))) * (1 << 30)
-    bounds = [tuple(r) for r in known.groupBy("lang").agg(share, F.min("part")).collect()]  # a row per label
+    bounds = [tuple(r) for r in known.groupBy("lang").agg(share).collect()]  # a row per label
     if not bounds:
         return TextModel([], [])
-    small = spark.createDataFrame(bounds, "lang string, bound double, least long")
-    lettered = known.where(F.col("text").rlike(r"\p{L}"))
-    # the least hash is always in
-    rows = lettered.join(F.broadcast(small), "lang").where((F.col("part") < F.col("bound")) | (F.col("part") == F.col("least")))
-    rows = rows.select("lang", "hash", "key", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key", F.xxhash64("text")))
+    small = spark.createDataFrame(bounds, "lang string, bound double")
+    lettered = known.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("key", "text"))
+    rows = lettered.join(F.broadcast(small), "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.col("bound"))
+    rows = rows.select("lang", "hash", F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["lang", "hash"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     counts = _counted(rows.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "text"))
     if missing := [(x,) for x, *_ in bounds if x not in counts]:
         again = lettered.join(F.broadcast(spark.createDataFrame(missing, "lang string")), "lang")
-        counts |= _counted(again.groupBy("lang").agg(F.min_by(F.substring("text", 1, SAMPLE_CHARS), F.struct("hash", "key")).alias("text")))
+        counts |= _counted(again.groupBy("lang").agg(F.min_by(F.substring("text", 1, SAMPLE_CHARS), F.col("hash")).alias("text")))
     languages = sorted(counts)
     return TextModel(languages, [(b := np.flatnonzero(counts[x]), counts[x][b]) for x in languages])
 
