@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from conftest import SF
 from korpusmill.llm import queries as Q
-from korpusmill.llm import suffix_dedup
-from test_training_operators import TOKENIZER, _near
+from korpusmill.llm import language_id, skew, suffix_dedup
+from pyspark.sql import functions as F
+from test_training_operators import TOKENIZER, _fused, _near
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,6 +37,35 @@ def _pieces(rows: dict[int, str]) -> set[tuple]:
     return out
 
 
+def _in_a_language(spark, docs) -> list[int]:
+    """Ids that the fusion, in plain Python, accepts."""
+    model = language_id.fit(docs)
+    rows = docs.select("doc_id", "text", "source", F.lit(None).cast("string").alias("url"), F.lit(False).alias("markup"))
+    evidence = language_id.scored(rows, model, ["doc_id"]).collect()
+    fused = _fused([(r.text_score, r.letters, r.declared, r.suffix, r.host, r.domain) for r in evidence], model.languages)
+    return [r.doc_id for r, (*_, accepted) in zip(evidence, fused, strict=True) if accepted]
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    """Rows that share an id, null ids and null sources: each stays or goes by its own text; repeated rows are alike."""
+    good = "the house and the garden with the long wall of stone " * 5
+    rows = [(i, good + str(i), "en", "s", 1) for i in range(30)]
+    odd = [(1, "12 34", None, "s", 2), (1, "12 34", None, "s", 2), (None, "5 6", "en", None, 3), (None, good, "en", None, 4), (None, good, "en", None, 4), (2, None, None, "12 34", 5), (2, good, None, None, 6)]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows + odd, SCHEMA), SF).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(str(r) for r in rows + odd if r[1] and r[1].startswith("the"))
+    near = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows[:1] + [(5, good + "0", "en", "s", 1), (5, "else", "en", "t", 7), (None, good, "en", "s", 1)], SCHEMA), SF).collect()
+    assert sorted(map(str, map(tuple, near))) == sorted(map(str, [rows[0], (None, good, "en", "s", 1)]))
+
+
+def test_no_text_is_shuffled_to_drop_rows(spark, monkeypatch):
+    """With host tables joined by shuffle too, the two stages that drop documents read texts once more and do not exchange them."""
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     # prose of no language and a text without letters are what the first stage is to reject
@@ -60,6 +90,7 @@ def test_stages(spark, tmp_path):
             letters = {i: sum(map(str.isalpha, t)) for i, t in before.items()}
             assert {i for i, n in letters.items() if not n} <= rejected
             assert not {i for i in rejected if letters[i] >= 60}
+            assert after == {i: before[i] for i in _in_a_language(spark, docs)}
         if name == "line_dedup":
             assert after == _lines(before)
         if name == "minhash_near_dedup":

@@ -574,6 +574,38 @@ def test_warc_odd_rows(spark, tmp_path):
     assert {r.payload_digest for r in warc.read_warc(spark, f"file://{tmp_path}/odd").collect()} == {warc.digest((t or "").encode()) for *_, t in rows}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_warc_record_ids(spark, tmp_path, monkeypatch, small):
+    """Ids are unique whatever repeats, revisits name the record they mean, and one payload of most rows is the same in both joins."""
+    if not small:
+        monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+        monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rows = [(k if k % 5 else None, "u", "") for k in range(300)] + [(7, "u", "seven")] * 3 + [(6, "v", "seven"), (8, "w", "pair"), (9, "w", "pair"), (9, "w", "other"), (None, None, None)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), f"file://{tmp_path}/w").collect()
+    got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert len(got) == len(rows)
+    last = {t: max(i for i, _, x in rows if i is not None and (x or "") == t) for t in ("", "seven", "pair", "other")}
+    want = sorted(str((i, warc.digest((t or "").encode()), last[t or ""] if i is not None and i < last[t or ""] else None)) for i, _, t in rows)
+    assert sorted(str((r.page_id, r.payload_digest, r.refers_to)) for r in got) == want
+    heads = [zlib.decompress(m, 31).split(b"\r\n\r\n")[0].decode() for path in (tmp_path / "w").glob("*.warc.gz") for m in _members(path.read_bytes())]
+    fields = [dict(line.split(": ", 1) for line in h.split("\r\n")[1:]) for h in heads]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(ids) == len(rows)
+    for f in fields:
+        if (target := f.get("WARC-Refers-To")) is not None:
+            assert ids[target]["WARC-Type"] == "response" and ids[target]["X-Page-ID"] == f["X-Refers-To-Page-ID"] and ids[target]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+        else:  # a response, or a revisit of a page_id that several rows have
+            assert f["WARC-Type"] == "response" or f["X-Refers-To-Page-ID"] == "7"
+
+
+def _members(data: bytes):
+    while data:
+        inflate = zlib.decompressobj(31)
+        inflate.decompress(data)
+        yield data[: len(data) - len(inflate.unused_data)]
+        data = inflate.unused_data
+
+
 @pytest.mark.parametrize(("old", "new", "message"), [
     (b"Content-Length: 9\r\n\r\n", b"\r\n", "Content-Length"), (b"Content-Length: 9\r\n\r\n", b"Content-Length: 8\r\n\r\n", "followed by"), (b"Content-Length: 9\r\n\r\n", b"Content-Length: 90\r\n\r\n", "block has"),
     (b"hello", b"hallo", "digest differs"), (b"WARC-Type: response\r\n", b"", "WARC-Type"), (b"WARC/1.1", b"WORC/1.1", "no WARC header"), (b"sha1:", b"md5:", None),
@@ -854,6 +886,16 @@ def test_a_label_of_one_id_is_sampled(spark):
     assert all(language_id.fit(docs, sample_docs=n).languages == ["a", "b", "und"] for n in (1, 2))
 
 
+def test_a_shared_id_does_not_fill_the_sample(spark, monkeypatch):
+    """Rows of null ids, a third of them copies, come into the sample like any others: about as many as asked for, not all."""
+    texts = [(None, f"one two three w{i} w{i * 7}", "a") for i in range(4000)] + [(None, "copy of one text", "a")] * 2000
+    seen = []
+    monkeypatch.setattr(language_id, "_counted", lambda sample: seen.append(sample) or {})
+    language_id.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"), sample_docs=10)
+    plan = seen[0].collect()
+    assert len(plan) == 10 and sum(r.text == "copy of one text" for r in plan) <= 1
+
+
 def test_host_prior_decides_where_text_says_little(spark, docs):
     model = language_id.fit(docs)
     text = {r.lang: r.text for r in docs.where("lang IS NOT NULL AND n_chars BETWEEN 1500 AND 8000").collect()}
