@@ -24,32 +24,44 @@ def _with_text(out: DataFrame, text) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labels name; those in none of them go."""
-    null = F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", F.col("lang").alias("label"), "source", F.col("n_chars").alias("size"), null.alias("url"), F.lit(False).alias("markup"))
-    found = language_id.identify(rows, language_id.fit(docs), ["doc_id", "text", "label", "source", "size"]).where("accepted")
-    return found.select("doc_id", "text", F.col("label").alias("lang"), "source", F.col("size").alias("n_chars"))
+    """Documents in one of the languages that the labels name; those in none of them go, null, empty and letterless texts too.
+
+    Decided on id, source and a hash of the text alone, so that texts are in no join with hosts; what is rejected is taken out of the
+    documents by an anti-join, which broadcasts it while it is small. Rows alike in these three are decided alike, rows of one
+    id (null included) and other texts or sources each by itself. Of an empty table nothing is left.
+    """
+    keys = ["doc_id", "source", "content"]
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "source", content.alias("content"), "text", F.lit(None).cast("string").alias("url"), F.lit(False).alias("markup"))
+    found = language_id.identify(rows, language_id.fit(docs), keys).where("NOT accepted")
+    gone = Scratch(spark, "language-stage").save(found.select(*[F.col(c).alias(f"gone_{c}") for c in keys]), "rejected")
+    same = [docs["doc_id"].eqNullSafe(gone["gone_doc_id"]), docs["source"].eqNullSafe(gone["gone_source"]), content == gone["gone_content"]]
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that one of smaller id holds."""
+    """Every document without the lines of ten characters or more that one of smaller id holds; null texts are empty. Of an empty table nothing is left."""
     return _with_text(line_dedup.line_dedup(docs, carry=CARRY), F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose shingles of five words are alike to 0.8 or more, that of the smallest id."""
-    kept = minhash.near_duplicates(docs, words=5).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group whose shingles of five words are alike to 0.8 or more, that of the smallest id.
+
+    The ids that go are taken out by an anti-join, which broadcasts them while they are few. Texts without words and null ids
+    stay; rows that share an id stay or go together. Of an empty table nothing is left.
+    """
+    found = minhash.near_duplicates(docs, words=5).where("NOT kept").select("doc_id").distinct()
+    return docs.join(Scratch(spark, "near-stage").save(found, "dropped"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the characters that a string of 100 bytes covers which also starts earlier."""
+    """Every document without the characters that a string of 100 bytes covers which also starts earlier (smaller id, or before in the same text); null texts are empty."""
     out = suffix_dedup.suffix_dedup(docs, length=100, whole_characters=True, carry=CARRY)
     return _with_text(out, F.decode("kept", "UTF-8"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in sequences of at most 4096 tokens."""
+    """Token pieces of all documents and their places in sequences of at most 4096 tokens; null and empty texts are a piece of the end token alone."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), packer=packer())
 
 
