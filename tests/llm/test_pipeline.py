@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from conftest import SF
 from korpusmill.llm import queries as Q
-from korpusmill.llm import language_id, skew, suffix_dedup
+from korpusmill.llm import batches, language_id, skew, suffix_dedup
 from pyspark.sql import functions as F
 from test_training_operators import TOKENIZER, _fused, _near
 
@@ -66,6 +66,22 @@ def test_no_text_is_shuffled_to_drop_rows(spark, monkeypatch):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
 
 
+def test_small_batches_change_no_result(spark, monkeypatch):
+    """Batches of seven rows, which cut families and groups, give what batches of all rows give; the session's setting comes back, after errors too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    before = spark.conf.get(batches.ROWS)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates):
+        plain = stage(spark, docs, SF).collect()
+        with monkeypatch.context() as m:
+            m.setattr(corpus_pipeline, "text_batches", lambda s: batches.text_batches(s, 7))
+            assert sorted(map(str, stage(spark, docs, SF).collect())) == sorted(map(str, plain))
+        assert spark.conf.get(batches.ROWS) == before
+    with pytest.raises(RuntimeError), batches.text_batches(spark, 7):
+        assert spark.conf.get(batches.ROWS) == "7"
+        raise RuntimeError
+    assert spark.conf.get(batches.ROWS) == before
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     # prose of no language and a text without letters are what the first stage is to reject
