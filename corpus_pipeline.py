@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusmill.llm import language_id, line_dedup, minhash, packing, suffix_dedup
+from korpusmill.llm.batches import text_batches
 from korpusmill.llm.queries import packer, tokenizer_file
 from korpusmill.storage import Scratch
 
@@ -33,8 +34,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keys = ["doc_id", "source", "content"]
     content = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", "source", content.alias("content"), "text", F.lit(None).cast("string").alias("url"), F.lit(False).alias("markup"))
-    found = language_id.identify(rows, language_id.fit(docs), keys).where("NOT accepted")
-    gone = Scratch(spark, "language-stage").save(found.select(*[F.col(c).alias(f"gone_{c}") for c in keys]), "rejected")
+    with text_batches(spark):
+        found = language_id.identify(rows, language_id.fit(docs), keys).where("NOT accepted")
+        gone = Scratch(spark, "language-stage").save(found.select(*[F.col(c).alias(f"gone_{c}") for c in keys]), "rejected")
     same = [docs["doc_id"].eqNullSafe(gone["gone_doc_id"]), docs["source"].eqNullSafe(gone["gone_source"]), content == gone["gone_content"]]
     return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
@@ -50,13 +52,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The ids that go are taken out by an anti-join, which broadcasts them while they are few. Texts without words and null ids
     stay; rows that share an id stay or go together. Of an empty table nothing is left.
     """
-    found = minhash.near_duplicates(docs, words=5).where("NOT kept").select("doc_id").distinct()
-    return docs.join(Scratch(spark, "near-stage").save(found, "dropped"), "doc_id", "left_anti").select(*COLUMNS)
+    with text_batches(spark):
+        found = minhash.near_duplicates(docs, words=5).where("NOT kept").select("doc_id").distinct()
+        gone = Scratch(spark, "near-stage").save(found, "dropped")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the characters that a string of 100 bytes covers which also starts earlier (smaller id, or before in the same text); null texts are empty."""
-    out = suffix_dedup.suffix_dedup(docs, length=100, whole_characters=True, carry=CARRY)
+    with text_batches(spark):
+        out = suffix_dedup.suffix_dedup(docs, length=100, whole_characters=True, carry=CARRY)
     return _with_text(out, F.decode("kept", "UTF-8"))
 
 
