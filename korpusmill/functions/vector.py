@@ -49,3 +49,14 @@ def sparse_dot(a: Column | str, b: Column | str) -> Column:
     """Inner product of two map<string, float> columns over their shared keys."""
     shared = F.array_intersect(F.map_keys(_col(a)), F.map_keys(_col(b)))
     return F.aggregate(shared, F.lit(0.0), lambda s, k: s + _col(a)[k].cast("double") * _col(b)[k].cast("double"))
+
+
+def token_id(token: Column | str) -> Column:
+    """The whole number of a token: a hash of 64 bits, so that coding needs no look-up; a dictionary of the tokens tells if two share one."""
+    return F.xxhash64(_col(token))
+
+
+def coded(weights: Column | str) -> Column:
+    """map<string, float> with tokens as their numbers; raises where two tokens of a map share one."""
+    w = _col(weights)
+    return F.map_from_arrays(F.transform(F.map_keys(w), token_id), F.map_values(w))

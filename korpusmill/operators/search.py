@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from korpusmill.functions.vector import LEAST_NORM, l2_normalize
+from korpusmill.functions.vector import LEAST_NORM, coded, l2_normalize
 from korpusmill.storage import Scratch
 
 #: Bytes of query vectors, query terms and characters of passages that are broadcast at once, similarities that are computed at once.
@@ -409,11 +409,16 @@ def _sparse_candidates(docs: DataFrame, shared: _Shared, id_type: T.DataType, k:
 def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, id_col: str = "doc_id", query_id: str = "query_id", weights: str = "weights") -> DataFrame:
     """(query_id, id, sim, rank) by the inner product of map<string, float> columns; documents that share no token do not rank.
 
+    Documents may have the tokens' numbers instead of tokens, as the store keeps them; the queries' are then coded alike.
+
     The documents are streamed once past all blocks of query terms, and a task ships at most k rows per
     query and part of it. Null ids and maps and null weights take no part; without queries the result is empty.
     """
     id_type = T.StringType() if isinstance(queries.schema[query_id].dataType, T.StringType) else T.LongType()
     rows = docs.where(F.col(id_col).isNotNull() & F.col(weights).isNotNull())
+    by_number, named = (isinstance(df.schema[weights].dataType.keyType, kind) for df, kind in ((docs, T.LongType), (queries, T.StringType)))
+    if by_number and named:
+        queries = queries.withColumn(weights, coded(weights))
     blocks = _sparse_blocks(queries, query_id, weights)
     if (first := next(blocks, None)) is None:
         fields = [T.StructField("query_id", id_type), docs.schema[id_col], T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import math
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -17,6 +17,8 @@ from korpusmill.sources.files import at, found
 from korpusmill.storage import Scratch
 
 BATCH_BYTES = 4 << 20
+#: Row pointers read at once, and ranges of a sparse file whose members are deflated.
+POINTERS, DEFLATED_RANGES = 1 << 16, 8
 
 
 class NpySource(DataSource):
@@ -72,7 +74,11 @@ class NpyReader(DataSourceReader):
 
 
 class CsrSource(DataSource):
-    """``spark.read.format("csr_npz").load(path)``: (file, row, weights map<string, float>) of compressed-row .npz matrices; a file is one task's work."""
+    """``spark.read.format("csr_npz").load(path)``: (file, row, weights map<string, float>) of compressed-row .npz matrices; a weight's key is its column's number.
+
+    Option ``range_bytes`` (32 MiB): bytes of columns and values that a task reads. A matrix is cut by entries, and a row goes where its first
+    entry is; members that are deflated can only be read from their start, so such a file is cut in ``DEFLATED_RANGES`` at most.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -82,33 +88,90 @@ class CsrSource(DataSource):
         return "file string, row long, weights map<string,float>"
 
     def reader(self, schema) -> CsrReader:
-        return CsrReader(self.options["path"])
+        return CsrReader(self.options["path"], int(self.options.get("range_bytes", 32 << 20)))
+
+
+class _Member:
+    """A vector of an .npz archive, read in parts: by offset where it is stored, as a stream where it is deflated."""
+
+    def __init__(self, file: pa.NativeFile, archive: zipfile.ZipFile, name: str):
+        info = archive.getinfo(f"{name}.npy")
+        self.name, self.stored, self.file, self.stream = info.filename, info.compress_type == zipfile.ZIP_STORED, file, archive.open(info)
+        read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(self.stream) == (1, 0) else np.lib.format.read_array_header_2_0
+        self.shape, _, self.kind = read(self.stream)
+        self.start = self.stream.tell()
+        if self.stored:  # behind the member's own header, whose name and extra field tell their lengths
+            self.start += info.header_offset + 30 + sum(struct.unpack("<HH", file.read_at(4, info.header_offset + 26)))
+
+    def take(self, first: int, n: int) -> np.ndarray:
+        size, place = int(n) * self.kind.itemsize, self.start + int(first) * self.kind.itemsize
+        if self.stored:
+            data = self.file.read_at(size, place)
+        else:
+            self.stream.seek(place)
+            data = self.stream.read(size)
+        if len(data) < size:
+            raise ValueError(f"{self.name}: shorter than its header says")
+        return np.frombuffer(data, self.kind)
 
 
 class CsrReader(DataSourceReader):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, range_bytes: int):
+        self.uri, self.range_bytes = uri, range_bytes
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(path) for path, _ in found(self.uri, ".npz")] or [InputPartition(None)]
+        """Ranges of entries (file, first, end), from the members' headers alone."""
+        store, _ = at(self.uri)
+        out = []
+        for path, _size in found(self.uri, ".npz"):
+            with store.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
+                if np.lib.format.read_array(io.BytesIO(archive.read("format.npy")), allow_pickle=False).item() not in (b"csr", "csr"):
+                    raise ValueError(f"{path}: not a matrix in compressed rows")
+                members = [_Member(f, archive, name) for name in ("indptr", "indices", "data")]
+            n, width = members[2].shape[0], members[1].kind.itemsize + members[2].kind.itemsize
+            ranges = max(1, -(-n * width // self.range_bytes))
+            step = max(1, -(-n // (ranges if all(m.stored for m in members) else min(ranges, DEFLATED_RANGES))))
+            # rows without entries at the end begin at entry n
+            out += [InputPartition((path, lo, lo + step if lo + step < n else n + 1)) for lo in range(0, max(n, 1), step)]
+        return out or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
-        store, _ = at(self.uri)
-        with store.open_input_file(partition.value) as f, zipfile.ZipFile(f) as archive:
-            part = lambda name: np.lib.format.read_array(io.BytesIO(archive.read(f"{name}.npy")), allow_pickle=False)
-            if part("format").item() != b"csr":
-                raise ValueError(f"{partition.value}: not a matrix in compressed rows")
-            ends, columns, data = part("indptr").astype(np.int64), part("indices"), part("data").astype(np.float32)
-        name, rows = partition.value.rsplit("/", 1)[-1], len(ends) - 1
-        step = max(1, math.ceil(rows * BATCH_BYTES / max(1, 16 * len(data))))
-        for lo in range(0, rows, step):
-            hi = min(lo + step, rows)
-            own = ends[lo : hi + 1]
-            keys = pa.array([str(c) for c in columns[own[0] : own[-1]].tolist()], pa.string())
-            maps = pa.MapArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), keys, pa.array(data[own[0] : own[-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (hi - lo)), pa.array(np.arange(lo, hi)), maps], names=["file", "row", "weights"])
+        path, lo, hi = partition.value
+        name, (store, _) = path.rsplit("/", 1)[-1], at(self.uri)
+        with store.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
+            ends, columns, data = (_Member(f, archive, m) for m in ("indptr", "indices", "data"))
+            for first, own in _pointers(ends, lo, hi):
+                i = 0
+                while i < len(own) - 1:
+                    j = max(i + 1, int(np.searchsorted(own, own[i] + BATCH_BYTES // 16, side="right")) - 1)
+                    n = own[j] - own[i]
+                    keys = pa.array(columns.take(own[i], n)).cast(pa.string())
+                    maps = pa.MapArray.from_arrays(pa.array((own[i : j + 1] - own[i]).astype(np.int32)), keys, pa.array(data.take(own[i], n).astype(np.float32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i)), pa.array(np.arange(first + i, first + j)), maps], names=["file", "row", "weights"])
+                    i = j
+
+
+def _pointers(ends: _Member, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, where it and those after it begin, and the last ends) of the rows that begin at entries lo to hi, in blocks."""
+    rows = ends.shape[0] - 1
+    row, beyond = 0, rows
+    while ends.stored and beyond - row > POINTERS:
+        middle = (row + beyond) // 2
+        row, beyond = (row, middle) if ends.take(middle, 1)[0] >= lo else (middle, beyond)
+    held = ends.take(row, 1).astype(np.int64)
+    while row < rows:
+        more = ends.take(row + 1, min(POINTERS, rows - row)).astype(np.int64)
+        own = np.append(held, more)
+        if (own[1:] < own[:-1]).any():
+            raise ValueError(f"{ends.name}: pointers fall")
+        a, b = np.searchsorted(own[:-1], [lo, hi])
+        if a < b:
+            yield row + int(a), own[a : b + 1]
+        if b < len(more):
+            return
+        held, row = more[-1:], row + len(more)
 
 
 def write_npy(rows: DataFrame, folder: str, vector_col: str = "embedding", order: list[str] | None = None, half: bool = True) -> DataFrame:

@@ -3,6 +3,8 @@
 A load writes its rows below ``rows/<configuration>/load=<id>`` and then commits: a manifest (case_no, content, replaces) is written beside and gets
 its name, with the next number, by a rename. Readers see the loads that the manifests since the last full one name, without the documents that a later one
 replaces; so a document is there whole or not at all, in its newest text, and what a broken run left is never read.
+
+A column ``weights`` (map<string, float>) is stored as map<bigint, float> by the tokens' numbers, and below ``tokens`` every load has its dictionary.
 """
 
 from __future__ import annotations
@@ -14,14 +16,20 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from korpusmill.functions.text import to_day
+from korpusmill.functions.vector import coded, token_id
 from korpusmill.operators.chunk import chunks
 from korpusmill.schema import CHUNK
 from korpusmill.storage import Scratch, delete
 
 PARTITIONS = ("model", "chunk_size", "overlap")
 KEY = ["case_no", "chunk_index"]
+WEIGHTS = "weights"
+TOKENS = "token_id long, token string"
+#: Tokens of a dictionary that is broadcast; a larger one is joined by shuffle, with skewed partitions split at run time.
+SMALL_TOKENS = 500_000
 MANIFEST = "case_no string, content string, replaces string"
 
 
@@ -91,8 +99,19 @@ class ChunkStore:
         """The load that rows were written as, and they as read again. Rows are sorted by document inside files, so that look-ups prune row groups."""
         load = uuid.uuid4().hex
         path = f"{self._folder('rows', model, size, overlap)}/load={load}"
-        self._checked(chunks).sortWithinPartitions(*KEY).write.parquet(path)
-        return load, self.spark.read.schema(chunks.schema).parquet(path)
+        chunks = self._checked(chunks)
+        if not _named(chunks):
+            chunks.sortWithinPartitions(*KEY).write.parquet(path)
+            return load, self.spark.read.schema(chunks.schema).parquet(path)
+        scratch = Scratch(self.spark, "weights")
+        saved = scratch.save(chunks, "rows")  # read twice, encoded once
+        tokens = saved.select(F.explode(F.map_keys(WEIGHTS)).alias("token")).groupBy(token_id("token").alias("token_id")).agg(F.min("token").alias("token"), F.max("token").alias("_last"))
+        same = F.when(F.col("token") == F.col("_last"), F.col("token")).otherwise(F.raise_error(F.concat(F.lit("one number for the tokens "), "token", F.lit(" and "), "_last")))
+        tokens.select("token_id", same.alias("token")).write.parquet(f"{self._folder('tokens', model, size, overlap)}/load={load}")
+        rows = saved.withColumn(WEIGHTS, coded(WEIGHTS))
+        rows.sortWithinPartitions(*KEY).write.parquet(path)
+        scratch.drop(saved)
+        return load, self.spark.read.schema(rows.schema).parquet(path)
 
     def write(self, chunks: DataFrame, model: str, size: int, overlap: int) -> None:
         """Replace one configuration, by nothing if there are no rows; the others stay. Readers see the old rows until all new ones are there."""
@@ -128,6 +147,29 @@ class ChunkStore:
             rows = rows.join(old.select("case_no", F.col("replaces").alias("load")), ["case_no", "load"], "left_anti")
         return rows.drop("load")
 
+    def tokens(self, model: str, size: int, overlap: int) -> DataFrame:
+        """(token_id, token) of the weights of all loads that readers see; raises if two tokens share a number."""
+        base = self._folder("tokens", model, size, overlap)
+        held = set(self._names(base))
+        paths = [f"{base}/load={c.load}" for c in self._commits(model, size, overlap) if f"load={c.load}" in held]
+        if not paths:
+            return self.spark.createDataFrame([], TOKENS)
+        every = self.spark.read.schema(TOKENS).parquet(*paths)
+        if len(paths) == 1:
+            return every
+        both = every.groupBy("token_id").agg(F.min("token").alias("token"), F.max("token").alias("_last"))
+        return both.select("token_id", F.when(F.col("token") == F.col("_last"), F.col("token")).otherwise(F.raise_error(F.lit("one number for two tokens"))).alias("token"))
+
+    def terms(self, model: str, size: int, overlap: int) -> DataFrame:
+        """(case_no, chunk_index, token, weight) of the stored weights; null and empty weights have no rows."""
+        rows = self.read(model, size, overlap)
+        if WEIGHTS not in rows.columns:
+            return self.spark.createDataFrame([], "case_no string, chunk_index int, token string, weight float")
+        tokens = self.tokens(model, size, overlap)
+        if tokens.limit(SMALL_TOKENS + 1).count() <= SMALL_TOKENS:
+            tokens = F.broadcast(tokens)
+        return rows.select(*KEY, F.explode(WEIGHTS).alias("token_id", "weight")).join(tokens, "token_id").select(*KEY, "token", "weight")
+
     def append_missing(
         self, chunks: DataFrame, model: str, size: int, overlap: int, encoder=None, vector_col: str = "embedding", slice_rows: int = 5_000_000
     ) -> None:
@@ -195,11 +237,12 @@ class ChunkStore:
         return sizes.join(found, list(PARTITIONS), "left").na.fill(zero).select(*PARTITIONS, "n_documents", "n_chunks", "mean_chars", "bytes")
 
     def vacuum(self) -> int:
-        """Delete loads that no manifest in use names and manifests before the last full one; returns their number. No reader or writer may be at work."""
+        """Delete loads that no manifest in use names and manifests before the last full one; returns the number of folders. No reader or writer may be at work."""
         gone = []
         for c in self.configurations():
             commits = self._commits(*c)
-            for kind, held in (("rows", {f"load={k.load}" for k in commits}), ("documents", {k.path.rpartition("/")[2] for k in commits})):
+            loads = {f"load={k.load}" for k in commits}
+            for kind, held in (("rows", loads), ("tokens", loads), ("documents", {k.path.rpartition("/")[2] for k in commits})):
                 base = self._folder(kind, *c)
                 gone += [f"{base}/{n}" for n in self._names(base) if n not in held]
         for path in gone:
@@ -207,6 +250,11 @@ class ChunkStore:
         return len(gone)
 
 
+def _named(chunks: DataFrame) -> bool:
+    """Whether the chunks have weights by token."""
+    return WEIGHTS in chunks.columns and isinstance(kind := chunks.schema[WEIGHTS].dataType, T.MapType) and isinstance(kind.keyType, T.StringType)
+
+
 def chunk_rows(cases: DataFrame, size: int, overlap: int) -> DataFrame:
     """Chunks of ``sources.cases.corpus`` rows with the columns of ``schema.CHUNK`` but the vector: the date is made one, or null if it spells none."""
     cut = chunks(cases, "case_no", "content", size, overlap, carry=("case_name", "court_name", "judgment_date", "case_type"))

@@ -79,6 +79,47 @@ def test_arrays(spark, tmp_path):
     assert [g.weights for g in got] == [{"1": 1.5}, {}, {"0": 2.0, "2": 3.0}]
 
 
+@pytest.mark.parametrize("write", [np.savez, np.savez_compressed])
+def test_a_sparse_matrix_is_read_by_several_tasks(spark, tmp_path, monkeypatch, write):
+    """Rows without entries at the start, in between and at the end, one row that is longer than a range, in blocks of a few pointers."""
+    arrays.register(spark)
+    rng = np.random.default_rng(1)
+    many = np.concatenate([[0, 0], rng.integers(0, 6, 700), [900], np.zeros(40, int), rng.integers(0, 6, 300), [0, 0, 0]])
+    ends = np.append(0, np.cumsum(many)).astype(np.int32)
+    columns = np.concatenate([rng.choice(5000, n, replace=False) for n in many]).astype(np.int32)
+    data = rng.random(len(columns)).astype(np.float32)
+    path = tmp_path / "m.npz"
+    write(path, indptr=ends, indices=columns, data=data, shape=(len(many), 5000), format=np.array(b"csr"))
+    own = spark.read.format("csr_npz").option("range_bytes", "2000").load(str(path))
+    tasks = own.rdd.getNumPartitions()
+    assert tasks == -(-len(columns) * 8 // 2000) if write is np.savez else tasks == arrays.DEFLATED_RANGES
+    got = own.orderBy("row").collect()
+    assert [r.row for r in got] == list(range(len(many)))
+    for r, a, b in zip(got, ends, ends[1:], strict=False):
+        assert r.weights == {str(c): float(v) for c, v in zip(columns[a:b], data[a:b], strict=True)}
+    monkeypatch.setattr(arrays, "POINTERS", 7)
+    monkeypatch.setattr(arrays, "BATCH_BYTES", 160)
+    reader = arrays.CsrReader(str(path), 2000)
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(len(b.column(2).keys) for b in batches if b.num_rows > 1) <= 10
+    assert [x for b in batches for x in b.column(1).to_pylist()] == list(range(len(many)))
+    assert [dict(x) for b in batches for x in b.column(2).to_pylist()] == [r.weights for r in got]
+
+
+def test_odd_sparse_files(spark, tmp_path):
+    arrays.register(spark)
+    none = np.zeros(0, np.int32)
+    for name, ends in (("a", [0]), ("b", [0, 0, 0])):
+        np.savez(tmp_path / f"{name}.npz", indptr=np.array(ends), indices=none, data=none.astype(np.float32), shape=(len(ends) - 1, 3), format=np.array(b"csr"))
+    got = spark.read.format("csr_npz").load(str(tmp_path)).collect()
+    assert sorted((r.file, r.row, r.weights) for r in got) == [("b.npz", 0, {}), ("b.npz", 1, {})]
+    for name, ends, kind, message in (("other", [0, 0], b"csc", "compressed rows"), ("falls", [0, 2, 1, 2], b"csr", "pointers fall")):
+        (tmp_path / name).mkdir()
+        np.savez(tmp_path / name / "x.npz", indptr=np.array(ends), indices=np.zeros(2, int), data=np.ones(2), shape=(3, 3), format=np.array(kind))
+        with pytest.raises(Exception, match=message):
+            spark.read.format("csr_npz").load(str(tmp_path / name)).collect()
+
+
 def test_zip_and_parts(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("/x/one.txt", b"1" * 10)

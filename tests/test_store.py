@@ -101,3 +101,25 @@ def test_sparse_weights_are_stored_and_searched(spark, tmp_path):
     asked = encode.lexical_weights(spark.createDataFrame([(1, "blue sea")], "query_id long, query string"), "query_id", "query")
     found = search.sparse_top_k(store.read(*CONFIG), asked, 5, id_col="case_no").orderBy("rank").collect()
     assert [(r.case_no, round(r.sim, 6)) for r in found] == [("b", 0.5), ("a", 0.25)]
+    assert dict(store.read(*CONFIG).dtypes)["weights"] == "map<bigint,float>"
+    assert sorted(r.token for r in store.tokens(*CONFIG).collect()) == ["blue", "green", "red", "sea"]
+    assert sorted((r.case_no, r.token, r.weight) for r in store.terms(*CONFIG).collect()) == [("a", "blue", 0.5), ("a", "red", 0.5), ("b", "blue", 0.5), ("b", "sea", 0.5), ("c", "green", 1.0)]
+    # a newer text brings its own tokens, null and empty weights have none, and what no load has any more goes with the next full one
+    newer = cut(spark, a="teal", d="")
+    newer = newer.join(encode.lexical_weights(newer, "case_no", "chunk_text"), "case_no").withColumn("weights", F.when(F.col("case_no") == "a", F.col("weights")))
+    store.append_missing(newer, *CONFIG)
+    assert sorted(r.token for r in store.tokens(*CONFIG).collect()) == ["blue", "green", "red", "sea", "teal"]
+    assert sorted((r.case_no, r.token) for r in store.terms(*CONFIG).collect()) == [("a", "teal"), ("b", "blue"), ("b", "sea"), ("c", "green")]
+    store.write(newer, *CONFIG)
+    assert store.vacuum() == 2 * 3  # of the two loads before: rows, tokens, manifest
+    assert [r.token for r in store.tokens(*CONFIG).collect()] == ["teal"]
+    plain = ChunkStore(spark, str(tmp_path / "plain"))
+    plain.write(cut(spark, a="x"), *CONFIG)
+    assert plain.tokens(*CONFIG).count() == plain.terms(*CONFIG).count() == plain.tokens("none", 1, 0).count() == 0
+
+
+def test_tokens_that_share_a_number_raise(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("korpusmill.store.token_id", lambda token: F.length(token).cast("long"))
+    rows = cut(spark, a="red sea")
+    with pytest.raises(Exception, match="one number for the tokens"):
+        ChunkStore(spark, str(tmp_path)).write(rows.join(encode.lexical_weights(rows, "case_no", "chunk_text"), "case_no"), *CONFIG)
