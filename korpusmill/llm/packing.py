@@ -213,7 +213,8 @@ class VectorBestFit:
     capacity (``rule="dot"``); ties go to the oldest bin; without one, a bin is opened. Equal bins are held as
     one entry with a count, so the work follows the number of lengths, not of items.
 
-    With ``give_way`` the capacities for documents and cost are lifted where keeping them takes more bins; weights stay.
+    With ``give_way`` the capacities for documents and cost are doubled, step by step, as long as there are more bins than tokens alone need and until neither can
+    bind; of the steps with the fewest bins the first is taken (``lifted``: how many times the capacities it has). Weights stay.
     """
 
     def __init__(
@@ -231,13 +232,19 @@ class VectorBestFit:
 
     def pack(self, counts: dict[int, int]) -> np.ndarray:
         """Rows (length, first rank, ranks, per bin, first bin, offset), in order of length and rank."""
-        runs = self._pack(counts, self.cap)
-        if self.give_way and self.bins > -(-sum(n * c for n, c in counts.items()) // self.cap[0]):
-            kept, bins = runs, self.bins
-            most, tile = float(self.cap[0]), float(self.tile)
-            runs = self._pack(counts, np.array([most, most, most**2 + 2 * tile * most + tile**2 * most]))  # neither of the last two can bind
-            if self.bins >= bins:
-                runs, self.bins = kept, bins
+        runs, self.lifted = self._pack(counts, self.cap), 1
+        fewest = -(-sum(n * c for n, c in counts.items()) // self.cap[0])
+        most, tile = float(self.cap[0]), float(self.tile)
+        loose = np.maximum(self.cap, [most, most, most**2 + 2 * tile * most + tile**2 * most])  # neither of the last two can bind
+        step, cap = 1, self.cap
+        while self.give_way and self.bins > fewest and (cap < loose).any():
+            step *= 2
+            cap, bins = np.minimum(self.cap * [1, step, step], loose), self.bins
+            more = self._pack(counts, cap)
+            if self.bins < bins:
+                runs, self.lifted = more, step
+            else:
+                self.bins = bins
         return runs
 
     def _pack(self, counts: dict[int, int], cap: np.ndarray) -> np.ndarray:

@@ -21,8 +21,8 @@ def tokenizer_file(name: str) -> str:
 
 
 def packer() -> packing.VectorBestFit:
-    """Sequences of 4096 tokens, of up to 2048 documents and of the attention cost of one full document, counted in tiles of 128 tokens; all three residuals choose."""
-    return packing.VectorBestFit(4096, max_docs=2048, weights=(1.0, 0.1, 0.1), tile=128, give_way=True)
+    """Sequences of 4096 tokens, of up to 512 documents and of the attention cost of one full document, counted in tiles of 128 tokens; all three residuals choose."""
+    return packing.VectorBestFit(4096, max_docs=512, weights=(1.0, 0.1, 0.1), tile=128, give_way=True)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,23 @@ def test_all_capacities_bind_and_choose(spark):
     assert give.bins == 2
 
 
+def test_capacities_give_way_step_by_step():
+    """Documents bind where all are short, cost where a long one is among them; only as many doublings as save bins."""
+    for lengths, both, cost, none in (({4: 1024}, 2, 1, 1), ({3968: 1, 1: 128}, 2, 2, 1), ({129: 700}, 23, 23, 23)):
+        found = [packing.VectorBestFit(4096, max_docs=d, max_cost=c, tile=128) for d, c in ((512, None), (None, None), (None, 1e12))]
+        for p in found:
+            p.pack(lengths)
+        assert [p.bins for p in found] == [both, cost, none], lengths
+    for lengths, bins, lifted in (({1: 500}, 1, 1), ({1: 1000}, 1, 2), ({1: 2000}, 1, 4), ({1: 4000}, 1, 8), ({4096: 3, 1: 1000}, 4, 2), ({3968: 1, 1: 128}, 1, 2), ({4096: 5}, 5, 1)):
+        p = Q.packer()
+        placed = p.pack(lengths)
+        assert (p.bins, p.lifted) == (bins, lifted), lengths
+        assert placed[:, 2].sum() == sum(lengths.values())
+        once = packing.VectorBestFit(4096, max_docs=512 * lifted, max_cost=4096.0**2 * lifted, weights=(1.0, 0.1, 0.1), tile=128)
+        once.pack(lengths)
+        assert once.bins == bins
+
+
 def test_word_ids_of_all_planes():
     """Texts of every plane, of combining marks and syllable parts, against the tokenizer on whole texts."""
     import unicodedata
