@@ -35,6 +35,8 @@ FEW = 8
 #: Bytes hashed at once, and bytes of text whose segments a task orders at once.
 BLOCK = 1 << 17
 FLUSH = 16 << 20
+#: Rows of which a task holds texts, what is left of them and their Arrow form at once when it cuts them.
+CUT_ROWS = 500
 _RNG = np.random.default_rng(20240607)
 _TABLES = [_RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
@@ -341,7 +343,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt, every, by = repeats(own, length, shuffle_partitions(docs.sparkSession))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, CUT_ROWS) for b in batches for lo in range(0, b.num_rows, CUT_ROWS)):
             rows = []
             for key, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 text = text.encode()
