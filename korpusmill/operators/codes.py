@@ -189,7 +189,7 @@ def code_top_k(
     id_type = T.StringType() if isinstance(queries.schema[query_id].dataType, T.StringType) else T.LongType()
     columns, scratch = list(dict.fromkeys([id_col, *carry])), Scratch(spark, "codes")
     own = queries.where(F.size(query_vector) == dim)
-    blocks = next((list(b) for d, b in _blocks(own, query_id, query_vector, within) if d == dim), [])
+    blocks = next((list(b) for d, b in _blocks(own, query_id, query_vector, within, k if exact else rerank * k) if d == dim), [])
     if not blocks:
         fields = [T.StructField("query_id", id_type), *(coded.schema[c] for c in columns), T.StructField("sim", T.DoubleType()), T.StructField("exact", T.BooleanType()), T.StructField("compared", T.LongType()), T.StructField("rank", T.IntegerType())]
         return spark.createDataFrame([], T.StructType(fields))

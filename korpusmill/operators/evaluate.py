@@ -45,6 +45,21 @@ def compare(methods: dict[str, DataFrame], truth: DataFrame, doc_col: str, cuts:
     return first_hits(reduce(DataFrame.unionByName, rows), each, doc_col, ("method",)).groupBy("method").agg(*_measures(cuts, mrr_cut))
 
 
+def label_metrics(
+    ranked: DataFrame, queries: DataFrame, corpus: DataFrame, id_col: str, doc_col: str, label: str = "label", cuts: tuple[int, ...] = CUTS, mrr_cut: int = MRR_CUT
+) -> DataFrame:
+    """One row as ``metrics`` gives: the true documents of a query (query_id, label) are those with a row of its label, other than the query's own.
+
+    Queries times true documents grow with the square of the corpus, so they are not listed: of a label its least and largest id tell whether a query has any, and the ranked documents alone are looked up.
+    """
+    least = (F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
+    other = (F.col("lo") != F.col("query_id")) | (F.col("hi") != F.col("query_id"))
+    own, rows = queries.select("query_id", label), corpus.select(id_col, doc_col, label)
+    asked = own.join(rows.groupBy(label).agg(*least), label).where(other).select("query_id").distinct()
+    found = ranked.select("query_id", doc_col, "rank").join(own, "query_id").join(rows.groupBy(label, doc_col).agg(*least), [label, doc_col]).where(other)
+    return asked.join(found.groupBy("query_id").agg(F.min("rank").alias("first_hit")), "query_id", "left").agg(*_measures(cuts, mrr_cut))
+
+
 def explode_truth(queries: DataFrame, doc_col: str = "case_no") -> DataFrame:
     """(query_id, doc) of a query set's ``case_ids``."""
     return queries.select("query_id", F.explode("case_ids").alias(doc_col))

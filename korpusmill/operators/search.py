@@ -27,11 +27,12 @@ from pyspark.sql.window import Window
 from korpusmill.functions.vector import LEAST_NORM, coded, l2_normalize
 from korpusmill.storage import Scratch
 
-#: Bytes of query vectors, query terms and characters of passages that are broadcast at once, similarities that are computed at once.
+#: Bytes of query vectors, rows that are kept for them, query terms and characters of passages that are taken at once, similarities that are computed at once.
 BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 1 << 19
 BLOCK_TERMS = 500_000
 PASSAGE_CHARS = 2 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
 DIGITS = 6
 #: Bytes of a corpus part that several blocks pass over, and categories that a scan is filtered by.
 HELD_BYTES, MANY_VALUES = 64 << 20, 1000
@@ -57,7 +58,7 @@ class _Best:
         n = sims.shape[1]
         key = np.where(np.isfinite(sims), np.rint(np.nan_to_num(sims) * 10**DIGITS), np.nan)
         open_ = key >= self.least[which][:, None]
-        if n > self.k:
+        if n > self.k and open_.sum(axis=1).max(initial=0) > self.k:
             place = np.where(open_, key * n + np.arange(n, 0, -1), -np.inf)
             keep = np.zeros_like(open_)
             np.put_along_axis(keep, np.argpartition(-place, self.k - 1, axis=1)[:, : self.k], True, axis=1)
@@ -155,13 +156,14 @@ class _Block(NamedTuple):
                 yield np.flatnonzero(np.all(np.stack(kinds) == kind[:, None], axis=0)), np.flatnonzero(which)
 
 
-def _blocks(queries: DataFrame, query_id: str, vector: str, within: str | None) -> Iterator[tuple[int, Iterator[_Block]]]:
-    """By vector length blocks of at most about ``BLOCK_BYTES`` of vectors. Queries of several blocks are saved first, so that they are made once."""
+def _blocks(queries: DataFrame, query_id: str, vector: str, within: str | None, k: int) -> Iterator[tuple[int, Iterator[_Block]]]:
+    """By vector length blocks of at most about ``BLOCK_BYTES`` of vectors and ``BLOCK_ROWS`` rows, k a query. Queries of several blocks are saved first, so that they are made once."""
     value = F.col(within) if within else F.lit(None)
     own = queries.where(F.col(query_id).isNotNull() & (F.size(vector) > 0)).select(query_id, F.col(vector).alias("v"), value.alias("w"))
     own = own.where("w IS NOT NULL") if within else own.drop("w")
     lengths = sorted(map(tuple, own.groupBy(F.size("v")).count().collect()))  # a row per length
-    if sum(-(-n * dim * 8 // BLOCK_BYTES) for dim, n in lengths) > 1:
+    number = lambda dim, n: max(-(-n * dim * 8 // BLOCK_BYTES), -(-n * k // BLOCK_ROWS))
+    if sum(number(*x) for x in lengths) > 1:
         own = Scratch(queries.sparkSession, "queries").save(own, "vectors")
 
     def of(dim: int, blocks: int) -> Iterator[_Block]:
@@ -173,7 +175,7 @@ def _blocks(queries: DataFrame, query_id: str, vector: str, within: str | None)
                 yield _Block([r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64)), None, [r[2] for r in rows] if within else None)
 
     for dim, n in lengths:
-        yield dim, of(dim, -(-n * dim * 8 // BLOCK_BYTES))
+        yield dim, of(dim, number(dim, n))
 
 
 def _cell_sizes(corpus: DataFrame, vector: str, dim: int, within: str | None = None) -> dict:
@@ -241,7 +243,7 @@ def top_k(
         values = [r[0] for r in queries.select(within).where(F.col(within).isNotNull()).distinct().limit(MANY_VALUES + 1).collect()]
         rows = rows.where(F.col(within).isin(values)) if len(values) <= MANY_VALUES else rows
     parts = []
-    for dim, blocks in _blocks(queries, query_id, query_vector, within):
+    for dim, blocks in _blocks(queries, query_id, query_vector, within, k):
         if probes:
             sizes = _cell_sizes(rows, vector_col, dim, within)
             blocks = (b._replace(probes=probes(b.matrix, k, sizes, b.values)) for b in blocks)

@@ -190,11 +190,7 @@ def eval_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The true documents of a vector are those with another vector of its label; the vector itself is no hit."""
     vectors = _vectors(spark, sf_dir)
     pool = _pool(spark, sf_dir, 500).where(F.col("vec_id") != F.col("query_id"))
-    queries = _queries(vectors).select("query_id", "label")
-    labelled = vectors.select("vec_id", F.col("doc").alias("true_doc"), "label").groupBy("label", "true_doc").agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"))
-    other = (F.col("lo") != F.col("query_id")) | (F.col("hi") != F.col("query_id"))
-    truth = queries.join(labelled, "label").where(other).select("query_id", F.col("true_doc").alias("doc"))
-    return evaluate.metrics(search.document_rank(pool, "doc", TOP), truth, "doc")
+    return evaluate.label_metrics(search.document_rank(pool, "doc", TOP), _queries(vectors), vectors, "vec_id", "doc")
 
 
 def eval_methods(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,3 +278,46 @@ def test_retriever_with_encoder_and_timing(spark):
     queries = spark.createDataFrame([(0, "w4 w5"), (1, "w8 w9")], "query_id long, query string")
     assert {(r.query_id, r.case_no) for r in retriever.retrieve(queries, 1).collect()} == {(0, 2), (1, 4)}
     assert evaluate.timed(retriever, queries, 5, 2).count() >= 1
+
+
+def rows_between(plan):
+    """The rows that each step of a plan that has run gave."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return rows_between(plan.executedPlan())
+    inner = [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.metrics().contains("numOutputRows") else []
+    return own + [n for p in inner for n in rows_between(p)]
+
+
+def test_label_metrics_equal_listed_truth_without_listing_it(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i // 4, int(rng.integers(0, 3)) if i % 11 else None) for i in range(2000)] + [(5000, 1250, 7), (5001, 1250, 8), (5050, 1262, 8), (None, None, 8), (100, 25, 1), (100, 25, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, doc long, label int")
+    queries = table.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    ranked = spark.createDataFrame([(q, int(d), r + 1) for q in [*range(0, 2000, 50), 5000, 5050] for r, d in enumerate(rng.choice(500, 20, replace=False))], "query_id long, doc long, rank int")
+    truth = queries.join(table, "label").where("vec_id <> query_id").select("query_id", "doc")
+    found = evaluate.label_metrics(ranked, queries, table, "vec_id", "doc")
+    assert found.collect() == evaluate.metrics(ranked, truth, "doc").collect() and found.first().queries == truth.select("query_id").distinct().count()
+    assert max(rows_between(found._jdf.queryExecution().executedPlan())) <= len(rows) < truth.count() // 5
+
+
+def test_dense_evaluation_does_not_list_the_truth(spark, tmp_path):
+    """One label: the truth is 240 queries with 3,000 documents each, the pool has 500 rows a query."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v, 1) for i, v in enumerate(rng.normal(size=(12_000, 2)).tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = plans.eval_dense(spark, str(tmp_path))
+    assert [tuple(r)[:2] for r in df.collect()] == [(240, 1.0)]
+    assert 100_000 < max(rows_between(df._jdf.queryExecution().executedPlan())) <= 240 * 500
+
+
+def test_blocks_bound_the_rows_that_are_kept(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, rng.normal(size=3).round(1).tolist()) for i in range(300)], "chunk_id long, embedding array<double>").repartition(2)
+    asked = table.where("chunk_id < 30").withColumnRenamed("chunk_id", "query_id")
+    want = search.top_k(table, asked, 10).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(search, "BLOCK_ROWS", 50)
+    kept = [len(b.ids) for _, blocks in search._blocks(asked, "query_id", "embedding", None, 10) for b in blocks]
+    assert sum(kept) == 30 and len(kept) >= 4
+    assert [tuple(r)[:2] for r in search.top_k(table, asked, 10).orderBy("query_id", "rank").collect()] == [tuple(r)[:2] for r in want]
