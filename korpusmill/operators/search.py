@@ -378,6 +378,16 @@ def _sparse_blocks(queries: DataFrame, query_id: str, weights: str) -> Iterator[
             yield [r[0] for r in rows], list(by), np.append(0, np.cumsum([len(x) for x in by.values()])), flat[:, 0].astype(np.int64), flat[:, 1]
 
 
+def _products(row: np.ndarray, n: np.ndarray, rows: int) -> Iterator[tuple[int, int, slice]]:
+    """Ranges of rows whose entries, of n products each, have about ``SLICE`` of them, and the entries of each; a row stays whole."""
+    ends = np.append(0, np.cumsum(n))[np.searchsorted(row, np.arange(rows), side="right")]  # products up to a row's end
+    lo = 0
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, side="right")))
+        yield lo, hi, slice(*np.searchsorted(row, [lo, hi]))
+        lo = hi
+
+
 def _sparse_candidates(docs: DataFrame, shared: _Shared, id_type: T.DataType, k: int, id_col: str, weights: str) -> DataFrame:
     """Of every task the k documents of each query with the largest inner product."""
     fields = [T.StructField("query_id", id_type), docs.schema[id_col], T.StructField("sim", T.DoubleType())]
@@ -397,9 +407,12 @@ def _sparse_candidates(docs: DataFrame, shared: _Shared, id_type: T.DataType, k:
                         token, value = at.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.int64), maps.items.take(pa.array(entry)).to_numpy(zero_copy_only=False).astype(np.float64)
                         row = np.searchsorted(maps.offsets.to_numpy(), entry, side="right") - 1
                         n = starts[token + 1] - starts[token]
-                        term = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[token], n)
-                        sims = np.bincount(which[term] * part.num_rows + np.repeat(row, n), w[term] * np.repeat(value, n), len(ids) * part.num_rows).reshape(len(ids), -1)
-                        best.add(np.where(sims != 0, sims, np.nan), every, part.select([0]))
+                        for a, b, some in _products(row, n, part.num_rows):
+                            m = n[some]
+                            term = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(starts[token[some]], m)
+                            at = which[term] * (b - a) + np.repeat(row[some] - a, m)
+                            sims = np.bincount(at, w[term] * np.repeat(value[some], m), len(ids) * (b - a)).reshape(len(ids), -1)
+                            best.add(np.where(sims != 0, sims, np.nan), every, part.select([0]).slice(a, b - a))
                 table = best.cut()
                 if table is not None:
                     queries = pa.array(ids, None if not len(ids) or isinstance(ids[0], str) else pa.int64()).take(table["q"].combine_chunks())
