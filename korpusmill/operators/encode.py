@@ -9,12 +9,15 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CACHE_TOKENS = 500_000
+#: Bytes of texts whose tokens are counted at once.
+SLICE_BYTES = 1 << 20
 #: Bytes a core of texts up to which they are dealt anew before they are encoded.
 SMALL_BYTES = 8 << 20
 
@@ -46,29 +49,29 @@ def spread(rows: DataFrame, small: int = 0) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores or small and size <= small * cores else rows
 
 
-def _places(dim: int) -> Callable[[bytes], tuple[int, float]]:
-    """Place and sign of a token, kept while there are few."""
-    places: dict[bytes, tuple[int, float]] = {}
+def _places(dim: int) -> Callable[[bytes], int]:
+    """Twice the place of a token, and 1 more if its sign is minus, kept while there are few."""
+    places: dict[bytes, int] = {}
 
-    def place(token: bytes) -> tuple[int, float]:
+    def place(token: bytes) -> int:
         found = places.get(token)
         if found is None:
             if len(places) > CACHE_TOKENS:
                 places.clear()
             h = hashlib.md5(token).hexdigest()
-            found = places[token] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+            found = places[token] = int(h[:8], 16) % dim * 2 + int(h[8], 16) % 2
         return found
 
     return place
 
 
-def _hashed(counts: list[dict[bytes, int]], place: Callable[[bytes], tuple[int, float]], dim: int) -> np.ndarray:
+def _hashed(counts: list[dict[bytes, int]], place: Callable[[bytes], int], dim: int) -> np.ndarray:
     """Vectors of length 1 of counted tokens."""
     out = np.zeros((len(counts), dim))
     for row, own in zip(out, counts, strict=True):
         if own:
-            at, sign = zip(*map(place, own), strict=True)
-            row += np.bincount(at, np.array(sign) * np.array(list(own.values())), dim)
+            at = np.fromiter(map(place, own), np.int64, len(own))
+            row += np.bincount(at >> 1, (1 - 2 * (at & 1)) * np.fromiter(own.values(), np.float64, len(own)), dim)
     return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
 
 
@@ -105,12 +108,23 @@ def lexical_weights(rows: DataFrame, id_col: str, text_col: str, out_col: str =
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField(out_col, T.MapType(T.StringType(), T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _weights(_counts(t.as_py()) for t in batch.column(1))], names=schema.names)
 
     return spread(rows.select(id_col, text_col), SMALL_BYTES).mapInArrow(run, schema)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, text) cut into such of about ``SLICE_BYTES`` of text, or of one row: counted tokens take many times what their text does."""
+    for batch in batches:
+        before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(before, (before[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _counts(text: str | None) -> dict[bytes, int]:
     return Counter((text or "").encode().lower().split())
 
@@ -141,7 +155,7 @@ class HashingDual:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = _places(dim)
-            for batch in batches:
+            for batch in text_slices(batches):
                 counts = [_counts(t.as_py()) for t in batch.column(1)]
                 flat, ends = pa.array(_hashed(counts, place, dim).ravel()), pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dim)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat), _weights(iter(counts))], names=schema.names)

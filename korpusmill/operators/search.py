@@ -378,14 +378,20 @@ def _sparse_blocks(queries: DataFrame, query_id: str, weights: str) -> Iterator[
             yield [r[0] for r in rows], list(by), np.append(0, np.cumsum([len(x) for x in by.values()])), flat[:, 0].astype(np.int64), flat[:, 1]
 
 
+def _cuts(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows over which running totals grow by ``SLICE`` at most, or of one row."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _products(row: np.ndarray, n: np.ndarray, rows: int) -> Iterator[tuple[int, int, slice]]:
     """Ranges of rows whose entries, of n products each, have about ``SLICE`` of them, and the entries of each; a row stays whole."""
     ends = np.append(0, np.cumsum(n))[np.searchsorted(row, np.arange(rows), side="right")]  # products up to a row's end
-    lo = 0
-    while lo < rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, side="right")))
+    for lo, hi in _cuts(ends):
         yield lo, hi, slice(*np.searchsorted(row, [lo, hi]))
-        lo = hi
 
 
 def _sparse_candidates(docs: DataFrame, shared: _Shared, id_type: T.DataType, k: int, id_col: str, weights: str) -> DataFrame:
@@ -396,10 +402,9 @@ def _sparse_candidates(docs: DataFrame, shared: _Shared, id_type: T.DataType, k:
         for held in shared.parts(batches):
             for ids, tokens, starts, which, w in shared:
                 best, tokens, every = _Best(len(ids), k, ["q", "key", "sim", id_col]), pa.array(tokens), np.arange(len(ids))
-                step = max(1, SLICE // len(ids))
                 for batch in held:
-                    for lo in range(0, batch.num_rows, step):
-                        part = batch.slice(lo, step)
+                    for lo, hi in _cuts(np.cumsum(len(ids) + 4 * np.diff(batch.column(1).offsets.to_numpy()))):  # a token takes some numbers
+                        part = batch.slice(lo, hi - lo)
                         part = part.take(pc.sort_indices(part.column(0)))
                         maps = part.column(1)
                         at = pc.index_in(maps.keys, value_set=tokens)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -321,3 +323,39 @@ def test_blocks_bound_the_rows_that_are_kept(spark, monkeypatch):
     kept = [len(b.ids) for _, blocks in search._blocks(asked, "query_id", "embedding", None, 10) for b in blocks]
     assert sum(kept) == 30 and len(kept) >= 4
     assert [tuple(r)[:2] for r in search.top_k(table, asked, 10).orderBy("query_id", "rank").collect()] == [tuple(r)[:2] for r in want]
+
+
+def test_products_of_sparse_search_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(search, "SLICE", 50)
+    rng = np.random.default_rng(7)
+    row = np.sort(rng.integers(0, 40, 200))
+    n = rng.integers(0, 9, 200)
+    n[row == 11] = 30  # a row of more than the bound
+    ranges = list(search._products(row, n, 41))
+    assert [a for a, _, _ in ranges] == [0, *(b for _, b, _ in ranges[:-1])] and ranges[-1][1] == 41
+    assert [i for _, _, some in ranges for i in range(200)[some]] == list(range(200))
+    assert all(((row[some] >= a) & (row[some] < b)).all() and (n[some].sum() <= 50 or b == a + 1) for a, b, some in ranges) and len(ranges) > 10
+    assert [x[:2] for x in search._products(row[:0], n[:0], 7)] == [(0, 7)]
+    docs = spark.createDataFrame([(i, {"a": 1.0, "b": float(i % 7)} if i % 5 else {}) for i in range(90)], "doc_id long, weights map<string,float>").coalesce(1)
+    asked = spark.createDataFrame([(q, {"a": 0.5, "b": float(q)}) for q in range(3)], "query_id long, weights map<string,float>")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in search.sparse_top_k(docs, asked, 6).collect()}
+    for q in range(3):
+        best = sorted((-(0.5 + q * (i % 7)), i) for i in range(90) if i % 5)[:6]
+        assert [got[q, k + 1] for k in range(6)] == [i for _, i in best]
+
+
+def test_texts_are_counted_in_slices(spark, monkeypatch):
+    texts = ["ab cd " * 50, None, "", "x", "ab " * 400, "y z", "Z ü"]
+    monkeypatch.setattr(encode, "SLICE_BYTES", 320)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(9)), "text": pa.array(["q", "q", *texts])}).slice(2)
+    parts = list(encode.text_slices(iter([batch, batch.slice(0, 0)])))
+    assert [p.column(0).to_pylist() for p in parts] == [[2, 3, 4, 5], [6], [7, 8]] and [t for p in parts for t in p.column(1).to_pylist()] == texts
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in encode.HashingDual(8).encode(rows, "doc_id", "text").collect():
+        own = [w.lower() for w in (texts[r.doc_id] or "").split()]
+        assert r.weights == {w: float(np.float32(own.count(w) / len(own))) for w in own}
+        v = np.zeros(8)
+        for w in own:
+            h = hashlib.md5(w.encode()).hexdigest()
+            v[int(h[:8], 16) % 8] += 1 if int(h[8], 16) % 2 == 0 else -1
+        assert np.allclose(r.embedding, v / max(np.linalg.norm(v), 1e-12), atol=1e-6)
